@@ -41,7 +41,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
         size = 1 << max(20, (n - 1).bit_length())
         with np.errstate(over="ignore"):
             _powers = tuple(
-                np.multiply.accumulate(np.concatenate([[1], np.full(size - 1, base, np.uint64)]).astype(np.uint64))
+                np.multiply.accumulate(np.array([1] + [base] * (size - 1), np.uint64))
                 for base in (_BASE, _INVERSE)
             )
     return _powers
