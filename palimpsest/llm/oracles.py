@@ -55,7 +55,40 @@ select s.doc_id, cast(len(s.s) as bigint) as n_shingles, component_id, s.doc_id
 from s join least_of using (doc_id)
 """
 
+RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
+#: Hosts whose pages make up the list of canonical urls, with or without www., m. or blog.
+SPAM_HOSTS = ("spam-farm.example.org", "cheap-pills.example.com")
+
+_URL_FILTER = """
+with r as (
+  select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages
+), h as (
+  select page_id, regexp_extract(rest, '^[^/?#]*') as h, rest from r
+), p as (
+  select page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+         regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') as path
+  from h
+), c as (
+  select *, case when host <> '' then regexp_replace(host, '^www[.]', '') || regexp_replace(path, '([.]html|/+)$', '') end as canonical
+  from p
+), listed as (
+  select distinct canonical from c
+  where regexp_replace(host, '^(www|m|blog)[.]', '') in ('spam-farm.example.org', 'cheap-pills.example.com')
+), rules as (
+  select * from (values ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'),
+                        ('allow', 'org', '/fr/')) t(action, name, prefix)
+), fits as (
+  select page_id, arg_max(name || prefix, length(name || prefix)) as rule, arg_max(action, length(name || prefix)) as action
+  from c join rules on (host = name or ends_with(host, '.' || name)) and starts_with(path, prefix)
+  group by page_id
+)
+select c.page_id, host, path, rule,
+       coalesce(action, case when listed.canonical is not null then 'block' else 'allow' end) as verdict
+from c left join fits on c.page_id = fits.page_id left join listed on c.canonical = listed.canonical
+"""
+
 SQL = {
+    "op1_url_filter": _URL_FILTER,
     "op8_near_dedup": _NEAR_DEDUP,
     "op9_decontamination": _DECONTAMINATION,
 }

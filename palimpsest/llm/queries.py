@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import decontaminate, licenses, near_dedup
-from palimpsest.llm.oracles import SQL
+from palimpsest.llm import decontaminate, language, licenses, multiset, near_dedup, toxicity, url_filter
+from palimpsest.llm.oracles import RULES, SPAM_HOSTS, SQL
+from palimpsest.llm.textops import bucket
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -19,6 +20,32 @@ def joined(names) -> F.Column:
     return F.concat_ws(",", names)
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    host, path = url_filter.parts(F.col("url"))
+    spam = pages.select(host.alias("h"), path.alias("p")).where(F.regexp_replace("h", r"^(www|m|blog)\.", "").isin(*SPAM_HOSTS))
+    listed = spam.select(url_filter.canonical(F.col("h"), F.col("p")).alias("canonical"))
+    return url_filter.filter_urls(pages, listed, RULES).drop("possible", "listed")
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = bucket(F.col("doc_id"), 4) == 2
+    model = language.fit(docs.where(~held_out))
+    found = language.language_column(F.col("text"), model, spark)
+    return docs.select("doc_id", held_out.alias("held_out"), found.alias("found")).select("doc_id", "held_out", "found.*")
+
+
+def op6_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").where(bucket(F.col("doc_id"), 4) != 2)
+    scored = toxicity.toxicity(table(spark, sf_dir, "documents"), labels)
+    return scored.select("doc_id", (bucket(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.license_scan(table(spark, sf_dir, "documents"))
     return found.withColumns({"base_labels": joined("base_labels"), "labels": joined("labels")}).drop("spans")
@@ -42,7 +69,11 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
+    "op3_language_id": op3_language_id,
     "op5_license_scan": op5_license_scan,
+    "op6_multiset_fingerprint": op6_multiset_fingerprint,
+    "op7_toxicity": op7_toxicity,
     "op8_near_dedup": op8_near_dedup,
     "op9_decontamination": op9_decontamination,
 }
