@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import decontaminate, language, licenses, multiset, near_dedup, toxicity, url_filter
+from palimpsest.llm import decontaminate, language, licenses, multiset, near_dedup, suffix_tree, toxicity, url_filter
 from palimpsest.llm.oracles import RULES, SPAM_HOSTS, SQL
 from palimpsest.llm.textops import bucket
 
@@ -28,6 +28,15 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, listed, RULES).drop("possible", "listed")
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = bucket(F.col("doc_id"), 10) == 0
+    counts = suffix_tree.count(docs.where(~held_out))
+    scored = suffix_tree.score(docs, counts, suffix_tree.fit(counts))
+    tokens = F.lit(counts.tokens).cast("long").alias("train_tokens")
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", tokens, "base_score", "score")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = bucket(F.col("doc_id"), 4) == 2
@@ -70,6 +79,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op2_lm_score": op2_lm_score,
     "op3_language_id": op3_language_id,
     "op5_license_scan": op5_license_scan,
     "op6_multiset_fingerprint": op6_multiset_fingerprint,
