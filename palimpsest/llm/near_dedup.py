@@ -9,8 +9,11 @@ too low are verified on the full sets, computed again from the texts.
 No group is expanded into all pairs:
 1. Documents with equal sets form a class; only its smallest id goes on.
 2. In each band bucket every member is compared with the smallest one, so a bucket gives as many pairs as members.
-3. Buckets whose members are then in several components are compared across these components, which finds
-   the links that the smallest member does not have.
+3. The links that a smallest member does not have can only join members of a bucket that are then in several
+   components. A shingle is rare if at most RARE of these members hold it. Members that share a rare shingle are
+   compared (each shingle gives at most RARE pairs a member). Others share only shingles that are not
+   rare, so that their similarity is bounded by the numbers of these; the few whose bound reaches the
+   threshold, in one bucket and different components, are compared too. Nothing that can be a link is left out.
 With bands of 5 registers and 40 bands a pair at the threshold of 0.8 is missed with probability
 (1 - 0.8^5)^40 = 1.2e-7, and less above it.
 
@@ -31,6 +34,8 @@ from palimpsest.session import checkpointed, written
 
 ROWS, BANDS, MANTISSA = 5, 40, 10
 REGISTERS = ROWS * BANDS
+RARE = 16
+BROADCAST_IDS = 1_000_000
 SKETCH_TYPE = "n int, d1 long, d2 long, registers binary, bands array<long>"
 
 _rng = np.random.default_rng(20)
@@ -103,6 +108,37 @@ def linked(values_a: np.ndarray, values_b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(values_a) + len(values_b) - both)
 
 
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id and text of the given ids; the ids are broadcast if there are at most BROADCAST_IDS of them."""
+    ids = checkpointed(ids)
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.join(ids, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
+
+
+def _residual_pairs(split: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Pairs (a, b) across components among the members of split (band, id, n, component) that can be links."""
+
+    @F.pandas_udf("array<long>")
+    def shingles(texts: pd.Series) -> pd.Series:
+        return pd.Series([s.astype(np.int64) for s in shingle_sets(texts, n)], dtype=object)
+
+    members = checkpointed(split.select("id", "component", "n").distinct())
+    held = _texts(docs, members.select("id").distinct()).select("id", F.explode(shingles("text")).alias("shingle"))
+    held = written(held, "shingles")
+    spread = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    known = written(held.join(spread, "shingle"), "spread")
+    rare = known.where(F.col("df") <= RARE).join(members, "id")
+    other = rare.select("shingle", F.col("id").alias("q"), F.col("component").alias("c"), F.col("n").alias("nq"))
+    sized = f"100 * least(n, nq) >= {percent} * greatest(n, nq)"
+    sharing = rare.join(other, "shingle").where("id < q and component <> c").where(sized)
+    common = known.groupBy("id").agg(F.sum((F.col("df") > RARE).cast("int")).alias("common"))
+    able = split.join(common, "id").where(f"100 * common >= {percent} * n")
+    other = able.select("band", F.col("id").alias("q"), F.col("component").alias("c"), F.col("n").alias("nq"), F.col("common").alias("cq"))
+    bound = f"100 * least(common, cq) >= {percent} * (n + nq - least(common, cq))"
+    alike = able.join(other, "band").where("id < q and component <> c").where(bound)
+    return sharing.select("id", "q").union(alike.select("id", "q")).toDF("a", "b").distinct()
+
+
 def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) of ids whose sets are similar enough."""
     margin = 5.5 * (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5
@@ -121,7 +157,7 @@ def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, n: int, pe
     close = pairs.join(a, "a").join(b, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
     close = checkpointed(close.where(likely("ra", "rb", "na", "nb")).select("a", "b"))
     ids = close.select(F.col("a").alias("id")).union(close.select("b")).distinct()
-    texts = checkpointed(docs.join(ids, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")))
+    texts = checkpointed(_texts(docs, ids))
     ta, tb = (texts.select(F.col("id").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
     return close.join(ta, "a").join(tb, "b").where(similar("ta", "tb")).select("a", "b")
 
@@ -154,13 +190,7 @@ def near_duplicates(
     )
     split = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
     split = checkpointed(placed.join(split.select("band"), "band"))
-    sides = split.select("band", "component").distinct()
-    across = sides.withColumnRenamed("component", "x").join(sides.withColumnRenamed("component", "y"), "band").where("x < y")
-    left = split.select("band", F.col("component").alias("x"), F.col("id").alias("p"), F.col("n").alias("np"))
-    right = split.select("band", F.col("component").alias("y"), F.col("id").alias("q"), F.col("n").alias("nq"))
-    rest = across.join(left, ["band", "x"]).join(right, ["band", "y"]).where(f"100 * least(np, nq) >= {percent} * greatest(np, nq)")
-    rest = rest.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-    rest = rest.join(stars, ["a", "b"], "left_anti")
+    rest = _residual_pairs(split, docs, n, percent).join(stars, ["a", "b"], "left_anti")
     more = checkpointed(_verified(rest, firsts, docs, n, percent))
     if not more.isEmpty():
         found = checkpointed(connected_components(links.union(more)))
