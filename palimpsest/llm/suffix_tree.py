@@ -172,18 +172,24 @@ def build(levels: list[Level], divergence: float, evidence: float, novelty: floa
     return Tree(out, rest, novelty)
 
 
-def fit(counts: Counts, min_share: float = 2e-7, divergence: float = 0.001, evidence: float = 8.0, novelty: float = 2.0) -> Tree:
+def arrays(rows: DataFrame, key: str, *values: str) -> list[np.ndarray]:
+    """Columns of a DataFrame of bounded size as arrays, in the order of key."""
+    found = rows.select(key, *values).toArrow()
+    keys = found[key].to_numpy()
+    order = np.argsort(keys)
+    return [keys[order], *(found[v].to_numpy()[order].astype(np.float64) for v in values)]
+
+
+def fit(counts: Counts, min_share: float = 5e-7, divergence: float = 0.001, evidence: float = 8.0, novelty: float = 2.0) -> Tree:
     """The tree of counts; only runs and contexts of at least min_share come to the driver."""
     least = max(2.0, counts.symbols * min_share)
     levels, now = [], counts.grams
     for k in range(DEPTH, -1, -1):
         now = now if k == DEPTH else level(now, k)
-        runs_of = (now.where(F.col("n") >= least) if k else now).orderBy("gram").toPandas()
         by = F.shiftright("gram", 8).alias("context")
         contexts = now.groupBy(by).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types"))
-        contexts = (contexts.where(F.col("n") >= 2 * least) if k else contexts).orderBy("context").toPandas()
-        numbers = runs_of["gram"].to_numpy(np.int64), runs_of["n"].to_numpy(np.float64)
-        levels.append(Level(*numbers, contexts["context"].to_numpy(np.int64), *(contexts[c].to_numpy(np.float64) for c in ("n", "types"))))
+        keys, n = arrays(now.where(F.col("n") >= (least if k else 0)), "gram", "n")
+        levels.append(Level(keys, n, *arrays(contexts.where(F.col("n") >= (2 * least if k else 0)), "context", "n", "types")))
     return build(levels[::-1], divergence, evidence, novelty)
 
 
@@ -225,14 +231,15 @@ def score(
     tree: Tree,
     id_col: str = "doc_id",
     text_col: str = "text",
-    min_share: float = 5e-7,
+    min_share: float = 1e-6,
     alpha: float = 0.1,
     word_weight: float = 0.15,
 ) -> DataFrame:
     """id, n_tokens, n_known, base_score (smoothed unigram) and score (the model's), both log10 probabilities."""
     spark = docs.sparkSession
     frequent = counts.words.where(F.col("n") >= max(2.0, counts.tokens * min_share))
-    shared = spark.sparkContext.broadcast((tree, {bytes(w): n for w, n in frequent.toPandas().itertuples(index=False)}))
+    frequent = frequent.toArrow()
+    shared = spark.sparkContext.broadcast((tree, dict(zip(frequent["word"].to_pylist(), frequent["n"].to_pylist(), strict=True))))
     total, below = max(1, counts.tokens), counts.tokens + alpha * (counts.types + 1)
     spelled_weight = float(np.log10(1 - word_weight)) if counts.tokens else 0.0
 
