@@ -14,16 +14,17 @@ Documents with an equal id are ordered by their text. An empty table gives an em
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.session import checkpointed
+
 WORDS = 20
 LANES = 3 * WORDS
 FIELD = 21
 LANE_MASK = (1 << 20) - 1
 MASK = sum(LANE_MASK << (FIELD * i) for i in range(3))
+BYTES = sum(255 << (FIELD * i) for i in range(3))
 _BIAS = sum(((1 << 20) - 128) << (FIELD * i) for i in range(3))
 PARAGRAPH_END = r"\n+|(?<=[.!?])[ \t]+"
 
@@ -36,10 +37,9 @@ def _masked_sum(a: Column, b: Column) -> Column:
     return (a + b).bitwiseAND(_long(MASK))
 
 
-def _word(h: Column) -> Column:
-    """Three signed bytes of a hash as three lanes."""
-    fields = [F.shiftleft(h.bitwiseAND(_long(255 << (8 * i))), (FIELD - 8) * i) for i in range(3)]
-    return _masked_sum(reduce(lambda a, b: a + b, fields), _long(_BIAS))
+def _with_word(acc: Column, h: Column) -> Column:
+    """acc and three signed bytes of a hash, one for each lane; less than a guard bit is carried."""
+    return (acc + h.bitwiseAND(_long(BYTES)) + _long(_BIAS)).bitwiseAND(_long(MASK))
 
 
 def paragraphs(text: Column) -> Column:
@@ -56,9 +56,8 @@ def fold(hashes: Column) -> Column:
     """array<long>: the packed lanes of an array of paragraph hashes (a, b)."""
 
     def lane(k: int) -> Column:
-        return F.aggregate(
-            hashes, _long(0), lambda acc, h: _masked_sum(acc, _word(F.xxhash64(h["a"], h["b"], F.lit(k))))
-        )
+        half = "a" if k % 2 else "b"
+        return F.aggregate(hashes, _long(0), lambda acc, h: _with_word(acc, F.xxhash64(h[half], F.lit(k))))
 
     return F.array(*[lane(k) for k in range(WORDS)])
 
@@ -94,8 +93,10 @@ def likeness(left: Column, right: Column) -> Column:
     return F.when(left == right, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine)))
 
 
-def with_next(docs: DataFrame, columns: list[str], ranges: int) -> DataFrame:
-    """docs (id, text and columns) with next: the columns of the row after it in descending (id), after the last the first.
+def with_next(docs: DataFrame, ranges: int) -> DataFrame:
+    """docs (id, text, fp) with next (text, fp): those of the row after it in descending (id), after the last the first.
+
+    fp is the fingerprint of the text; it is sent along to the row before, so that it is computed once.
 
     Rows are dealt by ranges of the id, whose borders are quantiles of the id alone; the row after a range's last
     is the first of the next range, found by one small join of at most one row a range.
@@ -105,8 +106,9 @@ def with_next(docs: DataFrame, columns: list[str], ranges: int) -> DataFrame:
     place = F.coalesce(F.size(F.filter(edges, lambda e: e <= F.col("id"))), F.lit(-1)) if borders else F.lit(0)
     place = F.when(F.col("id").isNull(), F.lit(-1)).otherwise(place)
     dealt = docs.withColumn("range", place)
+    plain = dealt.select("id", "text", "range")
 
-    tops = dealt.groupBy("range").agg(F.max("id").alias("top"))
+    tops = plain.groupBy("range").agg(F.max("id").alias("top"))
     everywhere = Window.orderBy(F.col("range").desc())
     tops = tops.select(
         F.col("range").alias("head_of"),
@@ -116,12 +118,12 @@ def with_next(docs: DataFrame, columns: list[str], ranges: int) -> DataFrame:
             F.min("range").over(everywhere.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
         ).alias("before"),
     )
-    first = dealt.join(F.broadcast(tops), (F.col("range") == F.col("head_of")) & F.col("id").eqNullSafe(F.col("top")))
-    heads = first.groupBy(F.col("before").alias("range")).agg(F.min(F.struct("text", *[c for c in columns if c != "text"])).alias("head"))
+    first = plain.join(F.broadcast(tops), (F.col("range") == F.col("head_of")) & F.col("id").eqNullSafe(F.col("top")))
+    heads = first.groupBy(F.col("before").alias("range")).agg(F.min("text").alias("text"))
+    heads = checkpointed(heads).select("range", F.struct("text", fingerprint(F.col("text")).alias("fp")).alias("head"))
 
     order = Window.partitionBy("range").orderBy(F.col("id").desc(), F.col("text"))
-    own = F.struct("text", *[c for c in columns if c != "text"])
-    led = dealt.withColumn("after", F.lead(own).over(order))
+    led = dealt.withColumn("after", F.lead(F.struct("text", "fp")).over(order))
     key = F.when(F.col("after").isNull(), F.col("range"))
     joined = led.withColumn("last_of", key).join(
         F.broadcast(heads.withColumnRenamed("range", "last_range")), F.col("last_of") == F.col("last_range"), "left"
@@ -137,7 +139,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ranges = ranges or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     own = own.withColumn("fp", fingerprint(F.col("text")))
-    led = with_next(own, ["text", "fp"], ranges)
+    led = with_next(own, ranges)
     n, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
     kept = F.substring(F.col("text"), F.lit(1), n - half)
     led = led.select(
