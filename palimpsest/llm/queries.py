@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import decontaminate, language, licenses, multiset, near_dedup, suffix_tree, toxicity, url_filter
+from palimpsest.llm import decontaminate, language, licenses, mixing, multiset, near_dedup, suffix_tree, token_files, toxicity, url_filter
 from palimpsest.llm.oracles import RULES, SPAM_HOSTS, SQL
 from palimpsest.llm.textops import bucket
 
@@ -55,6 +55,20 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (bucket(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_rows(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), share=0.5)
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.license_scan(table(spark, sf_dir, "documents"))
     return found.withColumns({"base_labels": joined("base_labels"), "labels": joined("labels")}).drop("spans")
@@ -81,9 +95,11 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_lm_score": op2_lm_score,
     "op3_language_id": op3_language_id,
+    "op4_token_ids": op4_token_ids,
     "op5_license_scan": op5_license_scan,
     "op6_multiset_fingerprint": op6_multiset_fingerprint,
     "op7_toxicity": op7_toxicity,
     "op8_near_dedup": op8_near_dedup,
     "op9_decontamination": op9_decontamination,
+    "op10_mixing": op10_mixing,
 }
