@@ -1,9 +1,9 @@
 """Document fingerprints: a homomorphic multiset hash of paragraphs.
 
 A paragraph (a line, cut further at sentence ends) is hashed to a wide vector of LANES signed bytes; a document's
-fingerprint is the sum of its paragraphs' vectors, every lane modulo 2^20. The sum does not depend on the order,
+fingerprint is the sum of its paragraphs' vectors, every lane modulo 2^19. The sum does not depend on the order,
 and a paragraph can be added or removed by adding or subtracting its vector (combine). Three lanes stand
-in one long, each of 20 bits under a guard bit, so one masked addition adds three lanes. Only DataFrame functions
+in one long, each under two guard bits, so one masked addition adds three lanes. Only DataFrame functions
 are used.
 
 The lanes are also a linear sketch: their cosine estimates how much of two documents' multisets is common.
@@ -22,10 +22,11 @@ from palimpsest.session import checkpointed
 WORDS = 20
 LANES = 3 * WORDS
 FIELD = 21
-LANE_MASK = (1 << 20) - 1
+LANE_BITS = 19
+LANE_MASK = (1 << LANE_BITS) - 1
 MASK = sum(LANE_MASK << (FIELD * i) for i in range(3))
 BYTES = sum(255 << (FIELD * i) for i in range(3))
-_BIAS = sum(((1 << 20) - 128) << (FIELD * i) for i in range(3))
+_BIAS = sum(((1 << LANE_BITS) - 128) << (FIELD * i) for i in range(3))
 PARAGRAPH_END = r"\n+|(?<=[.!?])[ \t]+"
 
 
@@ -38,7 +39,7 @@ def _masked_sum(a: Column, b: Column) -> Column:
 
 
 def _with_word(acc: Column, h: Column) -> Column:
-    """acc and three signed bytes of a hash, one for each lane; less than a guard bit is carried."""
+    """acc and three signed bytes of a hash, one for each lane; two guard bits hold what is carried."""
     return (acc + h.bitwiseAND(_long(BYTES)) + _long(_BIAS)).bitwiseAND(_long(MASK))
 
 
@@ -64,7 +65,7 @@ def fold(hashes: Column) -> Column:
 
 def combine(left: Column, right: Column, sign: int = 1) -> Column:
     """The fingerprint of both texts' paragraphs together; with sign -1 of the left ones without the right ones."""
-    full = sum(1 << (FIELD * i + 20) for i in range(3))
+    full = sum(1 << (FIELD * i + LANE_BITS) for i in range(3))
     return F.zip_with(left, right, lambda a, b: _masked_sum(a, b if sign > 0 else _long(full) - b))
 
 
@@ -77,7 +78,7 @@ def lanes(packed: Column) -> Column:
 
     def signed(word: Column, i: int) -> Column:
         value = F.shiftrightunsigned(word, FIELD * i).bitwiseAND(_long(LANE_MASK))
-        return (value - F.when(value >= 1 << 19, _long(1 << 20)).otherwise(_long(0))).cast("double")
+        return (value - F.when(value >= 1 << (LANE_BITS - 1), _long(1 << LANE_BITS)).otherwise(_long(0))).cast("double")
 
     return F.flatten(F.transform(packed, lambda w: F.array(*[signed(w, i) for i in range(3)])))
 
