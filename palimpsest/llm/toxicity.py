@@ -160,6 +160,7 @@ def toxicity(
 
     scored = with_features(docs, lexicon).select("id", array_to_vector("features").alias("features"))
     if all(seen.get((p, y)) for p in (2, 3) for y in (0, 1)):
+        known = known.coalesce(4)  # at most about max_rows rows
         gbt = GBTClassifier(labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.2, seed=11)
         model = gbt.fit(known.where("part = 2"))
         margin = vector_to_array("probability")[1]
