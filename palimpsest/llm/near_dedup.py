@@ -133,9 +133,14 @@ def _residual_pairs(split: DataFrame, docs: DataFrame, n: int, percent: int) ->
     sharing = rare.join(other, "shingle").where("id < q and component <> c").where(sized)
     common = known.groupBy("id").agg(F.sum((F.col("df") > RARE).cast("int")).alias("common"))
     able = split.join(common, "id").where(f"100 * common >= {percent} * n")
-    other = able.select("band", F.col("id").alias("q"), F.col("component").alias("c"), F.col("n").alias("nq"), F.col("common").alias("cq"))
+    own = able.groupBy("id").agg(F.collect_set("band").alias("bands"))  # at most BANDS of them
+    able = able.join(own, "id")
+    other = able.select(
+        "band", F.col("id").alias("q"), F.col("component").alias("c"), F.col("n").alias("nq"), F.col("common").alias("cq"), F.col("bands").alias("bq")
+    )
     bound = f"100 * least(common, cq) >= {percent} * (n + nq - least(common, cq))"
-    alike = able.join(other, "band").where("id < q and component <> c").where(bound)
+    once = "array_min(array_intersect(bands, bq)) = band"  # the first of the bands that a pair shares
+    alike = able.join(other, "band").where(f"id < q and component <> c and {bound} and {once}")
     return sharing.select("id", "q").union(alike.select("id", "q")).toDF("a", "b").distinct()
 
 
