@@ -30,12 +30,14 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.components import connected_components
 from palimpsest.llm.textops import SPACED, chunks, mix64, scan, windows
-from palimpsest.session import checkpointed, written
+from palimpsest.session import arrow_batches, checkpointed, written
 
 ROWS, BANDS, MANTISSA = 5, 40, 10
 REGISTERS = ROWS * BANDS
 RARE = 16
 BROADCAST_IDS = 1_000_000
+#: Rows of texts or sets in one Arrow batch.
+BATCH = 2000
 SKETCH_TYPE = "n int, d1 long, d2 long, registers binary, bands array<long>"
 
 _rng = np.random.default_rng(20)
@@ -124,7 +126,8 @@ def _residual_pairs(split: DataFrame, docs: DataFrame, n: int, percent: int) ->
 
     members = checkpointed(split.select("id", "component", "n").distinct())
     held = _texts(docs, members.select("id").distinct()).select("id", F.explode(shingles("text")).alias("shingle"))
-    held = written(held, "shingles")
+    with arrow_batches(docs.sparkSession, BATCH):
+        held = written(held, "shingles")
     spread = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     known = written(held.join(spread, "shingle"), "spread")
     rare = known.where(F.col("df") <= RARE).join(members, "id")
@@ -164,7 +167,8 @@ def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, n: int, pe
     ids = close.select(F.col("a").alias("id")).union(close.select("b")).distinct()
     texts = checkpointed(_texts(docs, ids))
     ta, tb = (texts.select(F.col("id").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
-    return close.join(ta, "a").join(tb, "b").where(similar("ta", "tb")).select("a", "b")
+    with arrow_batches(docs.sparkSession, BATCH):
+        return checkpointed(close.join(ta, "a").join(tb, "b").where(similar("ta", "tb")).select("a", "b"))
 
 
 def near_duplicates(
@@ -178,7 +182,8 @@ def near_duplicates(
         rows = [sketch(s) for s in shingle_sets(texts, n)]
         return pd.DataFrame(rows, columns=["n", "d1", "d2", "registers", "bands"])
 
-    sketches = written(docs.select("id", sketched("text").alias("s")).select("id", "s.*"), "sketches")
+    with arrow_batches(docs.sparkSession, BATCH):
+        sketches = written(docs.select("id", sketched("text").alias("s")).select("id", "s.*"), "sketches")
     full = sketches.where("n > 0")
     classes = written(full.groupBy("d1", "d2", "n").agg(F.min("id").alias("id")), "classes")
     firsts = full.join(classes.select("id"), "id", "left_semi").dropDuplicates(["id"])
@@ -187,7 +192,7 @@ def near_duplicates(
     members = written(bands.join(shared.drop("c"), "band"), "members")
 
     stars = members.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-    links = checkpointed(_verified(stars, firsts, docs, n, percent))
+    links = _verified(stars, firsts, docs, n, percent)
     found = checkpointed(connected_components(links))
 
     placed = members.join(found.withColumnRenamed("node", "id"), "id", "left").select(
@@ -196,7 +201,7 @@ def near_duplicates(
     split = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
     split = checkpointed(placed.join(split.select("band"), "band"))
     rest = _residual_pairs(split, docs, n, percent).join(stars, ["a", "b"], "left_anti")
-    more = checkpointed(_verified(rest, firsts, docs, n, percent))
+    more = _verified(rest, firsts, docs, n, percent)
     if not more.isEmpty():
         found = checkpointed(connected_components(links.union(more)))
 
