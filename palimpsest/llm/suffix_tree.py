@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 from palimpsest.llm.textops import SPACED
 from palimpsest.session import written
 
-DEPTH = 6
+DEPTH = 5
 SYMBOLS = 256
+#: Entries of counts that a task holds before it merges them, or sends words on.
+KEPT, WORDS_KEPT = 3_000_000, 400_000
 LOG2 = float(np.log10(2.0))
 #: Bytes that no token holds: what stands before a text, and its end.
 START, END = b"\t" * DEPTH, b"\n"
@@ -96,7 +98,7 @@ def runs(values: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndar
     return values[first], np.diff(np.concatenate([first, [len(values)]]))
 
 
-def batches_of(texts, limit: int = 1 << 22) -> Iterator[tuple[int, list[list[bytes]]]]:
+def batches_of(texts, limit: int = 1 << 21) -> Iterator[tuple[int, list[list[bytes]]]]:
     """(index of the first text, token lists) of about limit bytes together."""
     first, size, held = 0, 0, []
     for i, text in enumerate(texts):
@@ -119,18 +121,23 @@ def count(train: DataFrame, text_col: str = "text") -> Counts:
 
     def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words: Counter = Counter()
-        grams, n = np.empty(0, np.int64), np.empty(0, np.int64)
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            return runs(*(np.concatenate(x) for x in zip(*parts, strict=True))) if parts else (np.empty(0, np.int64), np.empty(0, np.int64))
+
         for frame in frames:
             for _, held in batches_of(frame["text"]):
                 for own in held:
                     words.update(own)
                 words[END] += len(held)
-                found = runs(gram_keys(b"".join(map(stream, held)))[0])
-                grams, n = runs(np.concatenate([grams, found[0]]), np.concatenate([n, found[1]]))
-                if len(words) > 400_000 or len(grams) > 1_500_000:
-                    yield from table(words, grams, n)
-                    words, grams, n = Counter(), grams[:0], n[:0]
-        yield from table(words, grams, n)
+                parts.append(runs(gram_keys(b"".join(map(stream, held)))[0]))
+                if sum(len(k) for k, _ in parts) > KEPT:
+                    parts = [merged()]
+                if len(words) > WORDS_KEPT or (len(parts) == 1 and len(parts[0][0]) > KEPT // 2):
+                    yield from table(words, *merged())
+                    words, parts = Counter(), []
+        yield from table(words, *merged())
 
     raw = train.select(F.col(text_col).alias("text")).mapInPandas(counted, COUNT_TYPE)
     counts = written(raw.groupBy("word", "gram").agg(F.sum("n").alias("n")), "counts")
@@ -202,27 +209,33 @@ def _find(table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def log10_probabilities(tree: Tree, keys: np.ndarray) -> np.ndarray:
     """log10 of each key's symbol after its context, by the longest state that the context ends with."""
-    p = np.full(len(keys), 1 / SYMBOLS)
-    alive = np.arange(len(keys))
-    for k, (own, rest) in enumerate(zip(tree.levels, tree.rest, strict=True)):
-        at, there = _find(own.contexts, (keys[alive] >> 8) & ((1 << (8 * k)) - 1))
-        alive, at = alive[there], at[there]
-        if not len(alive):
-            break
-        place, known = _find(own.keys, keys[alive] & ((1 << (8 * (k + 1))) - 1))
-        n = np.where(known, own.counts[place] if len(own.keys) else 0.0, 0.0)
-        p[alive] = (n + rest[at] * p[alive]) / (own.totals[at] + tree.novelty * own.types[at])
-    return np.log10(p)
+    distinct, back = np.unique(keys, return_inverse=True)
+    return np.log10(_smoothed(tree, distinct, DEPTH))[back]
+
+
+def _smoothed(tree: Tree, keys: np.ndarray, k: int) -> np.ndarray:
+    """Probabilities of sorted distinct keys with k context bytes, from those of their distinct suffixes."""
+    if k < 0:
+        return np.full(len(keys), 1 / SYMBOLS)
+    own, rest = tree.levels[k], tree.rest[k]
+    suffixes, back = np.unique(keys & ((1 << (8 * k)) - 1), return_inverse=True) if k else (keys, np.arange(len(keys)))
+    p = _smoothed(tree, suffixes, k - 1)[back]
+    at, there = _find(own.contexts, keys >> 8)
+    at, some = at[there], keys[there]
+    place, known = _find(own.keys, some)
+    n = np.where(known, own.counts[place] if len(own.keys) else 0.0, 0.0)
+    p[there] = (n + rest[at] * p[there]) / (own.totals[at] + tree.novelty * own.types[at])
+    return p
 
 
 def score_tokens(tree: Tree, held: list[list[bytes]]) -> np.ndarray:
     """log10 of the spelled probability of each token and end of the token lists, one after another."""
     keys, _ = gram_keys(b"".join(map(stream, held)))
     codes, distinct = pd.factorize(keys)
-    values = log10_probabilities(tree, distinct)[codes]
+    values = log10_probabilities(tree, distinct).astype(np.float32)[codes]
     last = np.isin(keys & 0xFF, (0x20, END[0]))
     first = np.concatenate([[0], np.flatnonzero(last)[:-1] + 1])
-    return np.add.reduceat(values, first)
+    return np.add.reduceat(values, first, dtype=np.float64)
 
 
 def score(
