@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from palimpsest.plans import aggregates, graph_queries, joins, lifecycle_queries, ranking, scans, text_queries  # noqa: F401
+from palimpsest.plans import aggregates, graph_queries, joins, lifecycle_queries, more_queries, ranking, scans, text_queries  # noqa: F401
 from palimpsest.plans.registry import QUERIES, SQL  # noqa: F401
