@@ -104,47 +104,59 @@ def scale_for(cells: DataFrame, share: float, rounds: int = 40) -> float:
     return high
 
 
-def mix(
+def _levels(text_col: str) -> dict[str, Column]:
+    own = {"source": F.col("source"), "lang": F.col("lang"), "topic": topic(F.col(text_col))}
+    return {d: F.coalesce(c.cast("string"), F.lit(NONE)) for d, c in own.items()}
+
+
+def fitted(
     docs: DataFrame,
-    share: float = 0.5,
+    share: float,
     powers: Mapping[str, float] | None = None,
     shares: Mapping[str, Mapping[str, float]] | None = None,
-    id_col: str = "doc_id",
     text_col: str = "text",
-    seed: int = 17,
-) -> DataFrame:
-    """id, source, lang, topic, n_tokens, weight, probability and kept for every row of docs.
-
-    shares gives the targets of a dimension; other dimensions are tempered by their power.
-    """
+) -> tuple[DataFrame, float]:
+    """The weight of each cell, and the scale of the probabilities."""
     powers = {"source": 0.5, "lang": 0.5, "topic": 0.7} | dict(powers or {})
-    level = {"source": F.col("source"), "lang": F.col("lang"), "topic": topic(F.col(text_col))}
-    rows = docs.select(
-        F.col(id_col).alias("id"), *[F.coalesce(c.cast("string"), F.lit(NONE)).alias(d) for d, c in level.items()], n_tokens(F.col(text_col)).alias("n_tokens")
-    )
+    levels = [c.alias(d) for d, c in _levels(text_col).items()]
+    rows = docs.select(*levels, n_tokens(F.col(text_col)).alias("n_tokens"))
     cells = checkpointed(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")))
     targets = {d: given(docs.sparkSession, d, shares[d]) if shares and d in shares else tempered(cells, d, powers[d]) for d in DIMENSIONS}
     raked, _ = rake(cells, targets)
     n_cells, all_tokens = raked.agg(F.count(F.lit(1)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     weighed = checkpointed(raked.withColumn("weight", F.col("raked") * F.lit(all_tokens) / F.col("tokens")))
-    scale = scale_for(weighed, share)
-    weights = weighed.select(*DIMENSIONS, "weight")
-    weights = F.broadcast(weights) if n_cells <= BROADCAST_CELLS else weights
-    unit = F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 11) / F.lit(float(1 << 53))
-    probability = F.least(F.lit(1.0), F.lit(scale) * F.col("weight"))
-    out = rows.join(weights, list(DIMENSIONS), "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
-    out = out.withColumn("probability", probability)
-    return out.select(
+    weights = weighed.select(F.struct(*DIMENSIONS).alias("_cell"), F.col("weight").alias("_weight"))
+    return F.broadcast(weights) if n_cells <= BROADCAST_CELLS else weights, scale_for(weighed, share)
+
+
+def _kept(identity: Column, weight: Column, scale: float, seed: int) -> tuple[Column, Column]:
+    """The probability of a document, and whether the hash of its id falls under it."""
+    probability = F.least(F.lit(1.0), F.lit(scale) * F.coalesce(weight, F.lit(0.0)))
+    unit = F.shiftrightunsigned(F.xxhash64(identity, F.lit(seed)), 11) / F.lit(float(1 << 53))
+    return probability, unit < probability
+
+
+def mix(docs: DataFrame, share: float = 0.5, id_col: str = "doc_id", text_col: str = "text", seed: int = 17, **targets) -> DataFrame:
+    """id, source, lang, topic, n_tokens, weight, probability and kept for every row of docs.
+
+    Targets: shares gives those of a dimension; other dimensions are tempered by their power, in powers.
+    """
+    weights, scale = fitted(docs, share, text_col=text_col, **targets)
+    rows = docs.select(F.col(id_col).alias("id"), F.struct(*[c.alias(d) for d, c in _levels(text_col).items()]).alias("_cell"), n_tokens(F.col(text_col)).alias("n_tokens"))
+    probability, kept = _kept(F.col("id"), F.col("_weight"), scale, seed)
+    return rows.join(weights, "_cell", "left").select(
         F.col("id").alias(id_col),
-        *[F.when(F.col(d) != NONE, F.col(d)).alias(d) for d in DIMENSIONS],
+        *[F.when(F.col("_cell")[d] != NONE, F.col("_cell")[d]).alias(d) for d in DIMENSIONS],
         "n_tokens",
-        "weight",
-        "probability",
-        (unit < F.col("probability")).alias("kept"),
+        F.coalesce("_weight", F.lit(0.0)).alias("weight"),
+        probability.alias("probability"),
+        kept.alias("kept"),
     )
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The kept rows of docs with all their columns."""
-    kept = mix(docs, id_col=id_col, **options).where("kept").select(F.col(id_col).alias("_kept"))
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept"]), "left_semi")
+def mixed(docs: DataFrame, share: float = 0.5, id_col: str = "doc_id", text_col: str = "text", seed: int = 17, **targets) -> DataFrame:
+    """The kept rows of docs with all their columns; the texts are not shuffled."""
+    weights, scale = fitted(docs, share, text_col=text_col, **targets)
+    held = docs.select(F.struct("*").alias("_row"), F.struct(*[c.alias(d) for d, c in _levels(text_col).items()]).alias("_cell"))
+    _, kept = _kept(F.col("_row")[id_col], F.col("_weight"), scale, seed)
+    return held.join(weights, "_cell", "left").where(kept).select("_row.*")

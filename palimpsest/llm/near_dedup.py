@@ -222,5 +222,7 @@ def without_near_duplicates(
     docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """docs with all their columns, one document of each component: the one whose id is the smallest."""
-    gone = near_duplicates(docs, n, percent, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("_gone"))
+    gone = near_duplicates(docs, n, percent, id_col, text_col).where(~F.col("kept"))
+    gone = checkpointed(gone.select(F.col(id_col).alias("_gone")))
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
