@@ -64,3 +64,15 @@ def signature(terms: Column) -> Column:
 def tidy(text: Column, most: int) -> Column:
     """White space collapsed, at most most characters."""
     return F.substring(F.trim(F.regexp_replace(text, "[ \t\r\n]+", " ")), 1, most)
+
+
+def marked(text: Column, mark: Column) -> Column:
+    """text with the bits of a hex mark after it, as zero-width characters."""
+    bits = F.lpad(F.conv(mark, 16, 2), 32, "0")
+    return F.concat(text, F.translate(bits, "01", "​‌"))
+
+
+def mark_of(text: Column) -> Column:
+    """The hex mark hidden at the end of a text, null without one."""
+    hidden = F.regexp_extract(text, "([​‌]{32})$", 1)
+    return F.when(hidden != "", F.lower(F.lpad(F.conv(F.translate(hidden, "​‌", "01"), 2, 16), 8, "0")))
