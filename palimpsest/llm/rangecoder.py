@@ -15,9 +15,9 @@ from __future__ import annotations
 
 import numpy as np
 
-BLOCK = 8192
-RENEWED = (64, 256, 1024, 2048, 4096)
-TABLE_BITS = 12
+BLOCK = 4096
+RENEWED = (64, 256, 1024, 2048)
+TABLE_BITS = 11
 SCALE = 12
 FULL = 1 << SCALE
 ESCAPE = 65535

@@ -17,12 +17,13 @@ long texts are many blocks of one frame. An empty table gives an empty file and
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -37,14 +38,27 @@ from palimpsest.session import shared_dir
 MAGIC, HEAD = b"PTF1", struct.Struct("<4sIQQI")
 FRAME = 8 * BLOCK
 #: Blocks coded side by side, words kept before the word table starts anew.
-LANES, WORDS_KEPT = 384, 1_000_000
+LANES, WORDS_KEPT = 1536, 1_000_000
 NO_ID = -(2**63)
 FILE_TYPE = "shard int, frame int, tokens long, payload binary"
 ROW_TYPE = "shard int, at long, doc_id long, n_tokens long, ids_crc32 long"
 
 
+#: A full stop or comma after a letter or digit at a word's end is a token of its own, so it can be a word of its own.
+_STOP = re.compile(rb"(?<=[a-z0-9])(?=[.,](?:[ \t-\r]|$))")
+_UPPER_TO_LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
+_tokenizers: dict[tuple[str, int], "WordTokenizer"] = {}
+
+
+def tokenizer_for(path: str, end_id: int) -> "WordTokenizer":
+    """The tokenizer of this process for path; the words it knows serve later tasks too."""
+    if (path, end_id) not in _tokenizers:
+        _tokenizers[(path, end_id)] = WordTokenizer(path, end_id)
+    return _tokenizers[(path, end_id)]
+
+
 class WordTokenizer:
-    """Ids of texts by a tokenizer that never joins across white space: each distinct word is encoded once."""
+    """Ids of texts by a tokenizer that lowers case and never joins across white space: each distinct word is encoded once."""
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -60,21 +74,28 @@ class WordTokenizer:
         self.lengths = np.ones(1, np.int64)
         self.codes[b""]  # code 0, which no word has, is the end id
 
+    @staticmethod
+    def _words(text: str) -> list[bytes]:
+        data = text.encode("utf-8", "surrogatepass")
+        if b"<|" in data:  # special tokens are not lowered
+            return data.split()
+        return _STOP.sub(b" ", data.translate(_UPPER_TO_LOWER)).split()
+
     def _learn(self) -> None:
         new = [w.decode("utf-8", "surrogatepass") for w in islice(self.codes, len(self.lengths), None)]
         if new:
             found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
             self.lengths = np.concatenate([self.lengths, np.fromiter(map(len, found), np.int64, len(found))])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for ids in found for i in ids), np.int32)])
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.int32)])
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text and the end id."""
         if len(self.codes) > WORDS_KEPT:
             self._fresh()
         look = self.codes.__getitem__
-        rows = [[*map(look, t.encode("utf-8", "surrogatepass").split()), 0] if isinstance(t, str) else [0] for t in texts]
+        rows = [[*map(look, self._words(t)), 0] if isinstance(t, str) else [0] for t in texts]
         self._learn()
-        codes = np.fromiter((c for row in rows for c in row), np.int64)
+        codes = np.fromiter(chain.from_iterable(rows), np.int64)
         lengths = self.lengths[codes]
         starts = np.cumsum(self.lengths) - self.lengths
         ends = np.cumsum(lengths)
@@ -126,7 +147,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
     shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = WordTokenizer(tokenizer, end_id)
+        words = tokenizer_for(tokenizer, end_id)
         shard = TaskContext.get().partitionId()
         pending: list[list[tuple[int, np.ndarray]]] = []
         size = before = number = waiting = 0
