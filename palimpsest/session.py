@@ -7,7 +7,9 @@ import contextlib
 import shutil
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,3 +66,21 @@ def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(key, before)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once an application, in case that they do not find it by themselves."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).parent
+    made = tempfile.mkdtemp(prefix="palimpsest-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    with zipfile.ZipFile(f"{made}/palimpsest.zip", "w") as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent))
+    context.addPyFile(f"{made}/palimpsest.zip")
+    _shipped.add(context.applicationId)
