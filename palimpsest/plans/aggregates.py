@@ -311,7 +311,7 @@ def duplicate_edges(spark, d):
 def channel_ranks(spark, d):
     w = Window.partitionBy("channel").orderBy(F.desc("value"), "fact_id")
     e = table(spark, d, "events").select(F.col("event_type").alias("channel"), F.col("event_id").alias("fact_id"), "value")
-    return e.withColumn("rank", F.row_number().over(w)).where("rank <= 50").drop("value")
+    return e.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 50").drop("value")
 
 
 @query("q098_share_of_total", "select event_type, round(count(*) / sum(count(*)) over (), 6) as share from events group by 1")
@@ -369,7 +369,7 @@ def session_diversity(spark, d):
     top = e.withColumn("own", F.row_number().over(own)).orderBy(F.desc("value"), "event_id").limit(100)
     top = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("value"), "event_id")))
     tier = F.when(F.col("rank") <= 17, 0).when(F.col("own") == 1, 1).otherwise(2)
-    return top.withColumn("position", F.row_number().over(Window.orderBy(tier, "rank"))).where("position <= 20").select("event_id", "position")
+    return top.withColumn("position", F.row_number().over(Window.orderBy(tier, "rank")).cast("long")).where("position <= 20").select("event_id", "position")
 
 
 @query(

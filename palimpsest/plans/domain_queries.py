@@ -55,7 +55,7 @@ def quantised(spark, d):
 def contract(spark, d):
     w, every = Window.partitionBy("user_id").orderBy(F.desc("value"), "event_id"), Window.partitionBy("user_id")
     score = F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("value") / 100)), 6)
-    return table(spark, d, "events").select("user_id", "event_id", F.row_number().over(w).alias("position"), score.alias("score"), (F.max("value").over(every) < 90).alias("abstain"))
+    return table(spark, d, "events").select("user_id", "event_id", F.row_number().over(w).cast("long").alias("position"), score.alias("score"), (F.max("value").over(every) < 90).alias("abstain"))
 
 
 @query("q157_community_summaries", "select label, count(*) as n, array_to_string(list_sort(list(vec_id))[1:5], ',') as members from embeddings group by 1")

@@ -80,7 +80,7 @@ def next_tools(spark, d):
 @query("q103_total_order", "select user_id, event_id, row_number() over (partition by user_id order by round(value) desc, event_id) as position from events")
 def total_order(spark, d):
     w = Window.partitionBy("user_id").orderBy(F.round("value").desc(), "event_id")
-    return table(spark, d, "events").select("user_id", "event_id", F.row_number().over(w).alias("position"))
+    return table(spark, d, "events").select("user_id", "event_id", F.row_number().over(w).cast("long").alias("position"))
 
 
 @query("q110_neighbours", f"with {EDGES_SQL} select dst as n from edges where src = 2 union all select src from edges where dst = 2 union all select dst from edges where src = 4 and weight > 1 union all select src from edges where dst = 4")
@@ -186,7 +186,7 @@ def weighted_channels(spark, d):
 def exact_first(spark, d):
     order = [F.when(F.col("event_type") == "purchase", 0).otherwise(1), F.desc("value"), F.col("event_id")]
     top = table(spark, d, "events").orderBy(*order).limit(100)
-    return top.select("event_id", F.row_number().over(Window.orderBy(*order)).alias("position"))
+    return top.select("event_id", F.row_number().over(Window.orderBy(*order)).cast("long").alias("position"))
 
 
 @query("q144_features", f"with {FACTS_SQL} select fact_id, (fact_type = 'en')::int as is_en, round(ln(1 + access_count), 6) as use, round((epoch(timestamp '{AS_OF}') - epoch(created_at)) / 86400, 4) as age, round(confidence, 6) as trust, least(n_chars, 10000) as size from facts")
