@@ -58,14 +58,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 @contextlib.contextmanager
 def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Within, Arrow batches have at most rows rows. For actions that run inside; the session's setting comes back after."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+    """Within, Arrow batches have at most rows rows and about 16 MB. For actions that run inside; the settings come back after."""
+    keys = {"maxRecordsPerBatch": str(rows), "maxBytesPerBatch": "16m"}
+    keys = {f"spark.sql.execution.arrow.{k}": v for k, v in keys.items()}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 _shipped: set[str] = set()
