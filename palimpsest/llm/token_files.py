@@ -33,12 +33,12 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import rangecoder
 from palimpsest.llm.rangecoder import BLOCK
-from palimpsest.session import shared_dir
+from palimpsest.session import arrow_batches, shared_dir
 
 MAGIC, HEAD = b"PTF1", struct.Struct("<4sIQQI")
 FRAME = 8 * BLOCK
 #: Blocks coded side by side, words kept before the word table starts anew.
-LANES, WORDS_KEPT = 1536, 1_000_000
+LANES, WORDS_KEPT = 768, 400_000
 NO_ID = -(2**63)
 FILE_TYPE = "shard int, frame int, tokens long, payload binary"
 ROW_TYPE = "shard int, at long, doc_id long, n_tokens long, ids_crc32 long"
@@ -179,7 +179,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
 
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     dealt = own.repartitionByRange(shards, "id").sortWithinPartitions("id", "text")
-    dealt.mapInPandas(encoded, FILE_TYPE).write.option("compression", "none").parquet(path)
+    with arrow_batches(docs.sparkSession, 2000):
+        dealt.mapInPandas(encoded, FILE_TYPE).write.option("compression", "none").parquet(path)
 
 
 def read_tokens(spark, path: str) -> DataFrame:
