@@ -27,8 +27,7 @@ BROADCAST_CELLS = 200_000
 
 def n_tokens(text: Column) -> Column:
     """Runs of other characters than ASCII white space."""
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), r"^[ \t-\r]+|[ \t-\r]+$", "")
-    return F.when(trimmed == "", F.lit(0)).otherwise(F.regexp_count(trimmed, F.lit(r"[ \t-\r]+")) + 1).cast("long")
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^ \t-\r]+")).cast("long")
 
 
 def topic(text: Column) -> Column:
@@ -59,8 +58,11 @@ def given(spark, dimension: str, shares: Mapping[str, float]) -> DataFrame:
 def rake(cells: DataFrame, targets: Mapping[str, DataFrame], tolerance: float = 1e-4, max_rounds: int = 30) -> tuple[DataFrame, float]:
     """cells (dimensions, tokens) with raked shares, and the largest distance of a marginal from its target.
 
-    Cells whose level has no target get 0. Targets are made to fit the levels that have tokens.
+    Cells whose level has no target get 0. Targets are made to fit the levels that have tokens. Up to
+    BROADCAST_CELLS cells are one partition, so that a round needs no shuffle; more are dealt by each dimension.
     """
+    few = cells.count() <= BROADCAST_CELLS
+    settled = (lambda df: checkpointed(df).coalesce(1)) if few else checkpointed
     now = cells.where("tokens > 0")
     for d, shares in targets.items():
         now = now.join(shares.withColumnRenamed("target", f"target_{d}"), d)
@@ -68,12 +70,12 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], tolerance: float =
         seen = now.select(d, f"target_{d}").distinct().agg(F.sum(f"target_{d}")).first()[0] or 1.0
         now = now.withColumn(f"target_{d}", F.col(f"target_{d}") / F.lit(seen))
     total = now.agg(F.sum("tokens")).first()[0] or 1
-    now = checkpointed(now.withColumn("raked", F.col("tokens") / F.lit(total)))
+    now = settled(now.withColumn("raked", F.col("tokens") / F.lit(total)))
     off = 0.0
     for _ in range(max_rounds):
         for d in targets:
             now = now.withColumn("raked", F.col("raked") * F.col(f"target_{d}") / F.sum("raked").over(Window.partitionBy(d)))
-        now = checkpointed(now)
+        now = settled(now)
         gaps = [now.groupBy(d).agg(F.abs(F.sum("raked") - F.first(f"target_{d}")).alias("gap")) for d in targets]
         gap = gaps[0].select("gap")
         for other in gaps[1:]:
