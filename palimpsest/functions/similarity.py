@@ -40,7 +40,7 @@ def jaro(a: str, b: str) -> float:
     if not found:
         return 0.0
     ordered = sorted(j for _, j in found)
-    moved = sum(b[j] != a[i] for (i, _), j in zip(found, ordered, strict=True)) / 2
+    moved = sum(b[j] != a[i] for (i, _), j in zip(found, ordered, strict=True)) // 2
     m = len(found)
     return (m / len(a) + m / len(b) + (m - moved) / m) / 3
 

@@ -79,3 +79,29 @@ def spread(edges: DataFrame, seeds: DataFrame, rounds: int = 3, keep: float = 0.
         total = kept.union(sent).groupBy("node").agg(F.round(F.sum("activation"), 9).alias("activation"))
         now = checkpointed(total.orderBy(F.desc("activation"), "node").limit(top))
     return now.select("node", F.round(1 / (1 + F.exp(-(F.col("activation") - 0.2))), 6).alias("activation"))
+
+
+def betweenness(edges: DataFrame, depth: int) -> DataFrame:
+    """node and score: the share of shortest paths of at most depth edges between two others that pass the node.
+
+    Path counts go forward a hop at a time and dependencies come back the same way, for all sources at once, so a
+    row is a (source, node) pair within depth hops. Each unordered pair of ends counts once.
+    """
+    links = checkpointed(undirected(edges).select("src", "dst"))
+    levels = [links.select(F.col("src").alias("s")).distinct().select("s", F.col("s").alias("v"), F.lit(1.0).alias("paths"))]
+    seen = levels[0].select("s", "v")
+    for _ in range(depth):
+        step = levels[-1].join(links.withColumnRenamed("src", "v"), "v").groupBy("s", F.col("dst").alias("v")).agg(F.sum("paths").alias("paths"))
+        levels.append(checkpointed(step.join(seen, ["s", "v"], "left_anti")))
+        seen = checkpointed(seen.union(levels[-1].select("s", "v")))
+    found, below = None, None
+    for level in reversed(levels[1:]):
+        own = level if below is None else level.join(below, ["s", "v"], "left")
+        own = checkpointed(own.select("s", "v", "paths", (F.lit(0.0) if below is None else F.coalesce("dependency", F.lit(0.0))).alias("dependency")))
+        one = own.select("v", "dependency")
+        found = one if found is None else found.union(one)
+        at = levels.index(level) - 1
+        before = levels[at].select("s", F.col("v").alias("src"), F.col("paths").alias("before"))
+        share = own.join(links.withColumnRenamed("dst", "v"), "v").join(before, ["s", "src"])
+        below = share.groupBy("s", F.col("src").alias("v")).agg(F.sum(F.col("before") / F.col("paths") * (1 + F.col("dependency"))).alias("dependency"))
+    return found.groupBy(F.col("v").alias("node")).agg((F.sum("dependency") / 2).alias("score"))

@@ -176,3 +176,15 @@ def contradictions(spark, d):
     o = table(spark, d, "orders").select("o_custkey", F.to_date("o_orderdate").alias("day"), "o_orderkey", "o_orderstatus")
     b = o.select("o_custkey", "day", F.col("o_orderkey").alias("b"), F.col("o_orderstatus").alias("s"))
     return o.join(b, ["o_custkey", "day"]).where("o_orderkey < b and o_orderstatus <> s").select(F.col("o_orderkey").alias("a"), "b")
+
+
+@query(
+    "q145_ensemble",
+    """with b as (select event_type, (1 + count(*) filter (where value >= 50)) / (2 + count(*)) as p from events group by 1)
+       select event_id, round(0.4 / (1 + exp(-(value - 50) / 20)) + 0.6 * p, 6) as score from events join b using (event_type)""",
+)
+def ensemble(spark, d):
+    """A logistic stand-in for the learned ranker, mixed with the posterior mean of the event's arm."""
+    e = table(spark, d, "events")
+    b = e.groupBy("event_type").agg(((1 + F.count_if(F.col("value") >= 50)) / (2 + F.count(F.lit(1)))).alias("p"))
+    return e.join(b, "event_type").select("event_id", F.round(0.4 / (1 + F.exp(-(F.col("value") - 50) / 20)) + 0.6 * F.col("p"), 6).alias("score"))

@@ -90,6 +90,26 @@ def components(spark, d):
     return G.components(nation_edges(spark, d))
 
 
+def _betweenness_sql(depth: int) -> str:
+    steps = ["l0 as (select distinct src::bigint as s, src::bigint as v, 1.0::double as paths from b)", "n0 as (select s, v from l0)"]
+    for i in range(depth):
+        steps.append(
+            f"l{i + 1} as materialized (select s, dst as v, sum(paths) as paths from l{i} join b on b.src = v where (s, dst) not in (select s, v from n{i}) group by 1, 2), n{i + 1} as materialized (select s, v from n{i} union select s, v from l{i + 1})"
+        )
+    steps.append(f"d{depth} as (select s, v, paths, 0.0::double as d from l{depth})")
+    for i in range(depth, 1, -1):
+        steps.append(
+            f"d{i - 1} as materialized (select l.s, l.v, l.paths, coalesce(sum(l.paths / w.paths * (1 + w.d)), 0) as d from l{i - 1} l left join (select d{i}.*, b.src as u from d{i} join b on b.dst = d{i}.v) w on w.s = l.s and w.u = l.v group by 1, 2, 3)"
+        )
+    every = " union all ".join(f"select v, d from d{i}" for i in range(1, depth + 1))
+    return f"with {_NATION}, {_BOTH}, " + ", ".join(steps) + f" select v::bigint as node, round(sum(d) / 2, 6) as score from ({every}) group by 1"
+
+
+@query("q153_betweenness", _betweenness_sql(5))
+def betweenness(spark, d):
+    return G.betweenness(nation_edges(spark, d), 5).select("node", F.round("score", 6).alias("score"))
+
+
 @query(
     "q163_blast_radius",
     f"""with recursive {EDGES_SQL}, e as (select src, dst, weight from edges where weight >= 2), {_BOTH}, w as (select 3::bigint as node, 0 as hops union select b.dst, hops + 1 from w join b on b.src = w.node where hops < 2) select node, min(hops) as hops from w group by 1""",
