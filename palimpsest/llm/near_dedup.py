@@ -37,7 +37,7 @@ REGISTERS = ROWS * BANDS
 RARE = 16
 BROADCAST_IDS = 1_000_000
 #: Rows of texts or sets in one Arrow batch.
-BATCH = 2000
+BATCH = 1000
 SKETCH_TYPE = "n int, d1 long, d2 long, registers binary, bands array<long>"
 
 _rng = np.random.default_rng(20)

@@ -38,7 +38,7 @@ from palimpsest.session import arrow_batches, shared_dir
 MAGIC, HEAD = b"PTF1", struct.Struct("<4sIQQI")
 FRAME = 8 * BLOCK
 #: Blocks coded side by side, words kept before the word table starts anew.
-LANES, WORDS_KEPT = 768, 400_000
+LANES, WORDS_KEPT = 768, 200_000
 NO_ID = -(2**63)
 FILE_TYPE = "shard int, frame int, tokens long, payload binary"
 ROW_TYPE = "shard int, at long, doc_id long, n_tokens long, ids_crc32 long"
