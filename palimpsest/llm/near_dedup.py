@@ -18,7 +18,8 @@ With bands of 5 registers and 40 bands a pair at the threshold of 0.8 is missed
 (1 - 0.8^5)^40 = 1.2e-7, and less above it.
 
 Null or empty texts have the empty set, which is linked with nothing. Equal texts have equal sets, ties are
-broken by the smaller id. Repeated ids count as one node. An empty table gives an empty result.
+broken by the smaller id. Repeated ids count as one node. Rows with a null id are kept. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations

@@ -280,3 +280,9 @@ def test_pipeline_stages(spark):
     assert found == {r["doc_id"] for r in docs.collect()}
     kept = spark.read.parquet(f"{sf}/documents.parquet").join(docs.select("doc_id"), "doc_id", "left_semi")
     assert kept.where(F.col("text").isNull()).count() == 0
+
+
+def test_near_duplicates_without_ids(spark):
+    docs = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (3, "a b c d e f"), (4, "a b c d e f")], "doc_id long, text string")
+    kept = sorted(r["doc_id"] or 0 for r in near_dedup.without_near_duplicates(docs).collect())
+    assert kept == [0, 0, 3]
