@@ -16,30 +16,41 @@ from palimpsest.llm.textops import bucket
 from palimpsest.session import written
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 1000 texts and about 16 MB, for the whole application, so that workers stay small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a recognised language."""
+    small_batches(spark)
     model = language.fit(docs.where(bucket(F.col("doc_id"), 4) != 2))
     return language.with_known_language(docs, model)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest id of each group of copies and near copies."""
+    small_batches(spark)
     return near_dedup.without_near_duplicates(docs, n=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold ten consecutive words of a benchmark item."""
+    small_batches(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.decontaminated(docs, items, n=10, mode="documents")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Samples documents so that sources, languages and topics have their target shares of the tokens."""
+    small_batches(spark)
     return mixing.mixed(docs, share=0.5)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Writes the token file and returns what is read back from it."""
+    small_batches(spark)
     return token_files.token_rows(docs, tokenizer_path(), end_id=2)
 
 
