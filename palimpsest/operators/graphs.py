@@ -15,20 +15,27 @@ def undirected(edges: DataFrame) -> DataFrame:
     return both.groupBy("src", "dst").agg(F.max("weight").alias("weight"))
 
 
-def pagerank(edges: DataFrame, rounds: int = 10, alpha: float = 0.85) -> DataFrame:
-    """node and rank: weighted power iteration from the uniform vector; the mass of nodes without out-edges is shared by all."""
+def pagerank(edges: DataFrame, alpha: float = 0.85, tolerance: float = 1e-10, max_rounds: int = 200) -> DataFrame:
+    """node and rank: weighted power iteration from the uniform vector until the ranks change by at most tolerance in sum.
+
+    The mass of nodes without out-edges is shared by all.
+    """
     nodes = checkpointed(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct())
     n = nodes.count()
-    out = Window.partitionBy("src")
-    shares = checkpointed(edges.select("src", "dst", (F.col("weight") / F.sum("weight").over(out)).alias("share")))
+    sums = edges.groupBy("src").agg(F.sum("weight").alias("out"))
+    shares = checkpointed(edges.join(sums, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("share")))
     ends = checkpointed(nodes.join(edges.select(F.col("src").alias("node")).distinct(), "node", "left_anti"))
     rank = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
-    for _ in range(rounds):
+    for _ in range(max_rounds):
         loose = rank.join(ends, "node", "left_semi").agg(F.sum("rank")).first()[0] or 0.0
         moved = shares.join(rank.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
         fresh = alpha * (F.coalesce("got", F.lit(0.0)) + F.lit(loose / max(n, 1))) + F.lit((1 - alpha) / max(n, 1))
-        rank = checkpointed(nodes.join(moved, "node", "left").select("node", fresh.alias("rank")))
-    return rank
+        both = nodes.join(moved, "node", "left").join(rank.withColumnRenamed("rank", "before"), "node")
+        stepped = checkpointed(both.select("node", fresh.alias("rank"), F.abs(fresh - F.col("before")).alias("change")))
+        rank = stepped.drop("change")
+        if (stepped.agg(F.sum("change")).first()[0] or 0.0) <= tolerance:
+            return rank
+    raise RuntimeError(f"ranks did not settle in {max_rounds} rounds")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
