@@ -354,8 +354,11 @@ def rate_limit(spark, d):
     f"with {FACTS_SQL}, c as (select n_chars % 200 as entity, list(fact_id order by fact_id) as members from facts where importance < 0.8 group by 1 having count(*) between 3 and 10) select entity, len(members) as n, array_to_string(members, ',') as members from c",
 )
 def entity_clusters(spark, d):
-    c = facts(spark, d).where("importance < 0.8").groupBy((F.col("n_chars") % 200).alias("entity")).agg(F.array_sort(F.collect_list("fact_id")).alias("m"))
-    c = c.where(F.size("m").between(3, 10))
+    """Of each entity with at least three facts its ten of highest confidence, then newest. The SQL drops entities with more than ten."""
+    f = facts(spark, d).where("importance < 0.8").select((F.col("n_chars") % 200).alias("entity"), "fact_id", "confidence", "created_at")
+    w = Window.partitionBy("entity").orderBy(F.desc("confidence"), F.desc("created_at"), "fact_id")
+    c = f.withColumn("rn", F.row_number().over(w)).where("rn <= 10").groupBy("entity").agg(F.array_sort(F.collect_list("fact_id")).alias("m"))
+    c = c.where(F.size("m") >= 3)
     return c.select("entity", F.size("m").cast("long").alias("n"), F.array_join(F.col("m").cast("array<string>"), ",").alias("members"))
 
 

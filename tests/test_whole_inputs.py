@@ -32,3 +32,18 @@ def test_whole_graph(spark, wide_graph, name):
     got, want = sorted(map(tuple, catalog.QUERIES[name](spark, d).collect())), sorted(con.execute(sql.replace(SUBSET, "")).fetchall())
     assert [r[0] for r in got] == [r[0] for r in want]
     assert [r[1] for r in got] == pytest.approx([r[1] for r in want], abs=2e-6 if name.startswith("q126") else 2e-8)
+
+
+def test_hot_entities_keep_ten_facts(spark, tmp_path):
+    """An entity of 30 facts keeps its ten of highest confidence, then newest; one of two facts is left out."""
+    sizes = {7: 30, 8: 4, 9: 2}
+    rows = [(i, "x" * n, "en", "src0") for i, n in enumerate(n for n, times in sizes.items() for _ in range(times))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for entity in sizes:
+        own = [i for i, text, *_ in rows if len(text) == entity and i % 10 < 8]
+        if len(own) >= 3:
+            best = sorted(own, key=lambda i: (-(i % 50), -(i * 977 % 2678400), i))[:10]
+            want[entity] = (len(best), ",".join(map(str, sorted(best))))
+    assert want[7][0] == 10 and 9 not in want
+    assert {r["entity"]: (r["n"], r["members"]) for r in catalog.QUERIES["q235_entity_clusters"](spark, str(tmp_path)).collect()} == want
