@@ -259,6 +259,19 @@ def test_mixing_against_brute_force(spark):
     assert by["en"] == pytest.approx(by["de"], rel=0.02) and by[None] == 0
 
 
+def test_mixing_makes_up_for_full_cells(spark):
+    cells = [("a", "en", 1000), ("a", "de", 200), ("b", "en", 200), ("b", "de", 200)]
+    rows = [(i, "w " * 10, lang, source) for i, (source, lang) in enumerate((s, x) for s, x, n in cells for _ in range(n))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = mixing.mix(docs, share=0.45, shares={"source": {"a": 1, "b": 1}, "lang": {"en": 1, "de": 1}}).collect()
+    assert max(r["probability"] for r in found) <= 1
+    by = Counter()
+    for r in found:
+        for d in ("source", "lang", "topic"):
+            by[r[d]] += r["n_tokens"] * r["probability"] / (0.45 * 16000)
+    assert {k: round(v, 3) for k, v in by.items()} == {"a": 0.5, "b": 0.5, "en": 0.5, "de": 0.5, "short": 1.0}
+
+
 # --- pipeline -------------------------------------------------------------------------------------------------
 
 
