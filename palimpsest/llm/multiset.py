@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.session import checkpointed
 
-WORDS = 16
+WORDS = 20
 LANES = 3 * WORDS
 FIELD = 21
 LANE_BITS = 19

@@ -270,3 +270,14 @@ def test_fingerprints_combine(spark):
         (multiset.combine(fp["x"], fp["y"]) == fp["both"]).alias("sum"), (multiset.combine(fp["both"], fp["y"], -1) == fp["x"]).alias("difference")
     ).first()
     assert found["sum"] and found["difference"]
+
+
+def test_likeness_of_half_shared_texts(spark):
+    """The error of the likeness of two texts of 40 paragraphs that share 20, against the exact 0.5."""
+    from pyspark.sql import functions as F
+
+    x, y = (F.concat_ws("\n", F.transform(F.sequence(F.lit(a), F.lit(a + 39)), lambda i: F.concat_ws(" ", "id", i))) for a in (0, 20))
+    pairs = spark.range(1000).select(x.alias("x"), y.alias("y"))
+    near = pairs.select(multiset.likeness(multiset.fingerprint(F.col("x")), multiset.fingerprint(F.col("y"))).alias("s"))
+    error = near.agg(F.sqrt(F.avg((F.col("s") - 0.5) ** 2))).first()[0]
+    assert multiset.LANES >= 60 and error < 0.1025
