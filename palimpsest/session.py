@@ -57,12 +57,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 @contextlib.contextmanager
-def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Within, Arrow batches have at most rows rows and about 16 MB. For actions that run inside; the settings come back after."""
-    keys = {"maxRecordsPerBatch": str(rows), "maxBytesPerBatch": "16m"}
-    keys = {f"spark.sql.execution.arrow.{k}": v for k, v in keys.items()}
-    before = {k: spark.conf.get(k) for k in keys}
-    for k, v in keys.items():
+def arrow_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Within, Arrow batches have at most rows rows (the session's bound if it is lower) and about 16 MB.
+
+    For actions that run inside; the settings come back after.
+    """
+    most, size = (f"spark.sql.execution.arrow.{k}" for k in ("maxRecordsPerBatch", "maxBytesPerBatch"))
+    before = {k: spark.conf.get(k) for k in (most, size)}
+    own = int(before[most])
+    for k, v in {most: str(min(own, rows) if own > 0 else rows), size: "16m"}.items():
         spark.conf.set(k, v)
     try:
         yield
