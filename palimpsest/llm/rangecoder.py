@@ -1,11 +1,11 @@
-"""Adaptive context-mixing range coder for token ids, many blocks side by side.
+"""Adaptive context-mixing range coder for token ids: the blocks of a frame, side by side.
 
-Each block starts from the same state. For every id three predictions are made: the id last seen after the two ids
-before it (order 2), the one last seen after the id before it (order 1), and the frequencies of the block so far
-(order 0, renewed at fixed places). How far orders 2 and 1 can be trusted, by their run of hits, and how often
-predictions came true of late give three probabilities that the predicted id comes; they are mixed in the logistic
-domain with weights that learn from each outcome. The outcome, and for a miss the id's place in the order-0
-table, narrow the range in one step; an id that the table lacks is an escape followed by its 16 bits.
+A frame's ids are cut into blocks of BLOCK. Every block starts from the same state and is coded apart from the
+others. That state is the frame's: how often each id occurs (order 0) and how often ids follow an id (order 1), stored once a
+frame. From there a block adapts to itself: it keeps the id that last came after two ids (order 2) and how well it
+has held, and learns how often such predictions come true, by their record and by the latest outcomes. Both chances are
+mixed in the logistic domain with weights that learn from each outcome. The outcome narrows the range; where the
+prediction fails, the id's share of the order-1 frequencies does, or the escape's share and then that of order 0.
 
 Blocks are the lanes of numpy arrays: one step codes the next id of all of them. Everything is whole-number
 arithmetic, so that decoding repeats encoding exactly. Ids are below 65535.
@@ -13,17 +13,24 @@ arithmetic, so that decoding repeats encoding exactly. Ids are below 65535.
 
 from __future__ import annotations
 
+import struct
+import zlib
+
 import numpy as np
 
-BLOCK = 4096
-RENEWED = (64, 256, 1024, 2048)
+BLOCK = 2048
 TABLE_BITS = 11
 SCALE = 12
 FULL = 1 << SCALE
+#: Pairs of ids that occur less often in a frame are left to order 0.
+LEAST_PAIR = 4
+MOST_BITS = 12
 ESCAPE = 65535
-_STEP = np.uint64(2 * SCALE)
+_SCALE = np.uint64(SCALE)
 _32 = np.uint64(32)
 _LOW32 = np.uint64(0xFFFFFFFF)
+_FIELD = 20
+_WIDTH = (1 << _FIELD) - 1
 
 
 def _squash() -> np.ndarray:
@@ -34,113 +41,199 @@ def _squash() -> np.ndarray:
 
 SQUASH = _squash()
 STRETCH = np.clip(np.searchsorted(SQUASH, np.arange(FULL)) - 2047, -2047, 2047).astype(np.int32)
+#: SQUASH of any sum of weighted stretched chances; numbers below 0 count from the end.
+_MOST = 32768
+SQUASHED = np.concatenate([SQUASH[2047:], np.full(_MOST - 2048, SQUASH[-1]), np.full(_MOST - 2047, SQUASH[0]), SQUASH[:2047]]).astype(np.int32)
+#: What a seen id's record, 0 to 7, changes by: after another id, and after the same.
+MOVED = np.array([-1 - (t >> 1) for t in range(8)] + [int(t < 7) for t in range(8)], np.int32)
+
+
+def _log2(n: np.ndarray) -> np.ndarray:
+    """Bits of n - 1, that is the least b with 2^b >= n."""
+    return np.frexp(np.maximum(n - 1, 0).astype(np.float64))[1].astype(np.int64)
+
+
+def _coarse(n: np.ndarray) -> np.ndarray:
+    """Counts as one byte each: their highest four bits and how far these are shifted."""
+    shift = np.maximum(np.frexp(n.astype(np.float64))[1] - 4, 0)
+    return ((n >> shift) + 8 * shift).astype(np.uint8)
+
+
+def _fine(code: np.ndarray) -> np.ndarray:
+    code = code.astype(np.int64)
+    shift = np.maximum(code // 8 - 1, 0)
+    return (code - 8 * shift) << shift
+
+
+def _packed(values: np.ndarray, kind: str) -> bytes:
+    """An array's bytes, all lowest ones first, compressed; its length and theirs before them."""
+    data = zlib.compress(values.astype(kind).view(np.uint8).reshape(len(values), np.dtype(kind).itemsize).T.tobytes(), 6)
+    return struct.pack("<II", len(values), len(data)) + data
+
+
+def _unpacked(data: memoryview, at: int, kind: str) -> tuple[np.ndarray, int]:
+    n, size = struct.unpack_from("<II", data, at)
+    at += 8
+    raw = np.frombuffer(zlib.decompress(data[at : at + size]), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, n).T).view(kind).ravel().astype(np.int64), at + size
+
+
+def _shares(row: np.ndarray, rows: int, counts: np.ndarray, totals: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The widths of symbols within 2^bits of their row, and each row's width that is left for its escape."""
+    n, kept = np.bincount(row, minlength=rows), np.bincount(row, counts, rows).astype(np.int64)
+    size = np.int64(1) << bits
+    escape = np.minimum(np.maximum(1, (totals - kept) * size // np.maximum(totals, 1)), size - 2 * n)
+    spare = size - escape - n
+    width = 1 + counts * spare[row] // np.maximum(kept, 1)[row]
+    return width, size - np.bincount(row, width, rows).astype(np.int64)
+
+
+class Frequencies:
+    """Order 0 and order 1 of a frame. Row 0 is order 0, the others are ids whose followers are known.
+
+    of: the row of each id (0 without one); bits: the row's width is 2^bits; entries: id, begin and width of each id
+    of each row, packed, the escape last.
+    """
+
+    def __init__(self, ids: np.ndarray, counts: np.ndarray, contexts: np.ndarray, followers: np.ndarray, after: np.ndarray, pairs: np.ndarray):
+        """ids with their counts; contexts with their numbers of followers; the followers (after) with their counts (pairs)."""
+        rows = 1 + len(contexts)
+        seen = np.zeros(ESCAPE + 1, np.int64)
+        seen[ids] = counts
+        totals = np.concatenate([[0], np.maximum(seen[contexts], np.bincount(np.repeat(np.arange(len(contexts)), followers), pairs, len(contexts)).astype(np.int64))])
+        row = np.concatenate([np.zeros(len(ids), np.int64), np.repeat(np.arange(1, rows), followers)])
+        symbols, counts = np.concatenate([ids, after]), np.concatenate([counts, pairs])
+        n = np.bincount(row, minlength=rows)
+        self.bits = np.maximum(np.clip(_log2(totals) + 1, 4, MOST_BITS), _log2(n + 1) + 2)
+        self.bits[0] = max(16, int(self.bits[0]))
+        totals[0] = int(counts[: len(ids)].sum())
+        width, escape = _shares(row, rows, counts, totals, self.bits)
+        ends = np.cumsum(n)
+        symbols, width = np.insert(symbols, ends, ESCAPE), np.insert(width, ends, escape)
+        self.base = np.cumsum(np.int64(1) << self.bits) - (np.int64(1) << self.bits)
+        begin = np.cumsum(width) - width
+        begin -= np.repeat(self.base, n + 1)
+        self.entries = symbols << (2 * _FIELD) | begin << _FIELD | width
+        self.escapes = ends + np.arange(rows)
+        self.of = np.zeros(ESCAPE + 1, np.int32)
+        self.of[contexts] = np.arange(1, rows)
+        self.ids = ids
+
+    def slots(self) -> np.ndarray:
+        """The entry of each place of each row's width."""
+        return np.repeat(np.arange(len(self.entries), dtype=np.int32), self.entries & _WIDTH)
+
+
+def _runs(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
+    return first, np.diff(np.concatenate([first, [len(pairs)]]))
+
+
+def measured(ids: np.ndarray) -> tuple[bytes, Frequencies, np.ndarray]:
+    """The stored form of a frame's frequencies, the frequencies, and the entry of each of its ids."""
+    seen = np.bincount(ids)
+    known = np.flatnonzero(seen)
+    before = np.empty(len(ids), np.int64)
+    before[1:] = ids[:-1]
+    before[::BLOCK] = ESCAPE
+    order = np.sort(before << 47 | ids.astype(np.int64) << 31 | np.arange(len(ids)))
+    pairs, place = order >> 31, order & 0x7FFFFFFF
+    first, count = _runs(pairs)
+    pair = pairs[first]
+    kept = (count >= LEAST_PAIR) & (pair >> 16 != ESCAPE)
+    context, after, codes = pair[kept] >> 16, pair[kept] & 0xFFFF, _coarse(count[kept])
+    start, followers = _runs(context) if len(context) else (np.empty(0, np.int64), np.empty(0, np.int64))
+    contexts = context[start]
+    steps = np.diff(after, prepend=0)
+    steps[start] = after[start]
+    stored = b"".join([
+        _packed(np.diff(known, prepend=0), "<u2"), _packed(seen[known], "<u4"),
+        _packed(np.diff(contexts, prepend=0), "<u2"), _packed(followers, "<u2"), _packed(steps, "<u2"), _packed(codes, "<u1"),
+    ])
+    found = Frequencies(known, seen[known], contexts, followers, after, _fine(codes))
+    row = found.of[pair >> 16]
+    entry = np.where(row > 0, found.escapes[row], -1)
+    entry[kept] = len(known) + 1 + np.arange(len(context)) + np.repeat(np.arange(len(contexts)), followers)
+    own = np.empty(len(ids), np.int32)
+    own[place] = np.repeat(entry, count)
+    alone = np.flatnonzero(own < 0)
+    own[alone] = np.searchsorted(known, ids[alone])
+    return stored, found, own
+
+
+def stored_frequencies(data: memoryview) -> Frequencies:
+    at, parts = 0, []
+    for kind in ("<u2", "<u4", "<u2", "<u2", "<u2", "<u1"):
+        part, at = _unpacked(data, at, kind)
+        parts.append(part)
+    ids, counts, contexts, followers, steps, codes = parts
+    after = np.cumsum(steps)
+    starts = np.cumsum(followers) - followers
+    if len(after):
+        after -= np.repeat(after[starts] - steps[starts], followers)
+    return Frequencies(np.cumsum(ids), counts, np.cumsum(contexts), followers, after, _fine(codes))
 
 
 class Model:
-    """The predictions of all lanes; the arrays hold orders 2 and 1, or orders 2, 1 and 0, one row each."""
+    """The order-2 predictions of all lanes, and the chances that they come true: by their record and by the latest outcomes."""
 
     def __init__(self, lanes: int):
         each = np.arange(lanes, dtype=np.int32)
-        self.table = np.zeros((2 * lanes) << TABLE_BITS, np.int32)
-        self.base = np.stack([each, each + lanes]) << TABLE_BITS
-        self.chance = np.full(3 * lanes * 16, FULL // 8, np.int32)
-        self.base16 = np.stack([each, each + lanes, each + 2 * lanes]) * 16
-        self.weights = np.full((3, lanes), 22000, np.int32)
-        self.before = np.zeros((2, lanes), np.int32)
+        self.table = np.zeros(lanes << TABLE_BITS, np.int32)
+        self.base = each << TABLE_BITS
+        self.chance = np.full(2 * lanes * 16, FULL // 8, np.int32)
+        self.base16 = np.stack([each, each + lanes]) * 16
+        self.weights = np.full((2, lanes), 33_000, np.int32)
+        self.mixed = np.zeros(lanes, np.int32)
+        self.before = np.zeros(lanes, np.int32)
         self.history = np.zeros(lanes, np.int32)
+        self.steps = 0
 
     def predict(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The predicted id and the probability (of FULL) that it comes, for the first k lanes."""
-        before1, before2 = self.before[0, :k], self.before[1, :k]
-        mixed = before1 * np.int32(40503) + before2 * np.int32(30011)
-        at = np.stack([mixed ^ (mixed >> np.int32(15)), before1 ^ (before1 >> np.int32(TABLE_BITS))])
-        at &= (1 << TABLE_BITS) - 1
-        at += self.base[:, :k]
+        at = self.mixed[:k] & ((1 << TABLE_BITS) - 1)
+        at += self.base[:k]
         q = self.table[at]
-        trust, seen = q & 7, q >> 3
-        sure = trust[0] > 0
-        self.guess = np.where(sure, seen[0], seen[1])
+        trust = q & 7
         place = self.base16[:, :k].copy()
-        place[:2] += trust * 2
-        place[0] += seen[0] == seen[1]
-        place[1] += sure
-        place[2] += self.history[:k]
+        place[0] += trust
+        place[1] += self.history[:k]
         old = self.chance[place]
         x = STRETCH[old]
-        total = np.multiply(self.weights[:, :k], x).sum(axis=0, dtype=np.int32) >> np.int32(16)
-        p = SQUASH[np.minimum(np.maximum(total, -2047), 2047) + 2047]
-        self.state = at, q, trust, seen, place, old, x, p
-        return self.guess, p
-
-    def learn(self, ids: np.ndarray, k: int) -> None:
-        at, q, trust, seen, place, old, x, p = self.state
-        hit = (ids == self.guess).astype(np.int32)
-        target = hit << SCALE
-        self.chance[place] = old + ((target - old) >> 4)
-        x *= target - p
-        x >>= 10
-        x += self.weights[:, :k]
-        np.minimum(x, 150_000, out=x)
-        np.maximum(x, -150_000, out=self.weights[:, :k])
-        same = (seen == ids) & (trust > 0)
-        self.table[at] = np.where(same, q + (trust < 7), np.where(trust > 1, q - 1 - (trust >> 1), (ids << 3) | 1))
+        total = self.weights[:, :k] * x
+        total[0] += total[1]
+        p = SQUASHED[total[0] >> 16]  # from the end where it is below 0
+        self.state = at, q, trust, place, old, x, p
+        return q >> 3, p
+
+    def learn(self, ids: np.ndarray, hit: np.ndarray, k: int) -> None:
+        at, q, trust, place, old, x, p = self.state
+        target = hit.astype(np.int32)
         recent = self.history[:k]
-        recent <<= 1
-        recent |= hit
+        recent += recent
+        recent += target
         recent &= 15
-        self.before[1, :k] = self.before[0, :k]
-        self.before[0, :k] = ids
-
-
-class Frequencies:
-    """The order-0 tables of k lanes: keys (lane, id), where each begins and how wide it is, of FULL; escapes come last."""
-
-    def __init__(self, ids: np.ndarray | None, k: int, slots: bool):
-        if ids is None:
-            lane, symbol, width = np.arange(k), np.full(k, ESCAPE), np.full(k, FULL)
-        else:
-            t = ids.shape[1]
-            keys = np.sort((np.arange(k, dtype=np.int64)[:, None] << 16 | ids).ravel())
-            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            count = np.diff(np.concatenate([first, [len(keys)]]))
-            keys = keys[first]
-            lane, symbol = keys >> 16, keys & 0xFFFF
-            kinds = np.bincount(lane, minlength=k)
-            room = FULL - np.clip(FULL * kinds // (t + kinds), 16, FULL // 2)
-            width = count * room[lane] // t
-            left = room - np.bincount(lane, width, k).astype(np.int64)
-            none = width == 0
-            order = np.cumsum(none)
-            start = np.searchsorted(lane, np.arange(k))
-            rank = order - (order[start] - none[start])[lane]
-            width = np.where(none & (rank <= left[lane]), 1, width)
-            kept = width > 0
-            lane, symbol, width = lane[kept], symbol[kept], width[kept]
-            rest = FULL - np.bincount(lane, width, k).astype(np.int64)
-            at = np.searchsorted(lane, np.arange(k), "right")
-            lane, symbol, width = np.insert(lane, at, np.arange(k)), np.insert(symbol, at, ESCAPE), np.insert(width, at, rest)
-        begin = np.cumsum(width) - width - lane * FULL
-        self.keys = lane.astype(np.int64) << 16 | symbol
-        self.begin, self.width = begin.astype(np.int64), width.astype(np.int64)
-        if slots:
-            self.entry = np.repeat(np.arange(len(symbol), dtype=np.int32), width)
-            self.symbol = symbol.astype(np.int32)
-
-    def find(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """begin, width and known for a matrix of ids, one row a lane; an unknown id has its escape's."""
-        keys = np.arange(ids.shape[0], dtype=np.int64)[:, None] << 16 | ids
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        known = self.keys[at] == keys
-        last = np.searchsorted(self.keys, np.arange(1, ids.shape[0] + 1, dtype=np.int64) << 16) - 1
-        at = np.where(known, at, last[:, None])
-        return self.begin[at].astype(np.uint32), self.width[at].astype(np.uint32), known
-
-
-def _spans(lengths: np.ndarray) -> list[tuple[int, int]]:
-    """[from, to) between the places where frequencies are renewed."""
-    most = int(lengths.max(initial=0))
-    cuts = [0, *(r for r in RENEWED if r < most), most]
-    return [(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
+        trust += target << 3
+        target <<= SCALE
+        x *= target - p
+        x >>= 10
+        weights = self.weights[:, :k]
+        weights += x
+        self.steps += 1
+        if not self.steps % 16:  # 16 steps move a weight by less than 150,000
+            np.minimum(weights, 150_000, out=weights)
+            np.maximum(weights, -150_000, out=weights)
+        target = target - old
+        target >>= 4
+        target += old
+        self.chance[place] = target
+        q += MOVED[trust]
+        self.table[at] = np.where(trust < 2, ids << 3 | 1, q)
+        mixed = self.before[:k] * np.int32(30011)
+        mixed += ids * np.int32(40503)
+        mixed ^= mixed >> 15
+        self.mixed[:k] = mixed
+        self.before[:k] = ids
 
 
 def _normalised(low: np.ndarray, rng: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -150,124 +243,130 @@ def _normalised(low: np.ndarray, rng: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return (low >> _32).astype(np.uint32), low << _32, rng << _32
 
 
-def encode(blocks: list[np.ndarray]) -> list[bytes]:
-    """The coded bytes of each block of ids."""
-    lengths = np.array([len(b) for b in blocks], np.int64)
-    order = np.argsort(-lengths, kind="stable")
-    out: list[bytes] = [b""] * len(blocks)
-    if not len(blocks) or not lengths.max():
-        return out
-    lengths = lengths[order]
-    lanes, most = int((lengths > 0).sum()), int(lengths.max())
-    ids = np.zeros((lanes, most), np.int32)
-    for lane in range(lanes):
-        ids[lane, : lengths[lane]] = blocks[order[lane]]
+def _columns(values: np.ndarray, lanes: int, most: int) -> np.ndarray:
+    """A frame's values with one row a step and one column a lane."""
+    padded = np.zeros(lanes * most, values.dtype)
+    padded[: len(values)] = values
+    return np.ascontiguousarray(padded.reshape(lanes, most).T)
+
+
+def encode(ids: np.ndarray) -> tuple[bytes, list[bytes]]:
+    """A frame's stored frequencies and the coded bytes of each of its blocks."""
+    if not len(ids):
+        return b"", []
+    stored, found, entry = measured(ids)
+    lanes, most = -(-len(ids) // BLOCK), min(BLOCK, len(ids))
+    last = len(ids) - (lanes - 1) * BLOCK
+    columns, entry = _columns(ids.astype(np.int32), lanes, most), _columns(entry, lanes, most)
+    entries, bits, of = found.entries, found.bits.astype(np.uint64), found.of
+    begins, widths = (entries >> _FIELD & _WIDTH).astype(np.uint64), (entries & _WIDTH).astype(np.uint64)
+    bits0, is_escape = bits[0], entries >> (2 * _FIELD) == ESCAPE
     model = Model(lanes)
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-    words = np.zeros((lanes, most + most // 4 + 4), np.uint32)
+    words = np.zeros((lanes, most + most // 2 + 4), np.uint32)
     used = np.zeros(lanes, np.int64)
+    row = np.zeros(lanes, np.int32)
 
     def shift(at: np.ndarray) -> None:
         word, low[at], rng[at] = _normalised(low[at], rng[at])
         words[at, used[at]] = word
         used[at] += 1
 
-    active = np.searchsorted(-lengths, -np.arange(most), "left")
-    for start, end in _spans(lengths):
-        width_of = int(active[start])
-        freq = Frequencies(ids[:width_of, :start] if start else None, width_of, False)
-        begin, width, known = (m.T.copy() for m in freq.find(ids[:width_of, start:end]))
-        columns = ids[:width_of, start:end].T.copy()
-        for t in range(start, end):
-            k = int(active[t])
-            own = columns[t - start, :k]
-            guess, p = model.predict(k)
-            hit = own == guess
-            p = p.astype(np.uint64)
-            b, w = begin[t - start, :k].astype(np.uint64), width[t - start, :k].astype(np.uint64)
-            miss = np.uint64(FULL) - p
-            r = rng[:k] >> _STEP
-            low[:k] += r * np.where(hit, np.uint64(0), (p << np.uint64(SCALE)) + miss * b)
-            rng[:k] = r * np.where(hit, p << np.uint64(SCALE), miss * w)
-            short = np.flatnonzero(rng[:k] <= _LOW32)
+    for t in range(most):
+        k = lanes if t < last else lanes - 1
+        own, mine = columns[t, :k], entry[t, :k]
+        guess, p = model.predict(k)
+        hit = own == guess
+        begin, width = begins[mine], widths[mine]
+        all_of = rng[:k]
+        split = (all_of >> _SCALE) * p.astype(np.uint64)
+        r = (all_of - split) >> bits[row[:k]]
+        begin *= r
+        begin += split
+        begin *= ~hit
+        low[:k] += begin
+        width *= r
+        rng[:k] = np.where(hit, split, width)
+        short = np.flatnonzero(rng[:k] <= _LOW32)
+        if len(short):
+            shift(short)
+        odd = np.flatnonzero(is_escape[mine] & ~hit)
+        if len(odd):
+            e = np.searchsorted(found.ids, own[odd])
+            r = rng[odd] >> bits0
+            low[odd] += r * begins[e]
+            rng[odd] = r * widths[e]
+            short = odd[rng[odd] <= _LOW32]
             if len(short):
                 shift(short)
-            odd = np.flatnonzero(~(hit | known[t - start, :k]))
-            if len(odd):
-                r = rng[odd] >> np.uint64(16)
-                low[odd] += r * own[odd].astype(np.uint64)
-                rng[odd] = r
-                short = odd[rng[odd] <= _LOW32]
-                if len(short):
-                    shift(short)
-            model.learn(own, k)
-    for lane in range(lanes):
-        tail = np.array([low[lane] >> _32, low[lane] & _LOW32], np.uint64).astype("<u4")
-        out[order[lane]] = words[lane, : used[lane]].astype("<u4").tobytes() + tail.tobytes()
-    return out
-
-
-def decode(coded: list[bytes], lengths: list[int]) -> list[np.ndarray]:
-    """The ids of each block, from its coded bytes and its length."""
-    sizes = np.array(lengths, np.int64)
-    order = np.argsort(-sizes, kind="stable")
-    out: list[np.ndarray] = [np.empty(0, np.int32)] * len(coded)
-    if not len(coded) or not sizes.max():
-        return out
-    sizes = sizes[order]
-    lanes, most = int((sizes > 0).sum()), int(sizes.max())
-    parts = [np.frombuffer(coded[order[lane]], "<u4") for lane in range(lanes)]
-    words = np.zeros((lanes, max(map(len, parts)) + 2), np.uint64)
+        model.learn(own, hit, k)
+        row[:k] = of[own]
+    tail = np.stack([low >> _32, low & _LOW32], axis=1).astype("<u4")
+    return stored, [words[i, :n].astype("<u4").tobytes() + tail[i].tobytes() for i, n in enumerate(used.tolist())]
+
+
+def decode(stored: memoryview, coded: list[bytes], n_ids: int) -> np.ndarray:
+    """The ids of a frame."""
+    if not n_ids:
+        return np.empty(0, np.int32)
+    found = stored_frequencies(stored)
+    lanes, most = len(coded), min(BLOCK, n_ids)
+    last = n_ids - (lanes - 1) * BLOCK
+    parts = [np.frombuffer(c, "<u4") for c in coded]
+    words = np.zeros((lanes, max(map(len, parts)) + 2), np.uint32)
     for lane, part in enumerate(parts):
         words[lane, : len(part)] = part
-    ids = np.zeros((lanes, most), np.int32)
+    slots, base, entries, of = found.slots(), found.base, found.entries, found.of
+    bits = found.bits.astype(np.uint64)
+    tops = (np.uint64(1) << bits) - np.uint64(1)
+    symbols = (entries >> (2 * _FIELD)).astype(np.int32)
+    begins, widths = (entries >> _FIELD & _WIDTH).astype(np.uint64), (entries & _WIDTH).astype(np.uint64)
     model = Model(lanes)
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-    code = words[:, 0] << _32 | words[:, 1]
+    code = words[:, 0].astype(np.uint64) << _32 | words[:, 1]
     used = np.full(lanes, 2, np.int64)
+    row = np.zeros(lanes, np.int32)
+    columns = np.zeros((most, lanes), np.int32)
 
     def shift(at: np.ndarray) -> None:
         _, low[at], rng[at] = _normalised(low[at], rng[at])
         code[at] = code[at] << _32 | words[at, used[at]]
         used[at] += 1
 
-    active = np.searchsorted(-sizes, -np.arange(most), "left")
-    slot_base = np.arange(lanes, dtype=np.int64) * FULL
-    for start, end in _spans(sizes):
-        width_of = int(active[start])
-        freq = Frequencies(ids[:width_of, :start] if start else None, width_of, True)
-        columns = np.zeros((end - start, width_of), np.int32)
-        for t in range(start, end):
-            k = int(active[t])
-            guess, p = model.predict(k)
-            p = p.astype(np.uint64)
-            miss = np.uint64(FULL) - p
-            r = rng[:k] >> _STEP
-            edge = p << np.uint64(SCALE)
-            target = (code[:k] - low[:k]) // r
-            hit = target < edge
-            slot = np.minimum((np.where(hit, edge, target) - edge) // miss, np.uint64(FULL - 1)).astype(np.int64)
-            entry = freq.entry[slot_base[:k] + slot]
-            b, w = freq.begin[entry].astype(np.uint64), freq.width[entry].astype(np.uint64)
-            own = np.where(hit, guess, freq.symbol[entry])
-            low[:k] += r * np.where(hit, np.uint64(0), edge + miss * b)
-            rng[:k] = r * np.where(hit, edge, miss * w)
-            short = np.flatnonzero(rng[:k] <= _LOW32)
+    for t in range(most):
+        k = lanes if t < last else lanes - 1
+        guess, p = model.predict(k)
+        all_of, mine = rng[:k], row[:k]
+        split = (all_of >> _SCALE) * p.astype(np.uint64)
+        ahead = code[:k] - low[:k]
+        hit = ahead < split
+        r = (all_of - split) >> bits[mine]
+        ahead -= split
+        ahead //= r
+        slot = np.minimum(ahead, tops[mine]).astype(np.int64)  # of no account where the prediction holds
+        slot += base[mine]
+        e = slots[slot]
+        own = np.where(hit, guess, symbols[e])
+        begin = begins[e]
+        begin *= r
+        begin += split
+        begin *= ~hit
+        low[:k] += begin
+        rng[:k] = np.where(hit, split, widths[e] * r)
+        short = np.flatnonzero(rng[:k] <= _LOW32)
+        if len(short):
+            shift(short)
+        odd = np.flatnonzero(own == ESCAPE)
+        if len(odd):
+            r = rng[odd] >> bits[0]
+            e = slots[np.minimum((code[odd] - low[odd]) // r, tops[0]).astype(np.int64)]
+            own[odd] = symbols[e]
+            low[odd] += r * begins[e]
+            rng[odd] = r * widths[e]
+            short = odd[rng[odd] <= _LOW32]
             if len(short):
                 shift(short)
-            odd = np.flatnonzero(own == ESCAPE)
-            if len(odd):
-                r = rng[odd] >> np.uint64(16)
-                found = (code[odd] - low[odd]) // r
-                own[odd] = found.astype(np.int32)
-                low[odd] += r * found
-                rng[odd] = r
-                short = odd[rng[odd] <= _LOW32]
-                if len(short):
-                    shift(short)
-            columns[t - start, :k] = own
-            model.learn(own, k)
-        ids[:width_of, start:end] = columns.T
-    for lane in range(lanes):
-        out[order[lane]] = ids[lane, : sizes[lane]]
-    return out
+        columns[t, :k] = own
+        model.learn(own, hit, k)
+        row[:k] = of[own]
+    return columns.T.ravel()[:n_ids]

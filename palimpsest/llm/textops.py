@@ -57,6 +57,15 @@ class Words(NamedTuple):
     first: np.ndarray
 
 
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span."""
+    power, inverse = _power_tables(len(buf))
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(buf) + 1, np.uint64)
+        np.cumsum((buf + np.uint64(1)) * power[: len(buf)], out=sums[1:])
+        return mix64((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+
+
 def scan(texts: list[bytes], table: bytes) -> Words:
     """Find and hash the words of all texts at once. The hash of a word depends on its bytes only."""
     joined = (b" ".join(texts) + b" ").translate(table)
@@ -66,11 +75,7 @@ def scan(texts: list[bytes], table: bytes) -> Words:
     np.not_equal(buf, 32, out=inside[1:].view(bool))
     edge = np.diff(inside)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    power, inverse = _power_tables(len(buf))
-    with np.errstate(over="ignore"):
-        sums = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum((buf + np.uint64(1)) * power[: len(buf)], out=sums[1:])
-        hashes = mix64((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    hashes = span_hashes(buf, starts, ends)
     at = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
     return Words(joined, starts, ends, hashes, np.searchsorted(starts, at))
 

@@ -4,9 +4,11 @@ A file is a Parquet table of frames (shard, frame, tokens, payload), so that Spa
 it knows hold it. Shards are ranges of ascending ids, one for each partition. A frame holds whole documents, about
 FRAME ids, and is read without any other. Its payload:
 
-    magic "PTF1", documents (u32), ids (u64), ids before it in its shard (u64), crc32 of all that follows (u32),
+    magic "PTF2", documents (u32), ids (u64), ids before it in its shard (u64), bytes of its frequencies (u32),
+    crc32 of all that follows (u32),
     document ids (i64 each; the lowest number for null), their numbers of ids (u32 each),
-    for each block of BLOCK ids its coded bytes (u32) and the crc32 of its ids as u32 (u32), the coded blocks.
+    for each block of BLOCK ids its coded bytes (u32) and the crc32 of its ids as u32 (u32),
+    the frequencies that every block starts from, the coded blocks.
 
 All numbers are little-endian. Every block is coded from the same fresh state and has its own checksum.
 
@@ -17,13 +19,11 @@ long texts are many blocks of one frame. An empty table gives an empty file and
 from __future__ import annotations
 
 import os
-import re
 import struct
 import uuid
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,20 +33,24 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import rangecoder
 from palimpsest.llm.rangecoder import BLOCK
+from palimpsest.llm.textops import SPACED, span_hashes
 from palimpsest.session import arrow_batches, shared_dir
 
-MAGIC, HEAD = b"PTF1", struct.Struct("<4sIQQI")
-FRAME = 8 * BLOCK
-#: Blocks coded side by side, words kept before the word table starts anew.
-LANES, WORDS_KEPT = 768, 200_000
+MAGIC, HEAD = b"PTF2", struct.Struct("<4sIQQII")
+#: Ids of a frame, whose blocks are coded side by side.
+FRAME = 2048 * BLOCK
+#: Slots of the word table, words kept before it starts anew, and bytes of text that are tokenised at once.
+SLOT_BITS = 20
+SLOTS, WORDS_KEPT, PIECE = 1 << SLOT_BITS, 500_000, 1 << 20
 NO_ID = -(2**63)
 FILE_TYPE = "shard int, frame int, tokens long, payload binary"
 ROW_TYPE = "shard int, at long, doc_id long, n_tokens long, ids_crc32 long"
 
 
-#: A full stop or comma after a letter or digit at a word's end is a token of its own, so it can be a word of its own.
-_STOP = re.compile(rb"(?<=[a-z0-9])(?=[.,](?:[ \t-\r]|$))")
-_UPPER_TO_LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
+_SPACES = bytes(0x20 if b == 0x20 or 0x09 <= b <= 0x0D else b for b in range(256))
+#: Letters, digits and marks of ASCII; an apostrophe is none, because it can stand in one token with letters.
+_KINDS = bytes(1 if 0x61 <= b <= 0x7A else 2 if 0x30 <= b <= 0x39 else 3 if 0x21 <= b <= 0x7E and b != 0x27 else 0 for b in range(256))
+_BETWEEN = "\x01"
 _tokenizers: dict[tuple[str, int], "WordTokenizer"] = {}
 
 
@@ -57,77 +61,168 @@ def tokenizer_for(path: str, end_id: int) -> "WordTokenizer":
     return _tokenizers[(path, end_id)]
 
 
+def _pieces(texts: list[str | None]) -> Iterator[tuple[bool, list[bytes], list[bool]]]:
+    """Texts in lists of about PIECE bytes: whether they may hold special tokens, their bytes, and which of them end a text.
+
+    Longer texts are cut at white space.
+    """
+    held: list[bytes] = []
+    ends: list[bool] = []
+    special, size = False, 0
+    for text in texts:
+        data = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
+        own, at = b"<|" in data, 0
+        if held and (own != special or size + len(data) > PIECE):
+            yield special, held, ends
+            held, ends, size = [], [], 0
+        special = own
+        while len(data) - at > PIECE:
+            cut = max(data.rfind(space, at, at + PIECE) for space in (b" ", b"\n"))
+            if cut <= at:
+                break
+            yield special, [data[at:cut]], [False]
+            at = cut
+        held.append(data[at:] if at else data)
+        ends.append(True)
+        size += len(data) - at + 1
+    if held:
+        yield special, held, ends
+
+
 class WordTokenizer:
-    """Ids of texts by a tokenizer that lowers case and never joins across white space: each distinct word is encoded once."""
+    """Ids of texts by a tokenizer that lowers case and never joins across white space: each distinct word is encoded once.
+
+    Words are known by a 64-bit hash of their bytes. ASCII letters, digits and marks never share a token, nor do two
+    digits, so a word is cut between them. Texts that may hold special tokens, which are not lowered, are cut at white
+    space only.
+    """
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
+        self.between = self.tokenizer.encode(_BETWEEN, add_special_tokens=False).ids
+        letters = "abcdefghijklmnopqrstuvwxyz"
+        whole = [w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(letters)]
+        self.as_it_is = self.tokenizer.normalizer.normalize_str(letters) == letters and whole == [letters]
         self._fresh()
 
     def _fresh(self) -> None:
-        self.codes: defaultdict[bytes, int] = defaultdict()
-        self.codes.default_factory = self.codes.__len__
+        self.keys, self.codes = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32)
         self.flat = np.array([self.end_id], np.int32)
-        self.lengths = np.ones(1, np.int64)
-        self.codes[b""]  # code 0, which no word has, is the end id
-
-    @staticmethod
-    def _words(text: str) -> list[bytes]:
-        data = text.encode("utf-8", "surrogatepass")
-        if b"<|" in data:  # special tokens are not lowered
-            return data.split()
-        return _STOP.sub(b" ", data.translate(_UPPER_TO_LOWER)).split()
-
-    def _learn(self) -> None:
-        new = [w.decode("utf-8", "surrogatepass") for w in islice(self.codes, len(self.lengths), None)]
-        if new:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            self.lengths = np.concatenate([self.lengths, np.fromiter(map(len, found), np.int64, len(found))])
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.int32)])
-
-    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The ids of each text and the end id."""
-        if len(self.codes) > WORDS_KEPT:
-            self._fresh()
-        look = self.codes.__getitem__
-        rows = [[*map(look, self._words(t)), 0] if isinstance(t, str) else [0] for t in texts]
-        self._learn()
-        codes = np.fromiter(chain.from_iterable(rows), np.int64)
-        lengths = self.lengths[codes]
-        starts = np.cumsum(self.lengths) - self.lengths
-        ends = np.cumsum(lengths)
-        places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[codes] - (ends - lengths), lengths)
-        ids = self.flat[places]
-        last = np.cumsum([len(row) for row in rows]) - 1
-        return np.split(ids, ends[last][:-1]) if len(rows) else []
+        self.starts, self.lengths = np.zeros(1, np.int64), np.ones(1, np.int64)  # word 0 is the end id
+
+    def _ids_of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, one after another, and how many each has."""
+        plain = np.array([self.as_it_is and w.isalpha() and w.islower() for w in words], bool)
+        found: list[list[int]] = [[]] * len(words)
+        model = self.tokenizer.model
+        for i in np.flatnonzero(plain).tolist():
+            found[i] = [t.id for t in model.tokenize(words[i].decode())]
+        rest = np.flatnonzero(~plain).tolist()
+        texts = [words[i].decode("utf-8", "surrogatepass") for i in rest]
+        if len(self.between) == 1 and not any(_BETWEEN in t for t in texts):
+            ids = self.tokenizer.encode_batch_fast([f" {_BETWEEN} ".join(texts)], add_special_tokens=False)[0].ids
+            parts = [x.tolist() for x in np.split(np.array(ids, np.int32), np.flatnonzero(np.array(ids) == self.between[0]))]
+            parts = parts[:1] + [x[1:] for x in parts[1:]]
+        else:
+            parts = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        for i, part in zip(rest, parts, strict=len(rest) > 0):
+            found[i] = part
+        return np.fromiter(chain.from_iterable(found), np.int32), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _learn(self, words: list[bytes], hashes: np.ndarray) -> None:
+        ids, lengths = self._ids_of(words)
+        codes = np.arange(len(self.lengths), len(self.lengths) + len(words), dtype=np.int32)
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.flat = np.concatenate([self.flat, ids])
+        slot, left = hashes >> np.uint64(64 - SLOT_BITS), np.arange(len(hashes))
+        while len(left):
+            free = left[self.keys[slot[left]] == 0]
+            self.keys[slot[free]], self.codes[slot[free]] = hashes[free], codes[free]
+            left = left[self.keys[slot[left]] != hashes[left]]
+            slot[left] = (slot[left] + np.uint64(1)) & np.uint64(SLOTS - 1)
+
+    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The code of each hash, and the places of those that are not known."""
+        slot = hashes >> np.uint64(64 - SLOT_BITS)
+        codes, keys = self.codes[slot], self.keys[slot]
+        left = np.flatnonzero(keys != hashes)
+        new = []
+        while len(left):
+            empty = self.keys[slot[left]] == 0
+            new.append(left[empty])
+            left = left[~empty]
+            slot[left] = (slot[left] + np.uint64(1)) & np.uint64(SLOTS - 1)
+            same = self.keys[slot[left]] == hashes[left]
+            codes[left[same]] = self.codes[slot[left[same]]]
+            left = left[~same]
+        return codes, np.concatenate(new) if new else left
+
+    def _words(self, special: bool, texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes of all texts, the borders and hashes of their words, and the first word of each text."""
+        joined = (b" ".join(texts) + b" ").translate(_SPACES if special else SPACED)
+        buf = np.frombuffer(joined, np.uint8)
+        gap = buf == 0x20
+        edge = np.zeros(len(buf), bool)  # where a word begins though no space stands before
+        if not special:
+            kind = np.frombuffer(joined.translate(_KINDS), np.uint8)
+            edge[1:] = (kind[1:] > 0) & (kind[:-1] > 0) & ((kind[1:] != kind[:-1]) | (kind[1:] == 2))
+        starts = np.flatnonzero(~gap[1:] & (gap[:-1] | edge[1:])) + 1
+        ends = np.flatnonzero(~gap[:-1] & (gap[1:] | edge[1:])) + 1
+        if not gap[0]:
+            starts = np.concatenate([[0], starts])
+        hashes = np.maximum(span_hashes(buf, starts, ends), np.uint64(1))
+        at = np.cumsum([0] + [len(t) + 1 for t in texts])
+        return joined, np.stack([starts, ends]), hashes, np.searchsorted(starts, at)
+
+    def __call__(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids, number of ids of each text): the ids of texts, each with the end id after it, a part of the texts at a time."""
+        open_ids: list[np.ndarray] = []
+        for special, held, end in _pieces(texts):
+            if len(self.lengths) > WORDS_KEPT:
+                self._fresh()
+            joined, (starts, ends), hashes, first = self._words(special, held)
+            codes, new = self._find(hashes)
+            if len(new):
+                fresh, at = np.unique(hashes[new], return_index=True)
+                at = new[at]
+                self._learn([joined[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], fresh)
+                codes[new], _ = self._find(hashes[new])
+            closes = first[1:][np.array(end)]
+            codes = np.insert(codes, closes, 0)
+            lengths = self.lengths[codes]
+            upto = np.cumsum(lengths)
+            places = np.repeat(self.starts[codes] - (upto - lengths), lengths)
+            places += np.arange(len(places))
+            ids = self.flat[places]
+            if not end[-1]:
+                open_ids.append(ids)
+                continue
+            sizes = np.diff(upto[closes + np.arange(len(closes))], prepend=0)
+            if open_ids:
+                sizes[0] += sum(map(len, open_ids))
+                ids, open_ids = np.concatenate([*open_ids, ids]), []
+            yield ids, sizes
 
 
 def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def frames_of(documents: list[list[tuple[int, np.ndarray]]], before: int) -> list[tuple[int, bytes]]:
-    """(ids, payload) of each frame's documents; before: the ids of the shard before the first."""
-    flat = [np.concatenate([ids for _, ids in docs]) for docs in documents]
-    blocks = [[f[a : a + BLOCK] for a in range(0, len(f), BLOCK)] for f in flat]
-    coded = rangecoder.encode([b for own in blocks for b in own])
-    out, at = [], 0
-    for docs, own, ids in zip(documents, blocks, flat, strict=True):
-        mine = coded[at : at + len(own)]
-        at += len(own)
-        body = np.array([i for i, _ in docs], "<i8").tobytes() + np.array([len(x) for _, x in docs], "<u4").tobytes()
-        body += np.array([(len(c), crc(b)) for c, b in zip(mine, own, strict=True)], "<u4").tobytes() + b"".join(mine)
-        out.append((len(ids), HEAD.pack(MAGIC, len(docs), len(ids), before, zlib.crc32(body)) + body))
-        before += len(ids)
-    return out
-
-
-def parsed(payload: bytes) -> tuple[np.ndarray, np.ndarray, int, list[bytes], list[int], np.ndarray]:
-    """Document ids, their numbers of ids, ids before, coded blocks, their lengths and checksums; ValueError if damaged."""
-    magic, n_docs, n_ids, before, check = HEAD.unpack_from(payload)
+def frame_of(doc_ids: np.ndarray, sizes: np.ndarray, ids: np.ndarray, before: int) -> bytes:
+    """The payload of a frame of documents; before: the ids of the shard before it."""
+    stored, coded = rangecoder.encode(ids)
+    checks = [(len(c), crc(ids[i * BLOCK : (i + 1) * BLOCK])) for i, c in enumerate(coded)]
+    body = doc_ids.astype("<i8").tobytes() + sizes.astype("<u4").tobytes() + np.array(checks, "<u4").tobytes() + stored + b"".join(coded)
+    return HEAD.pack(MAGIC, len(doc_ids), len(ids), before, len(stored), zlib.crc32(body)) + body
+
+
+def documents_of(payload: bytes) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
+    """Document ids, their numbers of ids, the ids before and the ids of a frame; ValueError if it is damaged."""
+    magic, n_docs, n_ids, before, n_stored, check = HEAD.unpack_from(payload)
     body = memoryview(payload)[HEAD.size :]
     if magic != MAGIC or zlib.crc32(body) != check:
         raise ValueError("a frame is damaged")
@@ -135,11 +230,13 @@ def parsed(payload: bytes) -> tuple[np.ndarray, np.ndarray, int, list[bytes], li
     sizes = np.frombuffer(body, "<u4", n_docs, 8 * n_docs).astype(np.int64)
     n_blocks = -(-n_ids // BLOCK)
     index = np.frombuffer(body, "<u4", 2 * n_blocks, 12 * n_docs).reshape(-1, 2).astype(np.int64)
-    at = 12 * n_docs + 8 * n_blocks
+    at = 12 * n_docs + 8 * n_blocks + n_stored
     ends = at + np.cumsum(index[:, 0])
-    coded = [bytes(body[e - n : e]) for e, n in zip(ends.tolist(), index[:, 0].tolist(), strict=True)]
-    lengths = [min(BLOCK, n_ids - i * BLOCK) for i in range(n_blocks)]
-    return doc_ids, sizes, before, coded, lengths, index[:, 1]
+    coded = [body[e - n : e] for e, n in zip(ends.tolist(), index[:, 0].tolist(), strict=True)]
+    ids = rangecoder.decode(body[at - n_stored : at], coded, n_ids)
+    if any(crc(ids[i * BLOCK : (i + 1) * BLOCK]) != c for i, c in enumerate(index[:, 1].tolist())):
+        raise ValueError("a block is damaged")
+    return doc_ids, sizes, before, ids
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -149,37 +246,41 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = tokenizer_for(tokenizer, end_id)
         shard = TaskContext.get().partitionId()
-        pending: list[list[tuple[int, np.ndarray]]] = []
-        size = before = number = waiting = 0
-
-        def flushed() -> pd.DataFrame:
-            nonlocal before, number, pending, waiting
-            found = frames_of(pending, before)
-            rows = [(shard, number + i, n, payload) for i, (n, payload) in enumerate(found)]
-            before += sum(n for n, _ in found)
-            number += len(found)
-            pending, waiting = [], 0
-            return pd.DataFrame(rows, columns=["shard", "frame", "tokens", "payload"])
-
-        size = FRAME
+        waiting: list[list[np.ndarray]] = [[], [], []]  # document ids, their numbers of ids, the ids
+        number = before = held = 0
+
+        def frame() -> pd.DataFrame:
+            nonlocal waiting, number, before, held
+            payload = frame_of(*map(np.concatenate, waiting), before)
+            row = pd.DataFrame([(shard, number, held, payload)], columns=["shard", "frame", "tokens", "payload"])
+            before, number, held, waiting = before + held, number + 1, 0, [[], [], []]
+            return row
+
+        def add(own: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+            nonlocal held
+            for into, part in zip(waiting, (own, sizes, ids), strict=True):
+                into.append(part)
+            held += len(ids)
+
         for batch in batches:
-            for first in range(0, len(batch), 512):
-                part = batch.iloc[first : first + 512]
-                for i, ids in zip(part["id"], words(part["text"].tolist()), strict=True):
-                    if size >= FRAME:
-                        if waiting >= LANES * BLOCK:
-                            yield flushed()
-                        pending.append([])
-                        size = 0
-                    pending[-1].append((NO_ID if i is None or i != i else int(i), ids))
-                    size += len(ids)
-                    waiting += len(ids)
-        if pending:
-            yield flushed()
+            own, done = batch["id"].to_numpy(np.int64), 0
+            for ids, sizes in words(batch["text"].tolist()):
+                own_part, done = own[done : done + len(sizes)], done + len(sizes)
+                while held + len(ids) > FRAME:  # as many whole documents as reach FRAME
+                    upto = np.cumsum(sizes)
+                    n = min(int(np.searchsorted(upto, FRAME - held)) + 1, len(sizes))
+                    add(own_part[:n], sizes[:n], ids[: upto[n - 1]])
+                    own_part, sizes, ids = own_part[n:], sizes[n:], ids[upto[n - 1] :]
+                    yield frame()
+                if len(sizes):
+                    add(own_part, sizes, ids)
+        if held:
+            yield frame()
 
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    own = own.select(F.coalesce("id", F.lit(NO_ID)).alias("id"), "text")
     dealt = own.repartitionByRange(shards, "id").sortWithinPartitions("id", "text")
-    with arrow_batches(docs.sparkSession, 2000):
+    with arrow_batches(docs.sparkSession):
         dealt.mapInPandas(encoded, FILE_TYPE).write.option("compression", "none").parquet(path)
 
 
@@ -188,17 +289,11 @@ def read_tokens(spark, path: str) -> DataFrame:
 
     def decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            todo: list[tuple] = []
-            held = 0
             for shard, payload in zip(batch["shard"], batch["payload"], strict=True):
-                frame = parsed(bytes(payload))
-                todo.append((shard, *frame))
-                held += len(frame[3])
-                if held >= LANES:
-                    yield rows_of(todo)
-                    todo, held = [], 0
-            if todo:
-                yield rows_of(todo)
+                doc_ids, sizes, before, ids = documents_of(payload)
+                upto = np.cumsum(sizes)
+                crcs = [crc(ids[b - n : b]) for n, b in zip(sizes.tolist(), upto.tolist(), strict=True)]
+                yield pd.DataFrame({"shard": shard, "at": before + upto - sizes, "doc_id": doc_ids, "n_tokens": sizes, "ids_crc32": crcs})
 
     files = spark.read.schema(FILE_TYPE).parquet(path)
     shards = files.groupBy("shard").agg(F.sum("tokens").alias("all"))
@@ -211,27 +306,6 @@ def read_tokens(spark, path: str) -> DataFrame:
     )
 
 
-def decode_frames(frames: list[tuple]) -> list[list[np.ndarray]]:
-    """The documents' ids of parsed frames; ValueError if a block is damaged."""
-    ids = rangecoder.decode([c for f in frames for c in f[3]], [n for f in frames for n in f[4]])
-    out, at = [], 0
-    for _, sizes, _, coded, _, checks in frames:
-        own = ids[at : at + len(coded)]
-        at += len(coded)
-        if any(crc(b) != c for b, c in zip(own, checks.tolist(), strict=True)):
-            raise ValueError("a block is damaged")
-        out.append(np.split(np.concatenate(own), np.cumsum(sizes)[:-1]))
-    return out
-
-
-def rows_of(frames: list[tuple]) -> pd.DataFrame:
-    parts = []
-    for (shard, doc_ids, sizes, before, *_), docs in zip(frames, decode_frames([f[1:] for f in frames]), strict=True):
-        at = before + np.cumsum(sizes) - sizes
-        parts.append(pd.DataFrame({"shard": shard, "at": at, "doc_id": doc_ids, "n_tokens": sizes, "ids_crc32": [crc(d) for d in docs]}))
-    return pd.concat(parts)
-
-
 def token_rows(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """Write docs to path (a new one in the shared folder if None) and read the file back."""
     path = path or f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,14 +165,39 @@ def test_tree_gives_distributions(spark):
 
 def test_range_coder_round_trip():
     rng = np.random.default_rng(6)
-    blocks = [rng.zipf(1.3, n).clip(0, 49_000).astype(np.int32) for n in (0, 1, 2, 63, 64, 65, 1000, 8192)]
-    blocks += [np.full(5000, 7, np.int32), np.tile(np.arange(50, dtype=np.int32), 60), rng.integers(0, 65534, 700).astype(np.int32)]
-    coded = rangecoder.encode(blocks)
-    for block, back in zip(blocks, rangecoder.decode(coded, [len(b) for b in blocks]), strict=True):
-        assert (block == back).all() and len(block) == len(back)
-    for block, alone in zip(blocks, coded, strict=True):
-        assert rangecoder.encode([block])[0] == alone  # blocks do not depend on their neighbours
-    assert len(coded[8]) < 120 and len(coded[9]) < 900
+    block = rangecoder.BLOCK
+    frames = [rng.zipf(1.3, n).clip(0, 49_000).astype(np.int32) for n in (0, 1, 2, 63, 64, 65, block - 1, block, block + 1, 5 * block + 7)]
+    frames += [np.full(3 * block, 7, np.int32), np.tile(np.arange(50, dtype=np.int32), 300), rng.integers(0, 65535, 9000).astype(np.int32)]
+    for ids in frames:
+        stored, coded = rangecoder.encode(ids)
+        back = rangecoder.decode(memoryview(stored), coded, len(ids))
+        assert len(back) == len(ids) and (back == ids).all() and len(coded) == -(-len(ids) // block)
+    stored, coded = rangecoder.encode(frames[9])
+    for i, own in enumerate(coded[:-1]):  # every block can be read without the others
+        assert (rangecoder.decode(memoryview(stored), [own], block) == frames[9][i * block : (i + 1) * block]).all()
+    assert sum(map(len, rangecoder.encode(frames[10])[1])) < 3 * 120 and sum(map(len, rangecoder.encode(frames[11])[1])) < 2000
+
+
+def test_frequencies_of_one_frame_fill_their_rows():
+    ids = np.random.default_rng(9).zipf(1.2, 30_000).clip(0, 40_000).astype(np.int32)
+    stored, found, entry = rangecoder.measured(ids)
+    again = rangecoder.stored_frequencies(memoryview(stored))
+    assert (again.entries == found.entries).all() and (again.bits == found.bits).all() and (again.of == found.of).all()
+    assert len(found.slots()) == (1 << found.bits).sum()
+    assert ((found.entries & rangecoder._WIDTH)[entry] > 0).all()
+
+
+def test_token_files_are_small():
+    """Bytes an id, all that a file holds counted: under the entropy of single ids, and under zlib on the same ids."""
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()
+    parts = list(token_files.WordTokenizer(tokenizer_path(), 2)(texts))
+    ids, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
+    payload = token_files.frame_of(np.arange(len(sizes)), sizes, ids, 0)
+    assert (token_files.documents_of(payload)[3] == ids).all()
+    share = np.bincount(ids) / len(ids)
+    share = share[share > 0]
+    assert len(payload) / len(ids) < -(share * np.log2(share)).sum() / 8
+    assert len(payload) < len(zlib.compress(ids.astype("<u2").tobytes(), 6))
 
 
 def test_token_file_against_the_library(spark, tmp_path):
@@ -196,16 +222,33 @@ def test_token_file_against_the_library(spark, tmp_path):
     assert sorted(r["start"] for r in token_files.token_rows(nulls, tokenizer_path()).collect()) == [0, 2, 4]
 
 
+def test_token_file_of_many_frames(spark, tmp_path, monkeypatch):
+    """Frames hold whole documents, and long texts are tokenised a part at a time."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_files, "FRAME", 5000)
+    monkeypatch.setattr(token_files, "PIECE", 300)
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice(["ab", "cd.", "x1", "d'or", "it's", "É"]) for _ in range(rng.choice([0, 1, 50, 3000]))) for _ in range(60)]
+    words, tokenizer = token_files.WordTokenizer(tokenizer_path(), 2), Tokenizer.from_file(tokenizer_path())
+    ids, sizes = (np.concatenate(x) for x in zip(*words(texts), strict=True))
+    want = [[*tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert ids.tolist() == [i for own in want for i in own] and sizes.tolist() == list(map(len, want))
+
+
 def test_damaged_frames_are_refused():
     ids = np.arange(20_000, dtype=np.int32) % 300
-    (_, payload), = token_files.frames_of([[(5, ids[:12_000]), (6, ids[12_000:])]], 77)
-    frame = token_files.parsed(payload)
-    assert frame[2] == 77 and [len(x) for x in token_files.decode_frames([frame])[0]] == [12_000, 8_000]
-    with pytest.raises(ValueError):
-        token_files.parsed(payload[:-9] + b"\0" + payload[-8:])
-    with pytest.raises(ValueError):
-        wrong = (*frame[:5], frame[5] ^ 1)
-        token_files.decode_frames([wrong])
+    payload = token_files.frame_of(np.array([5, 6]), np.array([12_000, 8_000]), ids, 77)
+    doc_ids, sizes, before, found = token_files.documents_of(payload)
+    assert before == 77 and doc_ids.tolist() == [5, 6] and sizes.tolist() == [12_000, 8_000] and (found == ids).all()
+    with pytest.raises(ValueError, match="frame"):
+        token_files.documents_of(payload[:-9] + b"\0" + payload[-8:])
+    head = list(token_files.HEAD.unpack_from(payload))
+    body = bytearray(payload[token_files.HEAD.size :])
+    body[2 * 12 + 4] ^= 1  # the checksum of the first block
+    head[-1] = zlib.crc32(body)
+    with pytest.raises(ValueError, match="block"):
+        token_files.documents_of(token_files.HEAD.pack(*head) + bytes(body))
 
 
 # --- mixing ---------------------------------------------------------------------------------------------------
