@@ -19,6 +19,7 @@ long texts are many blocks of one frame. An empty table gives an empty file and
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -51,6 +52,11 @@ _SPACES = bytes(0x20 if b == 0x20 or 0x09 <= b <= 0x0D else b for b in range(256
 #: Letters, digits and marks of ASCII; an apostrophe is none, because it can stand in one token with letters.
 _KINDS = bytes(1 if 0x61 <= b <= 0x7A else 2 if 0x30 <= b <= 0x39 else 3 if 0x21 <= b <= 0x7E and b != 0x27 else 0 for b in range(256))
 _BETWEEN = "\x01"
+#: Words of small letters of ASCII and Latin-1; letters that a byte-level vocabulary has for bytes that are no letters in Latin-1.
+_SMALL = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+_POINTS = np.arange(256, dtype="<u4")
+_POINTS[[*range(0x21), *range(0x7F, 0xA1), 0xAD]] = 256 + np.arange(0x21 + 0xA1 - 0x7F + 1)
 _tokenizers: dict[tuple[str, int], "WordTokenizer"] = {}
 
 
@@ -103,9 +109,9 @@ class WordTokenizer:
 
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
         self.between = self.tokenizer.encode(_BETWEEN, add_special_tokens=False).ids
-        letters = "abcdefghijklmnopqrstuvwxyz"
-        whole = [w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(letters)]
-        self.as_it_is = self.tokenizer.normalizer.normalize_str(letters) == letters and whole == [letters]
+        whole = [w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(_SMALL)]
+        as_it_is = self.tokenizer.normalizer.normalize_str(_SMALL) == _SMALL and whole == self._byte_level([_SMALL.encode()])
+        self.plain = _PLAIN.fullmatch if as_it_is else lambda word: None
         self._fresh()
 
     def _fresh(self) -> None:
@@ -113,28 +119,39 @@ class WordTokenizer:
         self.flat = np.array([self.end_id], np.int32)
         self.starts, self.lengths = np.zeros(1, np.int64), np.ones(1, np.int64)  # word 0 is the end id
 
-    def _ids_of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of words, one after another, and how many each has."""
-        plain = np.array([self.as_it_is and w.isalpha() and w.islower() for w in words], bool)
-        found: list[list[int]] = [[]] * len(words)
-        model = self.tokenizer.model
-        for i in np.flatnonzero(plain).tolist():
-            found[i] = [t.id for t in model.tokenize(words[i].decode())]
-        rest = np.flatnonzero(~plain).tolist()
-        texts = [words[i].decode("utf-8", "surrogatepass") for i in rest]
+    @staticmethod
+    def _byte_level(words: list[bytes]) -> list[str]:
+        return _POINTS[np.frombuffer(b"\n".join(words), np.uint8)].tobytes().decode("utf-32-le").split(chr(_POINTS[0x0A]))
+
+    def _plain_ids(self, words: list[bytes]) -> tuple[list[int], list[int]]:
+        """The ids of words that the model gets as they are, one after another, and how many each has."""
+        ids, sizes = [], []
+        tokenize = self.tokenizer.model.tokenize
+        for word in self._byte_level(words):
+            found = tokenize(word)
+            sizes.append(len(found))
+            ids += [t.id for t in found]
+        return ids, sizes
+
+    def _other_ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        texts = [w.decode("utf-8", "surrogatepass") for w in words]
         if len(self.between) == 1 and not any(_BETWEEN in t for t in texts):
-            ids = self.tokenizer.encode_batch_fast([f" {_BETWEEN} ".join(texts)], add_special_tokens=False)[0].ids
-            parts = [x.tolist() for x in np.split(np.array(ids, np.int32), np.flatnonzero(np.array(ids) == self.between[0]))]
-            parts = parts[:1] + [x[1:] for x in parts[1:]]
-        else:
-            parts = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        for i, part in zip(rest, parts, strict=len(rest) > 0):
-            found[i] = part
-        return np.fromiter(chain.from_iterable(found), np.int32), np.fromiter(map(len, found), np.int64, len(found))
+            ids = self.tokenizer.encode_batch_fast([f" {_BETWEEN} ".join([*texts, ""])], add_special_tokens=False)[0].ids
+            ids = np.array(ids, np.int32)
+            stop = np.flatnonzero(ids == self.between[0])
+            return np.delete(ids, stop), np.diff(stop, prepend=-1) - 1
+        parts = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(parts), np.int32), np.fromiter(map(len, parts), np.int64, len(parts))
 
     def _learn(self, words: list[bytes], hashes: np.ndarray) -> None:
-        ids, lengths = self._ids_of(words)
-        codes = np.arange(len(self.lengths), len(self.lengths) + len(words), dtype=np.int32)
+        plain = np.array([self.plain(w) is not None for w in words], bool)
+        for mine, ids_of in ((np.flatnonzero(plain), self._plain_ids), (np.flatnonzero(~plain), self._other_ids)):
+            if len(mine):
+                self._add(hashes[mine], *ids_of([words[i] for i in mine.tolist()]))
+
+    def _add(self, hashes: np.ndarray, ids, lengths) -> None:
+        ids, lengths = np.asarray(ids, np.int32), np.asarray(lengths, np.int64)
+        codes = np.arange(len(self.lengths), len(self.lengths) + len(lengths), dtype=np.int32)
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
         self.flat = np.concatenate([self.flat, ids])
