@@ -115,7 +115,7 @@ class Frequencies:
         begin -= np.repeat(self.base, n + 1)
         self.entries = symbols << (2 * _FIELD) | begin << _FIELD | width
         self.escapes = ends + np.arange(rows)
-        self.of = np.zeros(ESCAPE + 1, np.int32)
+        self.of = np.zeros(ESCAPE + 1, np.intp)
         self.of[contexts] = np.arange(1, rows)
         self.ids = ids
 
@@ -182,7 +182,7 @@ class Model:
         self.table = np.zeros(lanes << TABLE_BITS, np.int32)
         self.base = each << TABLE_BITS
         self.chance = np.full(2 * lanes * 16, FULL // 8, np.int32)
-        self.base16 = np.stack([each, each + lanes]) * 16
+        self.base16 = np.stack([each, each + lanes]).astype(np.intp) * 16
         self.weights = np.full((2, lanes), 33_000, np.int32)
         self.mixed = np.zeros(lanes, np.int32)
         self.before = np.zeros(lanes, np.int32)
@@ -193,16 +193,17 @@ class Model:
         """The predicted id and the probability (of FULL) that it comes, for the first k lanes."""
         at = self.mixed[:k] & ((1 << TABLE_BITS) - 1)
         at += self.base[:k]
+        at = at.astype(np.intp)  # numpy converts other indices at each use
         q = self.table[at]
         trust = q & 7
         place = self.base16[:, :k].copy()
         place[0] += trust
         place[1] += self.history[:k]
         old = self.chance[place]
-        x = STRETCH[old]
+        x = STRETCH[old.astype(np.intp)]
         total = self.weights[:, :k] * x
         total[0] += total[1]
-        p = SQUASHED[total[0] >> 16]  # from the end where it is below 0
+        p = SQUASHED[(total[0] >> 16).astype(np.intp)]  # from the end where it is below 0
         self.state = at, q, trust, place, old, x, p
         return q >> 3, p
 
@@ -227,7 +228,7 @@ class Model:
         target >>= 4
         target += old
         self.chance[place] = target
-        q += MOVED[trust]
+        q += MOVED[trust.astype(np.intp)]
         self.table[at] = np.where(trust < 2, ids << 3 | 1, q)
         mixed = self.before[:k] * np.int32(30011)
         mixed += ids * np.int32(40503)
@@ -265,7 +266,7 @@ def encode(ids: np.ndarray) -> tuple[bytes, list[bytes]]:
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
     words = np.zeros((lanes, most + most // 2 + 4), np.uint32)
     used = np.zeros(lanes, np.int64)
-    row = np.zeros(lanes, np.int32)
+    row = np.zeros(lanes, np.intp)
 
     def shift(at: np.ndarray) -> None:
         word, low[at], rng[at] = _normalised(low[at], rng[at])
@@ -274,7 +275,7 @@ def encode(ids: np.ndarray) -> tuple[bytes, list[bytes]]:
 
     for t in range(most):
         k = lanes if t < last else lanes - 1
-        own, mine = columns[t, :k], entry[t, :k]
+        own, mine = columns[t, :k], entry[t, :k].astype(np.intp)
         guess, p = model.predict(k)
         hit = own == guess
         begin, width = begins[mine], widths[mine]
@@ -300,7 +301,7 @@ def encode(ids: np.ndarray) -> tuple[bytes, list[bytes]]:
             if len(short):
                 shift(short)
         model.learn(own, hit, k)
-        row[:k] = of[own]
+        row[:k] = of[own.astype(np.intp)]
     tail = np.stack([low >> _32, low & _LOW32], axis=1).astype("<u4")
     return stored, [words[i, :n].astype("<u4").tobytes() + tail[i].tobytes() for i, n in enumerate(used.tolist())]
 
@@ -325,7 +326,7 @@ def decode(stored: memoryview, coded: list[bytes], n_ids: int) -> np.ndarray:
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
     code = words[:, 0].astype(np.uint64) << _32 | words[:, 1]
     used = np.full(lanes, 2, np.int64)
-    row = np.zeros(lanes, np.int32)
+    row = np.zeros(lanes, np.intp)
     columns = np.zeros((most, lanes), np.int32)
 
     def shift(at: np.ndarray) -> None:
@@ -345,7 +346,7 @@ def decode(stored: memoryview, coded: list[bytes], n_ids: int) -> np.ndarray:
         ahead //= r
         slot = np.minimum(ahead, tops[mine]).astype(np.int64)  # of no account where the prediction holds
         slot += base[mine]
-        e = slots[slot]
+        e = slots[slot].astype(np.intp)
         own = np.where(hit, guess, symbols[e])
         begin = begins[e]
         begin *= r
@@ -368,5 +369,5 @@ def decode(stored: memoryview, coded: list[bytes], n_ids: int) -> np.ndarray:
                 shift(short)
         columns[t, :k] = own
         model.learn(own, hit, k)
-        row[:k] = of[own]
+        row[:k] = of[own.astype(np.intp)]
     return columns.T.ravel()[:n_ids]
