@@ -3,13 +3,16 @@
 Two texts are as alike as the character n-grams (1 to 3) that both contain, whatever their counts: the blended
 spectrum presence kernel |A and B| / sqrt(|A| |B|). Landmarks give a Nystrom approximation of it, one ridge
 regression per language against the rest is fitted on the Nystrom features, and since all of these are
-products, the fitted model is one matrix of n-grams by languages; a text's scores are the sum of its n-grams' rows.
+products, the fitted model is one matrix of n-grams by languages; a batch of texts is scored by the product of its
+sparse presence matrix with that.
 
 Bounds: at most per_class labelled rows of each language are fitted, and of these at most landmarks_per_class
-are landmarks; both are taken in the order of a hash of the id, so that a rerun gives the same model.
+are landmarks; both are taken in the order of a hash of id and text, so that a rerun gives the same model, and rows that
+agree in id, text and language count once. Of repeated ids with different texts each text counts.
 
 A null text, or one without a letter, is und with score 0, as is every text if nothing was learned. Ties
-between languages go to the first in alphabetical order.
+between languages go to the first in alphabetical order. Repeated rows are judged alike. Very long texts are judged whole:
+their distinct n-grams count, whatever their length. Other columns are not read, an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,42 +25,41 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.session import checkpointed
+
 UNKNOWN = "und"
-_CLASSES = 128
-SPACE = _CLASSES + _CLASSES**2 + _CLASSES**3
-_table: np.ndarray | None = None
+#: Numbers of the product that scores n-grams at once: n-grams times languages.
+BATCH = 4 << 20
+_is_letter: np.ndarray | None = None
 
 
 class Model(NamedTuple):
+    """Languages, n-grams and the weight of each n-gram for each language."""
+
     languages: list[str]
     features: np.ndarray
     weights: np.ndarray
 
 
-def _class_table() -> np.ndarray:
-    """0 for what is no letter, 1 to 26 for a to z, and 27 to 127, shared, for all other letters."""
-    global _table
-    if _table is None:
-        table = np.zeros(0x110000, np.uint8)
-        letters = np.array([c for c in range(0x110000) if chr(c).isalpha()], np.int64)
-        table[letters] = 27 + (letters * 2654435761 >> 7) % 101
-        table[97:123] = np.arange(1, 27)
-        _table = table
-    return _table
+def _letters() -> np.ndarray:
+    global _is_letter
+    if _is_letter is None:
+        _is_letter = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+    return _is_letter
 
 
 def presence(text: str | None) -> np.ndarray:
-    """The distinct n-grams of a whole text, as sorted numbers under SPACE; none if it has no letter."""
+    """The distinct n-grams of a whole text, as sorted numbers of 21 bits a letter; none if it has no letter."""
     if not isinstance(text, str):
-        return np.empty(0, np.uint32)
+        return np.empty(0, np.int64)
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    c = _class_table()[points].astype(np.uint32)
+    c = np.where(_letters()[points], points, 0).astype(np.int64)
     if not c.any():
-        return np.empty(0, np.uint32)
-    c = np.concatenate([[0], c, [0]]).astype(np.uint32)
-    c = c[(c > 0) | np.concatenate([[True], c[:-1] > 0])]
-    two = c[:-1] * _CLASSES + c[1:]
-    grams = np.concatenate([c, two + _CLASSES, two[:-1] * _CLASSES + c[2:] + (_CLASSES + _CLASSES**2)]).astype(np.uint32)
+        return np.empty(0, np.int64)
+    c = np.concatenate([[0], c, [0]])
+    c = c[(c > 0) | np.concatenate([[True], c[:-1] > 0])]  # what is no letter is one gap
+    two = (c[:-1] + 1) << 21 | c[1:]
+    grams = np.concatenate([c, two, two[:-1] << 21 | c[2:]])
     grams.sort()
     return grams[np.concatenate([[True], grams[1:] != grams[:-1]])]
 
@@ -68,7 +70,7 @@ def fit_arrays(langs: list[str], grams: list[np.ndarray], landmarks_per_class: i
     langs, grams = [langs[i] for i in keep], [grams[i] for i in keep]
     languages = sorted(set(langs))
     if not languages:
-        return Model([], np.empty(0, np.uint32), np.empty((0, 0), np.float32))
+        return Model([], np.empty(0, np.int64), np.empty((0, 0), np.float32))
     marks = [i for x in languages for i in [j for j, y in enumerate(langs) if y == x][:landmarks_per_class]]
     features = np.unique(np.concatenate([grams[i] for i in marks]))
 
@@ -91,12 +93,21 @@ def fit_arrays(langs: list[str], grams: list[np.ndarray], landmarks_per_class: i
 
 
 def sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_class: int) -> DataFrame:
-    """At most per_class rows of each language, first in the order of a hash of the id: lang, rank, text."""
+    """lang, rank and text of at most per_class different rows of each language, first in the order of a hash of id and text.
+
+    Rows that agree in id, text and language are one. Only hashes under a border are gathered by language: about
+    twice per_class of each, by its approximate number of different rows.
+    """
     keyed = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    keyed = keyed.where("id is not null and lang is not null and text is not null")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    picked = keyed.select("id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_class)
-    return keyed.join(F.broadcast(picked.select("id", "rank")), "id").select("lang", "rank", "text")
+    keyed = keyed.where("id is not null and lang is not null and text is not null").withColumn("hash", F.xxhash64("id", "text"))
+    sizes = checkpointed(keyed.groupBy("lang").agg(F.approx_count_distinct("hash").alias("rows")))
+    unit = F.shiftrightunsigned(F.xxhash64("hash"), 11) / F.lit(float(1 << 53))
+    near = keyed.select("lang", "hash").join(F.broadcast(sizes), "lang").where(unit * F.col("rows") <= 2 * per_class + 200)
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("hash"), "hash")
+    picked = near.groupBy("lang", "hash").agg(F.lit(1)).select("lang", "hash", F.row_number().over(order).alias("rank"))
+    picked = checkpointed(picked.where(F.col("rank") <= per_class))
+    found = keyed.select("lang", "hash", "text").join(F.broadcast(picked), ["lang", "hash"])
+    return found.groupBy("lang", "rank").agg(F.min("text").alias("text"))
 
 
 def fit(
@@ -110,33 +121,56 @@ def fit(
 ) -> Model:
     """Learn from the non-null lang_col and text_col of labelled."""
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("array<long>")
     def grams(texts: pd.Series) -> pd.Series:
-        return pd.Series([presence(t).astype(np.int32) for t in texts], dtype=object)
+        return pd.Series([presence(t) for t in texts], dtype=object)
 
     rows = sample(labelled, id_col, text_col, lang_col, per_class).select("lang", "rank", grams("text").alias("grams")).toPandas()
     rows = rows.sort_values(["lang", "rank"])
-    return fit_arrays(rows["lang"].tolist(), [np.asarray(g, np.uint32) for g in rows["grams"]], landmarks_per_class, ridge)
+    return fit_arrays(rows["lang"].tolist(), [np.asarray(g, np.int64) for g in rows["grams"]], landmarks_per_class, ridge)
 
 
 class Scorer:
-    """A model ready for texts: a row number for every n-gram, the rows, and a last row of zeros."""
+    """A model ready for texts; its last row is one of zeros, for unknown n-grams."""
 
     def __init__(self, model: Model):
-        self.languages = model.languages
-        self.row = np.full(SPACE, len(model.features), np.int32)
-        self.row[model.features] = np.arange(len(model.features))
+        self.languages, self.features = np.array([*model.languages, UNKNOWN], object), model.features
         self.weights = np.vstack([model.weights, np.zeros((1, model.weights.shape[1]), np.float32)])
 
-    def __call__(self, text: str | None) -> tuple[str, float]:
-        grams = presence(text)
-        if not len(grams) or not self.languages:
-            return UNKNOWN, 0.0
-        rows = self.row[grams]
-        scores = self.weights[rows].sum(axis=0, dtype=np.float64) / len(grams) ** 0.5
-        likely = np.exp(5 * (scores - scores.max()))
-        best = int(np.argmax(scores))
-        return self.languages[best], float(likely[best] / likely.sum())
+    def _scores(self, grams: list[np.ndarray]) -> np.ndarray:
+        """The product of the texts' presence matrix, in compressed rows, with the weights."""
+        sizes = np.fromiter(map(len, grams), np.int64, len(grams))
+        each = np.concatenate(grams)
+        at = np.minimum(np.searchsorted(self.features, each), len(self.features) - 1)
+        rows = np.where(self.features[at] == each, at, len(self.features))
+        sums = np.add.reduceat(self.weights[rows], np.cumsum(sizes) - sizes, axis=0, dtype=np.float64)
+        return sums / np.sqrt(sizes)[:, None]
+
+    def __call__(self, texts) -> pd.DataFrame:
+        """lang_pred and score of each text."""
+        best, sure = np.full(len(texts), len(self.languages) - 1), np.zeros(len(texts))
+        places: list[int] = []
+        held: list[np.ndarray] = []
+        size = 0
+
+        def settle() -> None:
+            scores = self._scores(held)
+            likely = np.exp(5 * (scores - scores.max(axis=1, keepdims=True)))
+            best[places] = scores.argmax(axis=1)
+            sure[places] = likely.max(axis=1) / likely.sum(axis=1)
+
+        for i, text in enumerate(texts if len(self.languages) > 1 else ()):
+            grams = presence(text)
+            if len(grams):
+                places.append(i)
+                held.append(grams)
+                size += len(grams)
+            if size * self.weights.shape[1] > BATCH:
+                settle()
+                places, held, size = [], [], 0
+        if held:
+            settle()
+        return pd.DataFrame({"lang_pred": self.languages[best], "score": sure})
 
 
 def language_column(text: Column, model: Model, spark) -> Column:
@@ -147,7 +181,7 @@ def language_column(text: Column, model: Model, spark) -> Column:
     def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(shared.value)
         for texts in batches:
-            yield pd.DataFrame([scorer(t) for t in texts], columns=["lang_pred", "score"])
+            yield scorer(texts.tolist())
 
     return predicted(text)
 

@@ -17,9 +17,10 @@ No group is expanded into all pairs:
 With bands of 5 registers and 40 bands a pair at the threshold of 0.8 is missed with probability
 (1 - 0.8^5)^40 = 1.2e-7, and less above it.
 
-Null or empty texts have the empty set, which is linked with nothing. Equal texts have equal sets, ties are
-broken by the smaller id. Repeated ids count as one node. Rows with a null id are kept. An empty table gives an empty
-result.
+Documents with an equal id are documents of their own, told apart by their texts: each row gets the smallest id of
+the component of its own text. Null or empty texts have the empty set, which is linked with nothing. Equal texts have equal
+sets, and of equal ones the smallest id is the component's. Very long texts are whole sets like others, some 20 bytes a
+word. Rows with a null id are kept, and give their component no id. Other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -111,45 +112,46 @@ def linked(values_a: np.ndarray, values_b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(values_a) + len(values_b) - both)
 
 
-def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id and text of the given ids; the ids are broadcast if there are at most BROADCAST_IDS of them."""
-    ids = checkpointed(ids)
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.join(ids, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
+def _texts(docs: DataFrame, firsts: DataFrame, keys: DataFrame) -> DataFrame:
+    """key and text of the given classes; they are broadcast if there are at most BROADCAST_IDS of them."""
+    wanted = checkpointed(firsts.join(keys, "key", "left_semi").select(F.col("id").alias("own"), F.col("text_hash").alias("own_hash"), "key"))
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    held = docs.join(wanted, F.col("id").eqNullSafe(F.col("own")) & (F.xxhash64("text") == F.col("own_hash")))
+    return held.groupBy("key").agg(F.min("text").alias("text"))
 
 
-def _residual_pairs(split: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Pairs (a, b) across components among the members of split (band, id, n, component) that can be links."""
+def _residual_pairs(split: DataFrame, firsts: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Pairs (a, b) across components among the members of split (band, key, n, component) that can be links."""
 
     @F.pandas_udf("array<long>")
     def shingles(texts: pd.Series) -> pd.Series:
         return pd.Series([s.astype(np.int64) for s in shingle_sets(texts, n)], dtype=object)
 
-    members = checkpointed(split.select("id", "component", "n").distinct())
-    held = _texts(docs, members.select("id").distinct()).select("id", F.explode(shingles("text")).alias("shingle"))
+    members = checkpointed(split.select("key", "component", "n").distinct())
+    held = _texts(docs, firsts, members.select("key")).select("key", F.explode(shingles("text")).alias("shingle"))
     with arrow_batches(docs.sparkSession, BATCH):
         held = written(held, "shingles")
     spread = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     known = written(held.join(spread, "shingle"), "spread")
-    rare = known.where(F.col("df") <= RARE).join(members, "id")
-    other = rare.select("shingle", F.col("id").alias("q"), F.col("component").alias("c"), F.col("n").alias("nq"))
+    rare = known.where(F.col("df") <= RARE).join(members, "key")
+    other = rare.select("shingle", F.col("key").alias("q"), F.col("component").alias("c"), F.col("n").alias("nq"))
     sized = f"100 * least(n, nq) >= {percent} * greatest(n, nq)"
-    sharing = rare.join(other, "shingle").where("id < q and component <> c").where(sized)
-    common = known.groupBy("id").agg(F.sum((F.col("df") > RARE).cast("int")).alias("common"))
-    able = split.join(common, "id").where(f"100 * common >= {percent} * n")
-    own = able.groupBy("id").agg(F.collect_set("band").alias("bands"))  # at most BANDS of them
-    able = able.join(own, "id")
+    sharing = rare.join(other, "shingle").where("key < q and component <> c").where(sized)
+    common = known.groupBy("key").agg(F.sum((F.col("df") > RARE).cast("int")).alias("common"))
+    able = split.join(common, "key").where(f"100 * common >= {percent} * n")
+    own = able.groupBy("key").agg(F.collect_set("band").alias("bands"))  # at most BANDS of them
+    able = able.join(own, "key")
     other = able.select(
-        "band", F.col("id").alias("q"), F.col("component").alias("c"), F.col("n").alias("nq"), F.col("common").alias("cq"), F.col("bands").alias("bq")
+        "band", F.col("key").alias("q"), F.col("component").alias("c"), F.col("n").alias("nq"), F.col("common").alias("cq"), F.col("bands").alias("bq")
     )
     bound = f"100 * least(common, cq) >= {percent} * (n + nq - least(common, cq))"
     once = "array_min(array_intersect(bands, bq)) = band"  # the first of the bands that a pair shares
-    alike = able.join(other, "band").where(f"id < q and component <> c and {bound} and {once}")
-    return sharing.select("id", "q").union(alike.select("id", "q")).toDF("a", "b").distinct()
+    alike = able.join(other, "band").where(f"key < q and component <> c and {bound} and {once}")
+    return sharing.select("key", "q").union(alike.select("key", "q")).toDF("a", "b").distinct()
 
 
-def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of ids whose sets are similar enough."""
+def _verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose sets are similar enough."""
     margin = 5.5 * (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5
 
     @F.pandas_udf("boolean")
@@ -160,70 +162,100 @@ def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, n: int, pe
     def similar(ta: pd.Series, tb: pd.Series) -> pd.Series:
         return pd.Series([linked(x, y, percent) for x, y in zip(shingle_sets(ta, n), shingle_sets(tb, n), strict=True)], dtype=bool)
 
-    side = sketches.select("id", "n", "registers")
-    a = side.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra"))
-    b = side.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb"))
+    a = firsts.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra"))
+    b = firsts.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb"))
     close = pairs.join(a, "a").join(b, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
     close = checkpointed(close.where(likely("ra", "rb", "na", "nb")).select("a", "b"))
-    ids = close.select(F.col("a").alias("id")).union(close.select("b")).distinct()
-    texts = checkpointed(_texts(docs, ids))
-    ta, tb = (texts.select(F.col("id").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
+    keys = close.select(F.col("a").alias("key")).union(close.select("b")).distinct()
+    texts = checkpointed(_texts(docs, firsts, keys))
+    ta, tb = (texts.select(F.col("key").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
     with arrow_batches(docs.sparkSession, BATCH):
         return checkpointed(close.join(ta, "a").join(tb, "b").where(similar("ta", "tb")).select("a", "b"))
 
 
-def near_duplicates(
-    docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """id_col, n_shingles, component_id (smallest id reachable over links) and kept (id is the component's)."""
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+def _sketches(docs: DataFrame, n: int) -> DataFrame:
+    """id, text_hash and sketch of every row of docs (id, text)."""
 
     @F.pandas_udf(SKETCH_TYPE)
     def sketched(texts: pd.Series) -> pd.DataFrame:
         rows = [sketch(s) for s in shingle_sets(texts, n)]
         return pd.DataFrame(rows, columns=["n", "d1", "d2", "registers", "bands"])
 
+    own = docs.select("id", F.xxhash64("text").alias("text_hash"), sketched("text").alias("s"))
     with arrow_batches(docs.sparkSession, BATCH):
-        sketches = written(docs.select("id", sketched("text").alias("s")).select("id", "s.*"), "sketches")
-    full = sketches.where("n > 0")
-    classes = written(full.groupBy("d1", "d2", "n").agg(F.min("id").alias("id")), "classes")
-    firsts = full.join(classes.select("id"), "id", "left_semi").dropDuplicates(["id"])
-    bands = written(firsts.select("id", "n", F.explode("bands").alias("band")), "bands")
-    shared = bands.groupBy("band").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1")
+        sketches = written(own.select("id", "text_hash", "s.*"), "sketches")
+    return sketches
+
+
+def _components(docs: DataFrame, sketches: DataFrame, n: int, percent: int) -> DataFrame:
+    """sketches (id, text_hash, n) with component, the smallest id that a row reaches."""
+    full = sketches.where("n > 0").withColumn("key", F.xxhash64("d1", "d2", "n"))
+    classes = written(full.groupBy("key").agg(F.min(F.struct("id", "text_hash")).alias("first"), F.min("id").alias("least_id")), "classes")
+    of = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    firsts = full.join(classes.select(F.col("key").alias("own"), "first"), (F.col("key") == F.col("own")) & of).drop("own", "first")
+    firsts = written(firsts.dropDuplicates(["key"]), "firsts")
+    bands = firsts.select("key", "n", F.explode("bands").alias("band"))
+    shared = bands.groupBy("band").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1")
     members = written(bands.join(shared.drop("c"), "band"), "members")
 
-    stars = members.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
+    stars = members.where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b")).distinct()
     links = _verified(stars, firsts, docs, n, percent)
     found = checkpointed(connected_components(links))
 
-    placed = members.join(found.withColumnRenamed("node", "id"), "id", "left").select(
-        "band", "id", "n", F.coalesce("component", "id").alias("component")
+    placed = members.join(found.withColumnRenamed("node", "key"), "key", "left").select(
+        "band", "key", "n", F.coalesce("component", "key").alias("component")
     )
     split = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
     split = checkpointed(placed.join(split.select("band"), "band"))
-    rest = _residual_pairs(split, docs, n, percent).join(stars, ["a", "b"], "left_anti")
+    rest = _residual_pairs(split, firsts, docs, n, percent).join(stars, ["a", "b"], "left_anti")
     more = _verified(rest, firsts, docs, n, percent)
     if not more.isEmpty():
         found = checkpointed(connected_components(links.union(more)))
 
-    merged = classes.join(found.withColumnRenamed("node", "id"), "id", "left").select(
-        "d1", "d2", "n", F.coalesce("component", "id").alias("component")
-    )
-    placed = sketches.select("id", "n", "d1", "d2").join(merged, ["d1", "d2", "n"], "left")
-    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
+    held = classes.select("key", "least_id").join(found.withColumnRenamed("node", "key"), "key", "left")
+    held = held.withColumn("component", F.coalesce("component", "key"))
+    least = held.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    merged = held.join(least, "component").select("key", "component_id")
+    # Rows without shingles are all alike in their digests: each gets a key of its own.
+    key = F.when(F.col("n") > 0, F.xxhash64("d1", "d2", "n"))
+    placed = sketches.select("id", "text_hash", "n", key.alias("key")).join(merged, "key", "left")
+    return placed.withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")))
+
+
+def near_duplicates(
+    docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """id_col, n_shingles, component_id (smallest id reachable over links) and kept (id is the component's), a row for each row."""
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    placed = _components(docs, _sketches(docs, n), n, percent)
     return placed.select(
         F.col("id").alias(id_col),
         F.col("n").cast("long").alias("n_shingles"),
-        component.alias("component_id"),
-        F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
+        "component_id",
+        F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"),
     )
 
 
 def without_near_duplicates(
     docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """docs with all their columns, one document of each component: the one whose id is the smallest."""
-    gone = near_duplicates(docs, n, percent, id_col, text_col).where(~F.col("kept"))
-    gone = checkpointed(gone.select(F.col(id_col).alias("_gone")))
+    """docs with all their columns, one document of each component: the one whose id is the smallest.
+
+    Of rows with that id in one component the one with the smallest hash of the text stays, and of rows that agree in both, one.
+    """
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    placed = _components(own, _sketches(own, n), n, percent).where("n > 0 and id is not null")
+    placed = written(placed.groupBy("id", "text_hash", "component_id").agg(F.count(F.lit(1)).alias("rows")), "placed")
+    first = placed.where("id = component_id").groupBy("component_id").agg(F.min("text_hash").alias("first"), F.count(F.lit(1)).alias("texts"))
+    several = first.where("texts > 1").select("component_id", "first")
+    gone = placed.join(several, "component_id", "left").where("id <> component_id or text_hash <> first")
+    gone = checkpointed(gone.select(F.col("id").alias("_gone"), F.col("text_hash").alias("_hash")))
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    same = (F.col(f"_row.{id_col}") == F.col("_gone")) & (F.xxhash64(f"_row.{text_col}") == F.col("_hash"))
+    kept = docs.select(F.struct("*").alias("_row")).join(gone, same, "left_anti")
+    again = placed.where("rows > 1 and id = component_id").select(F.col("id").alias("_again"), F.col("text_hash").alias("_hash"))
+    if again.isEmpty():
+        return kept.select("_row.*")
+    twice = (F.col(f"_row.{id_col}") == F.col("_again")) & (F.xxhash64(f"_row.{text_col}") == F.col("_hash"))
+    once = kept.join(again, twice).groupBy("_again", "_hash").agg(F.first("_row").alias("_row"))
+    return kept.join(again, twice, "left_anti").unionByName(once.select("_row")).select("_row.*")

@@ -342,3 +342,20 @@ def test_near_duplicates_without_ids(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (3, "a b c d e f"), (4, "a b c d e f")], "doc_id long, text string")
     kept = sorted(r["doc_id"] or 0 for r in near_dedup.without_near_duplicates(docs).collect())
     assert kept == [0, 0, 3]
+
+
+def test_near_duplicates_with_repeated_ids(spark):
+    t, u, v = "a b c d e f g h", "k l m n o p q r", "s t u v w x y z"
+    rows = [(3, t, 1), (5, t, 2), (5, u, 3), (3, t, 4), (7, u, 5), (7, v, 6), (7, None, 7), (8, "", 8), (8, "", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key int")
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(docs, n=4).collect())
+    assert got == [(3, 5, 3, True), (3, 5, 3, True), (5, 5, 3, False), (5, 5, 5, True), (7, 0, 7, True), (7, 5, 5, False), (7, 5, 7, True), (8, 0, 8, True), (8, 0, 8, True)]
+    kept = sorted(((r["doc_id"], r["text"]) for r in near_dedup.without_near_duplicates(docs, n=4).collect()), key=str)
+    assert kept == sorted([(3, t), (5, u), (7, v), (7, None), (8, ""), (8, "")], key=str)
+
+
+def test_near_duplicates_of_very_long_texts(spark):
+    rng = random.Random(2)
+    long = [f"w{rng.randrange(5000)}" for _ in range(200_000)]
+    docs = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(long[:-300])), (3, " ".join(long[:120_000]))], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3}

@@ -207,8 +207,28 @@ def test_language_weights_equal_the_kernel_form():
     y = np.where(np.array([x for x, _ in texts])[:, None] == np.array(model.languages)[None, :], 1.0, -1.0)
     want = phi @ np.linalg.solve(phi.T @ phi + 0.1 * np.eye(phi.shape[1]), phi.T @ y)
     scorer = language.Scorer(model)
-    for (_, text), row in zip(texts, want, strict=True):
-        assert scorer(text)[0] == model.languages[int(np.argmax(row))]
+    assert np.allclose(scorer._scores(grams), want, atol=1e-4)
+    assert scorer([t for _, t in texts])["lang_pred"].tolist() == [model.languages[i] for i in want.argmax(axis=1)]
+
+
+def test_language_sample_takes_each_row_once(spark):
+    rows = [(1, "der hund", "de", 0)] * 200 + [(i, f"the dog {i}", "en", 0) for i in range(2000)] + [(1, "die katze", "de", 0), (None, "x", "de", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, rank int")
+    found = language.sample(docs, "doc_id", "text", "lang", 100).collect()
+    assert sorted(r["text"] for r in found if r["lang"] == "de") == ["der hund", "die katze"]
+    own = [r["rank"] for r in found if r["lang"] == "en"]
+    assert sorted(own) == list(range(1, 101)) and len({r["text"] for r in found}) == 102
+    assert sorted(map(tuple, language.sample(docs, "doc_id", "text", "lang", 100).collect())) == sorted(map(tuple, found))
+
+
+def test_language_of_odd_rows(spark):
+    rows = [(i, t, "xx", "de") for i, t in enumerate([*ODD, "der hund " * 50_000, "語" * 5, "語" * 5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang_pred string, lang string")
+    model = language.fit(spark.createDataFrame([(1, "der hund", "de"), (2, "the dog", "en"), (3, "語文 語", "zh")], "doc_id long, text string, lang string"))
+    found = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(docs, model).collect()}
+    assert len(found) == len(rows) and found[len(ODD)][0] == "de" and found[len(ODD) + 1] == found[len(ODD) + 2] and found[len(ODD) + 1][0] == "zh"
+    assert all(found[i] == ("und", 0.0) for i, t in enumerate(ODD) if not any(c.isalpha() for c in t or ""))
+    assert language.identify(docs.limit(0), model).count() == 0
 
 
 # --- toxicity -------------------------------------------------------------------------------------------------
