@@ -6,13 +6,17 @@ the notice would stand, and the regex library's bounded-error matching confirms
 reports the span. A match with no edits on word borders is a base hit.
 
 Texts are normalised to lower-case words (ASCII letters, digits, non-ASCII) joined by one space. Null and empty
-texts have no words, no labels and score 0. Work is per text, so repeated rows and ties are judged alike.
+texts have no words, no labels and score 0. Work is per text, so repeated rows are judged alike; very long texts are
+scanned whole, in time that grows with their length and hits. Of matches of one notice that overlap, the one with the
+fewest edits is reported, then the first. Other columns are not read, an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -67,27 +71,41 @@ def occurrences(data: bytes, piece: bytes) -> list[int]:
     return found
 
 
-def candidate_windows(data: bytes, notice: Notice) -> list[tuple[int, int]]:
-    """Merged ranges of data that can hold the notice, from the exact places of its pieces."""
+def candidate_windows(data: bytes, notice: Notice, known: set[int]) -> list[tuple[int, int]]:
+    """Ranges of data, each little longer than the notice, that can hold it, from the exact places of its pieces.
+
+    Places where the notice is known to stand unedited are left out.
+    """
     reach = len(notice.phrase) + notice.edits
-    raw = sorted(
-        (max(0, at - offset - notice.edits - 1), min(len(data), at - offset + reach + 1))
-        for offset, piece in notice.pieces
-        for at in occurrences(data, piece)
-    )
-    out: list[list[int]] = []
-    for start, end in raw:
-        if out and start <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], end)
+    starts = {at - offset for offset, piece in notice.pieces for at in occurrences(data, piece)} - known
+    return [(max(0, at - notice.edits - 1), min(len(data), at + reach + 1)) for at in sorted(starts)]
+
+
+def apart(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of matches (start, end, edits) that overlap one another in a row, the first with the fewest edits."""
+    kept: list[tuple[int, int, int]] = []
+    upto = -1
+    for match in sorted(found):
+        if kept and match[0] < upto:
+            kept[-1] = min(kept[-1], match, key=lambda m: (m[2], m[0], m[1]))
         else:
-            out.append([start, end])
-    return [(a, b) for a, b in out]
+            kept.append(match)
+        upto = max(upto, match[1])
+    return kept
 
 
 def scan_text(text: str | None, notices: list[Notice]) -> tuple:
     data = text.encode("utf-8", "surrogatepass").translate(ALNUM) if isinstance(text, str) else b""
     words = data.split()
     line = b" " + b" ".join(words) + b" "
+    gaps: list[int] = []
+
+    def word_at(place: int) -> int:
+        """The number of the word that begins at a place, or after it."""
+        if not gaps:
+            gaps.extend(np.flatnonzero(np.frombuffer(line, np.uint8) == 0x20).tolist())
+        return bisect_left(gaps, place) - 1
+
     base: list[int] = []
     base_labels: set[str] = set()
     spans: list[tuple[str, int, int, int]] = []
@@ -96,7 +114,7 @@ def scan_text(text: str | None, notices: list[Notice]) -> tuple:
         exact_at: set[int] = set()
         if notice.exact:
             for at in occurrences(line, b" " + notice.phrase + b" "):
-                word = line.count(b" ", 0, at + 1) - 1
+                word = word_at(at + 1)
                 exact_at.add(at + 1)
                 base.append(word)
                 base_labels.add(notice.label)
@@ -105,15 +123,15 @@ def scan_text(text: str | None, notices: list[Notice]) -> tuple:
             best = 1.0
         if not notice.edits and notice.exact:
             continue
-        for start, end in candidate_windows(line, notice):
-            for match in notice.pattern.finditer(line, start, end):
-                if match.start() in exact_at:
-                    continue
-                edits = sum(match.fuzzy_counts)
-                first = line.count(b" ", 0, match.start() + 1) - 1
-                last = line.count(b" ", 0, max(match.start() + 1, match.end()))
-                spans.append((notice.label, max(0, first), min(last, len(words)), edits))
-                best = max(best, 1.0 - edits / len(notice.phrase))
+        found = {
+            (m.start(), m.end(), sum(m.fuzzy_counts))
+            for start, end in candidate_windows(line, notice, exact_at)
+            for m in notice.pattern.finditer(line, start, end)
+            if m.start() not in exact_at
+        }
+        for start, end, edits in apart(list(found)):
+            spans.append((notice.label, max(0, word_at(start)), min(word_at(max(start, end - 1)) + 1, len(words)), edits))
+            best = max(best, 1.0 - edits / len(notice.phrase))
     spans.sort(key=lambda s: (s[1], s[2], s[0], s[3]))
     return (
         len(words),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -120,6 +121,50 @@ def test_licenses_with_edits(text, label):
     assert words(text)[span["start_word"] : span["end_word"]][-1].startswith("lic")
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def test_fuzzy_licenses_against_brute_force():
+    rng = random.Random(4)
+    ready = licenses.prepared()
+    pool = [w for notice in licenses.NOTICES for w in notice[0].split()] + ["the", "licence", "of", "bsdlicense"]
+    for _ in range(150):
+        own = []
+        for _ in range(rng.randrange(1, 4)):
+            own += rng.choices(pool, k=rng.randrange(3)) + rng.choice(licenses.NOTICES)[0].split()
+        text = list(" ".join(own))
+        for _ in range(rng.randrange(5)):
+            at = rng.randrange(len(text))
+            text[at : at + rng.randrange(2)] = rng.choice(["", "x", " ", "e"])
+        found = words("".join(text))
+        got = licenses.scan_text("".join(text), ready)
+        near = set()
+        for notice in ready:
+            for i in range(len(found)):
+                for j in range(i + 1, min(len(found), i + 12) + 1):
+                    off = edit_distance(" ".join(found[i:j]).encode(), notice.phrase)
+                    if off <= notice.edits and (off == 0 or notice.edits or not notice.exact):
+                        near.add(notice.label)
+        assert got[5] == sorted(near)
+        for span in got[7]:
+            own = " ".join(found[span["start_word"] : span["end_word"]]).encode()
+            assert any(n.label == span["label"] and edit_distance(own, n.phrase) <= span["edits"] <= n.edits for n in ready), (span, found)
+
+
+def test_licenses_of_very_long_texts():
+    for text, hits in (("gnu general public license " * 38_000, 38_000), ("the gnu genral public licence. " * 33_000, 0)):
+        began = time.thread_time()
+        found = licenses.scan_text(text, licenses.prepared())
+        assert found[1] == hits and found[5] == ["gpl"] and len(found[7]) >= 33_000 and found[7][-1]["end_word"] >= found[0] - 1
+        assert time.thread_time() - began < 6
+
+
 def test_licenses_leave_other_texts_alone():
     for text in ("it licensed the patent", "apache helicopter", "general public", "by cc", "a permit license"):
         assert licenses.scan_text(text, licenses.prepared())[5] == []
@@ -150,20 +195,29 @@ def test_decontamination_against_brute_force(spark):
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, items string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     for bound in (16 << 20, 60):
-        found = decontaminate.contamination(docs, bench, n=4, slice_bytes=bound).collect()
+        found = decontaminate.contamination(docs, bench, n=4, broadcast_bytes=bound).collect()
         assert len(found) == len(texts)
         for r in found:
             n_hit = sum(b - a for a, b in zip(r["froms"], r["tos"], strict=True))
             assert (r["n_words"], n_hit, r["items"]) == brute_hits(texts[r["doc_id"]], items, 4)
-    kept = decontaminate.decontaminated(docs, bench, n=4)
-    assert kept.columns == docs.columns
-    assert {r["doc_id"] for r in kept.collect()} == {i for i, t in enumerate(texts) if not brute_hits(t, items, 4)[1]}
-    cut = {r["doc_id"]: r["text"] for r in decontaminate.decontaminated(docs, bench, n=4, mode="spans").collect()}
-    assert len(cut) == len(texts) and cut[len(texts) - 4] is None and cut[len(texts) - 2] == "!"
+        kept = decontaminate.decontaminated(docs, bench, n=4, broadcast_bytes=bound)
+        assert kept.columns == docs.columns
+        assert {r["doc_id"] for r in kept.collect()} == {i for i, t in enumerate(texts) if not brute_hits(t, items, 4)[1]}
+        cut = {r["doc_id"]: r["text"] for r in decontaminate.decontaminated(docs, bench, n=4, mode="spans", broadcast_bytes=bound).collect()}
+        assert len(cut) == len(texts) and cut[len(texts) - 4] is None and cut[len(texts) - 2] == "!"
     assert decontaminate.contamination(docs, bench.limit(0)).where("size(froms) > 0").count() == 0
     assert decontaminate.contamination(docs.limit(0), bench).count() == 0
 
 
+def test_decontamination_of_very_long_texts_and_null_ids(spark):
+    long = " ".join(f"w{i}" for i in range(100_000))
+    docs = spark.createDataFrame([(1, long, "a"), (1, long, "b"), (None, "w5 w6 w7 w8", "c")], "doc_id long, text string, _row string")
+    bench = spark.createDataFrame([(None, "w5 w6 w7 w8"), ("q", "w99998 w99999")], "item_id string, text string")
+    for bound in (16 << 20, 5):
+        found = sorted((r["doc_id"] or 0, r["n_words"], r["froms"], r["tos"], r["items"]) for r in decontaminate.contamination(docs, bench, n=4, broadcast_bytes=bound).collect())
+        assert found == [(0, 4, [0], [4], [""])] + [(1, 100_000, [5, 99_998], [9, 100_000], ["", "q"])] * 2
+
+
 # --- language -------------------------------------------------------------------------------------------------
 
 SAMPLES = {
