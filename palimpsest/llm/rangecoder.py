@@ -133,13 +133,19 @@ def measured(ids: np.ndarray) -> tuple[bytes, Frequencies, np.ndarray]:
     """The stored form of a frame's frequencies, the frequencies, and the entry of each of its ids."""
     seen = np.bincount(ids)
     known = np.flatnonzero(seen)
-    before = np.empty(len(ids), np.int64)
-    before[1:] = ids[:-1]
-    before[::BLOCK] = ESCAPE
-    order = np.sort(before << 47 | ids.astype(np.int64) << 31 | np.arange(len(ids)))
-    pairs, place = order >> 31, order & 0x7FFFFFFF
+    pairs = np.empty(len(ids), np.int64)  # the id before, the id and the place, in this order of weight; sorted in its place
+    pairs[1:] = ids[:-1]
+    pairs[::BLOCK] = ESCAPE
+    pairs <<= 16
+    pairs |= ids
+    pairs <<= 31
+    pairs |= np.arange(len(ids), dtype=np.int32)
+    pairs.sort()
+    place = (pairs & 0x7FFFFFFF).astype(np.int32)
+    pairs >>= 31
     first, count = _runs(pairs)
     pair = pairs[first]
+    del pairs
     kept = (count >= LEAST_PAIR) & (pair >> 16 != ESCAPE)
     context, after, codes = pair[kept] >> 16, pair[kept] & 0xFFFF, _coarse(count[kept])
     start, followers = _runs(context) if len(context) else (np.empty(0, np.int64), np.empty(0, np.int64))
@@ -155,7 +161,7 @@ def measured(ids: np.ndarray) -> tuple[bytes, Frequencies, np.ndarray]:
     entry = np.where(row > 0, found.escapes[row], -1)
     entry[kept] = len(known) + 1 + np.arange(len(context)) + np.repeat(np.arange(len(contexts)), followers)
     own = np.empty(len(ids), np.int32)
-    own[place] = np.repeat(entry, count)
+    own[place] = np.repeat(entry.astype(np.int32), count)
     alone = np.flatnonzero(own < 0)
     own[alone] = np.searchsorted(known, ids[alone])
     return stored, found, own
@@ -258,7 +264,7 @@ def encode(ids: np.ndarray) -> tuple[bytes, list[bytes]]:
     stored, found, entry = measured(ids)
     lanes, most = -(-len(ids) // BLOCK), min(BLOCK, len(ids))
     last = len(ids) - (lanes - 1) * BLOCK
-    columns, entry = _columns(ids.astype(np.int32), lanes, most), _columns(entry, lanes, most)
+    columns, entry = _columns(ids.astype(np.int32, copy=False), lanes, most), _columns(entry, lanes, most)
     entries, bits, of = found.entries, found.bits.astype(np.uint64), found.of
     begins, widths = (entries >> _FIELD & _WIDTH).astype(np.uint64), (entries & _WIDTH).astype(np.uint64)
     bits0, is_escape = bits[0], entries >> (2 * _FIELD) == ESCAPE

@@ -38,7 +38,7 @@ def mix64(h: np.ndarray) -> np.ndarray:
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers
     if len(_powers[0]) < n:
-        size = 1 << max(20, (n - 1).bit_length())
+        size = 1 << max(19, (n - 1).bit_length())
         with np.errstate(over="ignore"):
             _powers = tuple(
                 np.multiply.accumulate(np.array([1] + [base] * (size - 1), np.uint64))
@@ -92,7 +92,7 @@ def windows(hashes: np.ndarray, n: int) -> np.ndarray:
         return mix64(out + np.uint64(n))
 
 
-def chunks(texts, limit: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def chunks(texts, limit: int = 1 << 18) -> Iterator[tuple[int, list[bytes]]]:
     """(index of the first text, encoded texts) of at most limit bytes together; nulls are empty."""
     first, size, held = 0, 0, []
     for i, text in enumerate(texts):

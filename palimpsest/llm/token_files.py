@@ -42,7 +42,7 @@ MAGIC, HEAD = b"PTF2", struct.Struct("<4sIQQII")
 FRAME = 2048 * BLOCK
 #: Slots of the word table, words kept before it starts anew, and bytes of text that are tokenised at once.
 SLOT_BITS = 20
-SLOTS, WORDS_KEPT, PIECE = 1 << SLOT_BITS, 500_000, 1 << 20
+SLOTS, WORDS_KEPT, PIECE = 1 << SLOT_BITS, 400_000, 1 << 18
 NO_ID = -(2**63)
 FILE_TYPE = "shard int, frame int, tokens long, payload binary"
 ROW_TYPE = "shard int, at long, doc_id long, n_tokens long, ids_crc32 long"
@@ -268,9 +268,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
 
         def frame() -> pd.DataFrame:
             nonlocal waiting, number, before, held
-            payload = frame_of(*map(np.concatenate, waiting), before)
-            row = pd.DataFrame([(shard, number, held, payload)], columns=["shard", "frame", "tokens", "payload"])
-            before, number, held, waiting = before + held, number + 1, 0, [[], [], []]
+            parts = [np.concatenate(x) for x in waiting]
+            waiting = [[], [], []]
+            row = pd.DataFrame([(shard, number, held, frame_of(*parts, before))], columns=["shard", "frame", "tokens", "payload"])
+            before, number, held = before + held, number + 1, 0
             return row
 
         def add(own: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
