@@ -3,21 +3,22 @@
 A text is its tokens (runs of other characters than ASCII white space, A-Z lowered) and an end. The tree predicts
 it byte by byte: a space closes each token, the end is a symbol of its own. Counts of every run of up to
 DEPTH context bytes and the next byte are taken over all training texts on Spark. A context becomes a
-state if it is frequent enough and its next-symbol distribution diverges from that of its suffix; the suffixes
-of states are states. Each state's distribution is smoothed towards that of its suffix, and a byte is scored by
-the longest state that its context ends with. A token's probability is the product over its bytes, mixed
-with its share of the training tokens: word_weight * share + (1 - word_weight) * spelled. Both are distributions
-over tokens, so the mixture is one.
-
-Bounds: runs seen in less than min_share of the training bytes (or once) are left to their suffix, so that each
-length has at most 1 / min_share runs in the model that is broadcast, and fewer contexts; likewise tokens under min_share of all tokens are
-looked up by a join, not in the broadcast table. Null and empty texts are just the end. Repeated rows are
-scored alike and count as often as they occur in training; an empty training set gives a uniform model.
+state if it is frequent enough and its next-symbol distribution diverges from that of its suffix (Kullback-Leibler);
+the suffixes of states are states. Each state's distribution is smoothed towards that of its suffix, by the number
+of different symbols that followed, and a byte is scored by the longest state that its context ends with. A text's
+score is the sum over its bytes, from the tree alone.
+
+Bounds: the tree is broadcast, so runs seen in less than min_share of the training bytes are left to their suffix: each
+length has at most 1 / min_share runs, and fewer contexts. Up to that size, all runs are kept. Tokens under min_share of all
+tokens are looked up by a join, not in the broadcast table; they are known by 64-bit hashes.
+
+Null and empty texts are just the end. Very long texts are scored whole, some LIMIT bytes at a time. Repeated rows are
+scored alike and count as often as they occur in training; so do repeated ids. An empty training set gives a uniform
+model. There are no ties: nothing is chosen by rank. Other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -26,22 +27,25 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.textops import SPACED
-from palimpsest.session import written
+from palimpsest.llm.textops import SPACED, span_hashes
+from palimpsest.session import arrow_batches, written
 
-DEPTH = 5
+DEPTH = 6
 SYMBOLS = 256
-#: Entries of counts that a task holds before it merges them, or sends words on.
-KEPT, WORDS_KEPT = 3_000_000, 400_000
-LOG2 = float(np.log10(2.0))
+#: Bytes of texts that are worked on at once; entries of counts that a task holds before it merges them, and before it sends them on.
+LIMIT, KEPT = 1 << 20, 2_000_000
 #: Bytes that no token holds: what stands before a text, and its end.
 START, END = b"\t" * DEPTH, b"\n"
-COUNT_TYPE = "word binary, gram long, n long"
+COUNT_TYPE = "kind int, key long, n long"
+GRAMS, WORDS, TEXTS = range(3)
 
 
 class Counts(NamedTuple):
-    words: DataFrame
+    """Runs (gram, n) and tokens by hash (word, n); numbers of texts, tokens with ends, distinct tokens with the end, bytes."""
+
     grams: DataFrame
+    words: DataFrame
+    texts: int
     tokens: int
     types: int
     symbols: int
@@ -72,19 +76,60 @@ def tokens(text) -> list[bytes]:
 
 
 def stream(words: list[bytes]) -> bytes:
-    return START + b"".join(w + b" " for w in words) + END
-
-
-def gram_keys(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all places that a buffer of streams predicts, and their places; a key's low byte is the symbol."""
-    raw = np.frombuffer(data, np.uint8)
+    return START + b" ".join([*words, END])
+
+
+class Streams(NamedTuple):
+    """Streams of texts in one buffer; its first skip bytes are context only. closes: the place after each text that ends in it."""
+
+    data: bytes
+    skip: int
+    closes: np.ndarray
+
+
+def streams_of(texts) -> Iterator[Streams]:
+    """The streams of texts, about LIMIT bytes at a time. A longer text is cut after spaces and stands first in its buffers."""
+    parts: list[bytes] = []
+    closes: list[int] = []
+    size = skip = 0
+    for text in texts:
+        own = stream(tokens(text))
+        if parts and size + len(own) > LIMIT:
+            yield Streams(b"".join(parts), skip, np.array(closes))
+            parts, closes, size, skip = [], [], 0, 0
+        while len(own) > LIMIT:
+            cut = own.rfind(b" ", skip + 1, LIMIT) + 1
+            if cut <= max(skip, DEPTH):
+                break
+            yield Streams(own[:cut], skip, np.empty(0, np.int64))
+            own, skip = own[cut - DEPTH :], DEPTH
+        parts.append(own)
+        size += len(own)
+        closes.append(size)
+    if parts:
+        yield Streams(b"".join(parts), skip, np.array(closes))
+
+
+def gram_keys(streams: Streams) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all places that are predicted, and the places; a key's low byte is the symbol."""
+    raw = np.frombuffer(streams.data, np.uint8)
     key = raw.astype(np.int64)
     for back in range(1, DEPTH + 1):
         key[back:] |= raw[:-back].astype(np.int64) << (8 * back)
     at = np.flatnonzero(raw != START[0])
+    at = at[at >= streams.skip]
     return key[at], at
 
 
+def word_hashes(streams: Streams) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all tokens but the ends, and where they begin."""
+    raw = np.frombuffer(streams.data, np.uint8)
+    gap = (raw == 0x20) | (raw == START[0]) | (raw == END[0])
+    starts, ends = np.flatnonzero(~gap[1:] & gap[:-1]) + 1, np.flatnonzero(gap[1:] & ~gap[:-1]) + 1
+    starts, ends = starts[starts >= streams.skip], ends[ends > streams.skip]
+    return span_hashes(raw, starts, ends).view(np.int64), starts
+
+
 def runs(values: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct values, sorted, and how often (or with what weight) they occur."""
     if weights is None:
@@ -98,52 +143,57 @@ def runs(values: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndar
     return values[first], np.diff(np.concatenate([first, [len(values)]]))
 
 
-def batches_of(texts, limit: int = 1 << 21) -> Iterator[tuple[int, list[list[bytes]]]]:
-    """(index of the first text, token lists) of about limit bytes together."""
-    first, size, held = 0, 0, []
-    for i, text in enumerate(texts):
-        words = tokens(text)
-        held.append(words)
-        size += sum(map(len, words)) + len(words) + DEPTH + 1
-        if size > limit:
-            yield first, held
-            first, size, held = i + 1, 0, []
-    if held:
-        yield first, held
+class Tally:
+    """Counts of numbers, merged now and then."""
 
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
 
-def count(train: DataFrame, text_col: str = "text") -> Counts:
-    """Counts of tokens (the end is the token END) and of runs of DEPTH + 1 bytes, over all rows of train."""
+    def add(self, values: np.ndarray) -> None:
+        self.parts.append(runs(values))
+        self.size += len(self.parts[-1][0])
+        if self.size > KEPT:
+            self.merge()
 
-    def table(words: Counter, grams: np.ndarray, n: np.ndarray) -> Iterator[pd.DataFrame]:
-        yield pd.DataFrame({"word": pd.Series(list(words.keys()), dtype=object), "gram": pd.array([None] * len(words), "Int64"), "n": np.fromiter(words.values(), np.int64, len(words))})
-        yield pd.DataFrame({"word": pd.Series([None] * len(grams), dtype=object), "gram": pd.array(grams, "Int64"), "n": n})
+    def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.parts) > 1:
+            self.parts = [runs(*(np.concatenate(x) for x in zip(*self.parts, strict=True)))]
+        self.size = sum(len(k) for k, _ in self.parts)
+        return self.parts[0] if self.parts else (np.empty(0, np.int64), np.empty(0, np.int64))
 
-    def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words: Counter = Counter()
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            return runs(*(np.concatenate(x) for x in zip(*parts, strict=True))) if parts else (np.empty(0, np.int64), np.empty(0, np.int64))
+def count(train: DataFrame, text_col: str = "text") -> Counts:
+    """Counts of tokens and of runs of DEPTH + 1 bytes, over all rows of train."""
+
+    def table(kind: int, tally: Tally) -> pd.DataFrame:
+        keys, n = tally.merge()
+        tally.parts, tally.size = [], 0
+        return pd.DataFrame({"kind": np.full(len(keys), kind, np.int32), "key": keys, "n": n})
 
+    def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tallies = {GRAMS: Tally(), WORDS: Tally()}
+        texts = 0
         for frame in frames:
-            for _, held in batches_of(frame["text"]):
-                for own in held:
-                    words.update(own)
-                words[END] += len(held)
-                parts.append(runs(gram_keys(b"".join(map(stream, held)))[0]))
-                if sum(len(k) for k, _ in parts) > KEPT:
-                    parts = [merged()]
-                if len(words) > WORDS_KEPT or (len(parts) == 1 and len(parts[0][0]) > KEPT // 2):
-                    yield from table(words, *merged())
-                    words, parts = Counter(), []
-        yield from table(words, *merged())
+            texts += len(frame)
+            for streams in streams_of(frame["text"]):
+                tallies[GRAMS].add(gram_keys(streams)[0])
+                tallies[WORDS].add(word_hashes(streams)[0])
+                for kind, tally in tallies.items():
+                    if len(tally.parts) == 1 and tally.size > KEPT // 2:
+                        yield table(kind, tally)
+        for kind, tally in tallies.items():
+            yield table(kind, tally)
+        yield pd.DataFrame({"kind": np.array([TEXTS], np.int32), "key": [0], "n": [texts]})
 
     raw = train.select(F.col(text_col).alias("text")).mapInPandas(counted, COUNT_TYPE)
-    counts = written(raw.groupBy("word", "gram").agg(F.sum("n").alias("n")), "counts")
-    words, grams = counts.where("word is not null").select("word", "n"), counts.where("gram is not null").select("gram", "n")
-    n_tokens, types = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    return Counts(words, grams, n_tokens, types, grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    with arrow_batches(train.sparkSession):
+        counts = written(raw.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
+    sums = counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")).collect()
+    n, types = ({r["kind"]: r[c] for r in sums} for c in ("n", "types"))
+    texts = n.get(TEXTS, 0)
+    grams, words = (counts.where(F.col("kind") == kind).select(F.col("key").alias(name), "n") for kind, name in ((GRAMS, "gram"), (WORDS, "word")))
+    return Counts(grams, words, texts, n.get(WORDS, 0) + texts, types.get(WORDS, 0) + (texts > 0), n.get(GRAMS, 0))
 
 
 def level(grams: DataFrame, k: int) -> DataFrame:
@@ -153,19 +203,25 @@ def level(grams: DataFrame, k: int) -> DataFrame:
 
 
 def build(levels: list[Level], divergence: float, evidence: float, novelty: float) -> Tree:
-    """The tree of the counted levels: tests each context against its suffix, and keeps the suffixes of states."""
+    """The tree of the counted levels: tests each context against its suffix, and keeps the suffixes of states.
+
+    The divergence is that of the runs' shares and, together, of all that is not kept as a run.
+    """
     passed = [np.ones(len(levels[0].contexts), bool)]
     for k in range(1, len(levels)):
         own, below = levels[k], levels[k - 1]
         of, known = _find(own.contexts, own.keys >> 8)
-        share = own.counts / own.totals[of] if len(own.contexts) else own.counts
         at, there = _find(below.keys, own.keys & ((1 << (8 * k)) - 1))
         parent, also = _find(below.contexts, (own.keys >> 8) & ((1 << (8 * (k - 1))) - 1))
-        fine = known & there & also
-        gain = np.zeros(len(own.keys))
-        gain[fine] = own.counts[fine] * (np.log(share[fine]) - np.log(below.counts[at[fine]] / below.totals[parent[fine]]))
-        total = np.abs(np.bincount(of[known], gain[known], len(own.contexts)))
-        passed.append((total >= evidence) & (total >= divergence * own.totals))
+        fine = np.flatnonzero(known & there & also)
+        of, at, parent = of[fine], at[fine], parent[fine]
+        share, before = own.counts[fine] / own.totals[of], below.counts[at] / below.totals[parent]
+        size = len(own.contexts)
+        left = 1 - np.minimum(np.bincount(of, share, size), 1)
+        left_before = 1 - np.minimum(np.bincount(of, before, size), 1)
+        gain = np.bincount(of, share * np.log(share / before), size)
+        gain = gain + np.where(left > 1e-9, left * np.log(np.maximum(left, 1e-9) / np.maximum(left_before, 1e-9)), 0.0)
+        passed.append((gain >= divergence) & (gain * own.totals >= evidence))
     for k in range(len(levels) - 1, 1, -1):
         at, there = _find(levels[k - 1].contexts, levels[k].contexts[passed[k]] & ((1 << (8 * (k - 1))) - 1))
         passed[k - 1][at[there]] = True
@@ -187,12 +243,12 @@ def arrays(rows: DataFrame, key: str, *values: str) -> list[np.ndarray]:
     return [keys[order], *(found[v].to_numpy()[order].astype(np.float64) for v in values)]
 
 
-def fit(counts: Counts, min_share: float = 5e-7, divergence: float = 0.001, evidence: float = 8.0, novelty: float = 2.0) -> Tree:
+def fit(counts: Counts, min_share: float = 2e-7, divergence: float = 0.001, evidence: float = 3.0, novelty: float = 4.0) -> Tree:
     """The tree of counts; only runs and contexts of at least min_share come to the driver."""
-    least = max(2.0, counts.symbols * min_share)
+    least = max(1.0, counts.symbols * min_share)
     levels, now = [], counts.grams
     for k in range(DEPTH, -1, -1):
-        now = now if k == DEPTH else level(now, k)
+        now = now if k == DEPTH else written(level(now, k), "level")
         by = F.shiftright("gram", 8).alias("context")
         contexts = now.groupBy(by).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types"))
         keys, n = arrays(now.where(F.col("n") >= (least if k else 0)), "gram", "n")
@@ -228,73 +284,54 @@ def _smoothed(tree: Tree, keys: np.ndarray, k: int) -> np.ndarray:
     return p
 
 
-def score_tokens(tree: Tree, held: list[list[bytes]]) -> np.ndarray:
-    """log10 of the spelled probability of each token and end of the token lists, one after another."""
-    keys, _ = gram_keys(b"".join(map(stream, held)))
-    codes, distinct = pd.factorize(keys)
-    values = log10_probabilities(tree, distinct).astype(np.float32)[codes]
-    last = np.isin(keys & 0xFF, (0x20, END[0]))
-    first = np.concatenate([[0], np.flatnonzero(last)[:-1] + 1])
-    return np.add.reduceat(values, first, dtype=np.float64)
-
-
 def score(
-    docs: DataFrame,
-    counts: Counts,
-    tree: Tree,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    min_share: float = 1e-6,
-    alpha: float = 0.1,
-    word_weight: float = 0.15,
+    docs: DataFrame, counts: Counts, tree: Tree, id_col: str = "doc_id", text_col: str = "text", min_share: float = 1e-6, alpha: float = 0.1
 ) -> DataFrame:
-    """id, n_tokens, n_known, base_score (smoothed unigram) and score (the model's), both log10 probabilities."""
+    """id, n_tokens, n_known, base_score (smoothed unigram) and score (the tree's), both log10 probabilities."""
     spark = docs.sparkSession
-    frequent = counts.words.where(F.col("n") >= max(2.0, counts.tokens * min_share))
-    frequent = frequent.toArrow()
-    shared = spark.sparkContext.broadcast((tree, dict(zip(frequent["word"].to_pylist(), frequent["n"].to_pylist(), strict=True))))
-    total, below = max(1, counts.tokens), counts.tokens + alpha * (counts.types + 1)
-    spelled_weight = float(np.log10(1 - word_weight)) if counts.tokens else 0.0
+    words, seen = arrays(counts.words.where(F.col("n") >= max(2.0, counts.tokens * min_share)), "word", "n")
+    shared = spark.sparkContext.broadcast((tree, words, seen))
+    below = float(counts.tokens + alpha * (counts.types + 1))
 
-    @F.pandas_udf("n_tokens long, score double, base double, known long, rare array<struct<word:binary,spelled:float>>")
+    @F.pandas_udf("n_tokens long, known long, base double, score double, rare array<long>")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        tree, table = shared.value
+        tree, words, seen = shared.value
         for texts in batches:
             rows: list[tuple] = []
-            for _, held in batches_of(texts):
-                spelled = score_tokens(tree, held)
-                c = np.fromiter((table.get(w, 0) for own in held for w in (*own, END)), np.float64, len(spelled))
-                there = c > 0
-                share = np.log10(np.where(there, c, 1) * (word_weight / total))
-                mixed = np.where(there, np.logaddexp2(share / LOG2, (spelled + spelled_weight) / LOG2) * LOG2, 0.0)
-                base = np.where(there, np.log10((c + alpha) / below), 0.0) if below else c
-                at = 0
-                for own in held:
-                    end = at + len(own) + 1
-                    gone = np.flatnonzero(~there[at:end]).tolist()
-                    rare = [{"word": own[i] if i < len(own) else END, "spelled": float(spelled[at + i])} for i in gone]
-                    rows.append((end - at, mixed[at:end].sum(), base[at:end].sum(), end - at - len(gone), rare))
-                    at = end
-            yield pd.DataFrame(rows, columns=["n_tokens", "score", "base", "known", "rare"])
-
-    part = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), scored(F.col(text_col)).alias("s"))
-    part = written(part.select("id", "row", "s.*"), "scored")
-    rare = part.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.spelled").alias("spelled"))
-    seen = rare.join(counts.words, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    spelled = F.col("spelled").cast("double") + F.lit(spelled_weight)
-    share = F.log10(F.col("n") * F.lit(word_weight / total))
-    both = F.greatest(share, spelled) + F.log10(1 + F.pow(F.lit(10.0), -F.abs(share - spelled)))
-    log = F.log10((F.col("n") + alpha) / F.lit(float(below))) if below > 0 else F.lit(0.0)
-    sums = seen.groupBy("row").agg(
-        F.sum(F.when(F.col("n") > 0, both).otherwise(spelled)).alias("mixed"),
-        F.sum(log).alias("more"),
-        F.sum((F.col("n") > 0).cast("long")).alias("also"),
-    )
-    zero = F.lit(0.0)
+            open_sum, open_words = 0.0, []
+            for streams in streams_of(texts):
+                keys, at = gram_keys(streams)
+                codes, distinct = pd.factorize(keys)
+                values = np.zeros(len(streams.data))
+                values[at] = log10_probabilities(tree, distinct)[codes]
+                hashes, starts = word_hashes(streams)
+                if not len(streams.closes):
+                    open_sum += values.sum()
+                    open_words.append(hashes)
+                    continue
+                sums = np.add.reduceat(values, np.concatenate([[0], streams.closes[:-1]]))
+                own = np.split(hashes, np.searchsorted(starts, streams.closes[:-1]))
+                sums[0] += open_sum
+                own[0] = np.concatenate([*open_words, own[0]])
+                open_sum, open_words = 0.0, []
+                each = np.concatenate(own)
+                place, there = _find(words, each)
+                logs = np.log10(((seen[place] if len(words) else 0) + alpha) / below) * there
+                ends = np.cumsum([len(x) for x in own])
+                for i, (a, b) in enumerate(zip(ends - [len(x) for x in own], ends, strict=True)):
+                    rows.append((b - a + 1, int(there[a:b].sum()), logs[a:b].sum(), sums[i], each[a:b][~there[a:b]]))
+            yield pd.DataFrame(rows, columns=["n_tokens", "known", "base", "score", "rare"])
+
+    own = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), scored(F.col(text_col)).alias("s"))
+    with arrow_batches(spark):
+        part = written(own.select("id", "row", "s.*"), "scored")
+    rare = part.select("row", F.explode("rare").alias("word")).join(counts.words, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    sums = rare.groupBy("row").agg(F.sum(F.log10((F.col("n") + alpha) / F.lit(below))).alias("more"), F.sum((F.col("n") > 0).cast("long")).alias("also"))
+    end = float(np.log10((counts.texts + alpha) / below))
     return part.join(sums, "row", "left").select(
         F.col("id").alias(id_col),
         "n_tokens",
-        (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known"),
-        (F.col("base") + F.coalesce("more", zero)).alias("base_score"),
-        (F.col("score") + F.coalesce("mixed", zero)).alias("score"),
+        (F.col("known") + F.coalesce("also", F.lit(0)) + F.lit(int(counts.texts > 0))).alias("n_known"),
+        (F.col("base") + F.coalesce("more", F.lit(0.0)) + F.lit(end)).alias("base_score"),
+        "score",
     )

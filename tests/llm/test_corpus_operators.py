@@ -143,6 +143,66 @@ def test_language_model_counts_and_base_scores(spark):
     assert suffix_tree.score(docs.limit(0), counts, tree).count() == 0
 
 
+def brute_tree(texts, divergence=0.001, evidence=3.0, novelty=4.0):
+    """Probability of a symbol after a context, by the definition: counts of all contexts, states, and smoothing by suffixes."""
+    depth, follows = suffix_tree.DEPTH, {}
+    for t in texts:
+        data = suffix_tree.stream(suffix_tree.tokens(t))
+        for i in range(depth, len(data)):
+            for k in range(depth + 1):
+                follows.setdefault(data[i - k : i], Counter())[data[i]] += 1
+    states = {b""}
+    for context, found in follows.items():
+        total = sum(found.values())
+        if context and total >= 2:
+            before = follows[context[1:]]
+            all_before = sum(before.values())
+            gain = sum(n / total * math.log(n / total / (before[x] / all_before)) for x, n in found.items())
+            if gain >= divergence and gain * total >= evidence:
+                states.update(context[i:] for i in range(len(context)))
+
+    def chance(context, symbol):
+        while context not in states:
+            context = context[1:]
+        found = follows.get(context, Counter())
+        suffix = chance(context[1:], symbol) if context else 1 / 256
+        return (found[symbol] + novelty * len(found) * suffix) / (sum(found.values()) + novelty * len(found)) if found else suffix
+
+    return chance
+
+
+def test_suffix_tree_against_brute_force(spark):
+    rows = [r for r in lm_docs() if r[0] != 304]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = suffix_tree.count(docs.where("doc_id % 3 <> 0"))
+    chance = brute_tree([t for i, t in rows if i % 3])
+    tree = suffix_tree.fit(counts)
+    assert 50 < sum(len(x.contexts) for x in tree.levels)
+    for r in suffix_tree.score(docs, counts, tree).where("doc_id % 5 = 0").collect():
+        data = suffix_tree.stream(suffix_tree.tokens(dict(rows)[r["doc_id"]]))
+        want = sum(math.log10(chance(data[i - suffix_tree.DEPTH : i], data[i])) for i in range(suffix_tree.DEPTH, len(data)))
+        assert r["score"] == pytest.approx(want, rel=1e-6), r["doc_id"]
+
+
+def test_streams_of_long_texts_are_whole(monkeypatch):
+    texts = ["ab cde " * n for n in (1, 0, 40, 3, 90)] + ["x" * 300, "yy zz", None]
+    whole, = suffix_tree.streams_of(texts)
+    keys, hashes = suffix_tree.gram_keys(whole)[0], suffix_tree.word_hashes(whole)[0]
+    for limit in (30, 64, 200):
+        monkeypatch.setattr(suffix_tree, "LIMIT", limit)
+        parts = list(suffix_tree.streams_of(texts))
+        assert len(parts) > 3 and sum(len(p.closes) for p in parts) == len(texts)
+        assert (np.concatenate([suffix_tree.gram_keys(p)[0] for p in parts]) == keys).all()
+        assert (np.concatenate([suffix_tree.word_hashes(p)[0] for p in parts]) == hashes).all()
+
+
+def test_tree_alone_beats_the_unigram_on_held_out_texts(spark):
+    from palimpsest.llm.queries import op2_lm_score
+
+    held = op2_lm_score(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert held[0] > held[1]
+
+
 def test_language_model_without_training(spark):
     docs = spark.createDataFrame([(1, "ab")], "doc_id long, text string")
     counts = suffix_tree.count(docs.limit(0))
@@ -154,7 +214,7 @@ def test_tree_gives_distributions(spark):
     docs = spark.createDataFrame(lm_docs(), "doc_id long, text string")
     tree = suffix_tree.fit(suffix_tree.count(docs))
     assert sum(len(x.contexts) for x in tree.levels[1:]) > 5
-    for context in (b"\t" * suffix_tree.DEPTH, b"he of ", b"zzzzzz", b"d the "):
+    for context in (b"\t" * suffix_tree.DEPTH, b"the of ", b"zzzzzzz", b"nd the "):
         base = sum(b << (8 * (i + 1)) for i, b in enumerate(reversed(context[-suffix_tree.DEPTH :])))
         p = 10 ** suffix_tree.log10_probabilities(tree, np.arange(256, dtype=np.int64) + base)
         assert p.sum() == pytest.approx(1.0, abs=1e-9)
