@@ -9,12 +9,11 @@ from palimpsest.operators import graphs as G
 from palimpsest.plans.registry import query
 from palimpsest.sources.tables import EDGES_SQL, EVENTS_SQL, edges, table, tool_events
 
-_SMALL = f"{EDGES_SQL}, e as (select src, dst, weight from edges where src <= 20 and dst >= -400)"
+_WHOLE = f"{EDGES_SQL}, e as (select src, dst, weight from edges)"
 _BOTH = "b as (select src, dst, max(weight) as weight from (select src, dst, weight from e union all select dst, src, weight from e) where src <> dst group by 1, 2)"
 
 
 def whole(spark, d):
-    """All edges. The SQL of the queries that use them has the edges of _SMALL alone, and agrees where those are all."""
     return edges(spark, d).select("src", "dst", "weight")
 
 
@@ -33,15 +32,15 @@ def _pagerank_sql(rounds: int) -> str:
         steps.append(
             f"r{i + 1} as materialized (select node, 0.85 * (coalesce(got, 0) + loose / n) + 0.15 / n as rank from nodes left join (select dst, sum(share * rank) as got from sh join r{i} on src = node group by dst) on dst = node, l{i}, n)"
         )
-    return f"with {_SMALL}, " + ", ".join(steps) + f" select node, round(rank, 8) as rank from r{rounds}"
+    return f"with {_WHOLE}, " + ", ".join(steps) + f" select node, round(rank, 8) as rank from r{rounds}"
 
 
-@query("q151_pagerank", _pagerank_sql(6))
+@query("q151_pagerank", _pagerank_sql(20))
 def pagerank(spark, d):
     return G.pagerank(whole(spark, d)).select("node", F.round("rank", 8).alias("rank"))
 
 
-@query("q109_top_by_pagerank", _pagerank_sql(6).replace("select node, round(rank, 8) as rank from r6", "select node, round(rank, 6) as rank from r6 order by round(rank, 6) desc, node limit 20"))
+@query("q109_top_by_pagerank", _pagerank_sql(20).replace("select node, round(rank, 8) as rank from r20", "select node, round(rank, 6) as rank from r20 order by round(rank, 6) desc, node limit 20"))
 def top_by_pagerank(spark, d):
     return G.pagerank(whole(spark, d)).select("node", F.round("rank", 6).alias("rank")).orderBy(F.desc("rank"), "node").limit(20)
 
@@ -59,7 +58,7 @@ def _lpa_sql(rounds: int) -> str:
     for i in range(rounds):
         steps.append(f"v{i} as (select b.src as node, label, sum(weight) as w from b join l{i} on b.dst = l{i}.node group by 1, 2)")
         steps.append(f"l{i + 1} as materialized (select node, arg_min(label, (-w, label)) as label from v{i} group by 1)")
-    return f"with {_SMALL}, {_BOTH}, " + ", ".join(steps) + f" select node, label from l{rounds}"
+    return f"with {_WHOLE}, {_BOTH}, " + ", ".join(steps) + f" select node, label from l{rounds}"
 
 
 @query("q154_label_propagation", _lpa_sql(4))
@@ -67,28 +66,32 @@ def label_propagation(spark, d):
     return G.label_propagation(whole(spark, d), 4)
 
 
-_NATION = "e as (select n_nationkey as src, (n_nationkey * 2) % 25 as dst, 1 as weight from nation where n_nationkey % 5 <> 0)"
-
-
-def nation_edges(spark, d):
-    n = F.col("n_nationkey").cast("long")
-    return table(spark, d, "nation").where("n_nationkey % 5 <> 0").select(n.alias("src"), (n * 2 % 25).alias("dst"), F.lit(1).alias("weight"))
-
-
 @query(
     "q158_breadth_first",
-    f"""with recursive {_NATION}, {_BOTH}, w as (select 1::bigint as node, 0 as hops union select b.dst, hops + 1 from w join b on b.src = w.node where hops < 3) select node, min(hops) as hops from w group by 1""",
+    f"""with recursive {_WHOLE}, {_BOTH}, w as (select 1::bigint as node, 0 as hops union select b.dst, hops + 1 from w join b on b.src = w.node where hops < 3) select node, min(hops) as hops from w group by 1""",
 )
 def breadth_first(spark, d):
-    return G.reached(nation_edges(spark, d), spark.createDataFrame([(1,)], "node long"), 3)
+    return G.reached(whole(spark, d), spark.createDataFrame([(1,)], "node long"), 3)
 
 
-@query(
-    "q159_components",
-    f"with recursive {_NATION}, {_BOTH}, w as (select distinct src::bigint as node, src::bigint as r from b union select w.node, b.dst from w join b on b.src = w.r) select node, min(r) as component from w group by 1",
-)
+def _components_sql(rounds: int) -> str:
+    steps = ["c0 as (select distinct src as node, src as component from b)"]
+    for i in range(rounds):
+        steps.append(f"c{i + 1} as materialized (select b.src as node, least(min(m.component), min(o.component)) as component from b join c{i} m on m.node = b.dst join c{i} o on o.node = b.src group by 1)")
+    return f"with {_WHOLE}, {_BOTH}, " + ", ".join(steps) + f" select node, component from c{rounds}"
+
+
+@query("q159_components", _components_sql(12))
 def components(spark, d):
-    return G.components(nation_edges(spark, d))
+    return G.components(whole(spark, d))
+
+
+_NATION = "e as (select n_nationkey as src, (n_nationkey * 2) % 25 as dst, 1 as weight from nation)"
+
+
+def nation_edges(spark, d):
+    n = F.col("n_nationkey").cast("long")
+    return table(spark, d, "nation").select(n.alias("src"), (n * 2 % 25).alias("dst"), F.lit(1).alias("weight"))
 
 
 def _betweenness_sql(depth: int) -> str:
@@ -125,7 +128,7 @@ def _spread_sql(rounds: int) -> str:
         steps.append(
             f"t{i} as (select node, round(sum(a), 9) as a from (select node, 0.5 * a as a from a{i} union all select dst, 0.8 * w * a from k join a{i} on src = node) group by 1), a{i + 1} as materialized (select node, a from t{i} order by a desc, node limit 10)"
         )
-    return f"with {_SMALL}, {_BOTH}, " + ", ".join(steps) + f" select node, round(1 / (1 + exp(-(a - 0.2))), 6) as activation from a{rounds}"
+    return f"with {_WHOLE}, {_BOTH}, " + ", ".join(steps) + f" select node, round(1 / (1 + exp(-(a - 0.2))), 6) as activation from a{rounds}"
 
 
 @query("q126_spreading_activation", _spread_sql(3))

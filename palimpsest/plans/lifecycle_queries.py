@@ -168,11 +168,17 @@ def message_queue(spark, d):
     return live.where("rn <= 50").select("event_id")
 
 
-@query("q231_changed_files", "select n.page_id from pages n where n.page_id not in (select page_id from pages where page_id % 3 <> 0)")
+_STORED = "select page_id, sha256(case when page_id % 3 = 0 then html || '<!-- old -->' else html end) as h from pages where page_id % 7 <> 0"
+
+
+@query("q231_changed_files", f"with stored as ({_STORED}) select n.page_id, case when o.h is null then 'new' else 'changed' end as change from pages n left join stored o using (page_id) where o.h is null or o.h <> sha256(n.html)")
 def changed(spark, d):
-    now = table(spark, d, "pages").select("page_id", F.sha2("html", 256).alias("h"))
-    before = now.where("page_id % 3 <> 0")
-    return now.join(before, ["page_id", "h"], "left_anti").select("page_id")
+    """Pages whose hash is not the stored one: changed since, or never seen."""
+    pages = table(spark, d, "pages")
+    then = F.when(F.col("page_id") % 3 == 0, F.concat("html", F.lit("<!-- old -->"))).otherwise(F.col("html"))
+    stored = pages.where("page_id % 7 <> 0").select("page_id", F.sha2(then, 256).alias("old"))
+    now = pages.select("page_id", F.sha2("html", 256).alias("h")).join(stored, "page_id", "left")
+    return now.where("old is null or old <> h").select("page_id", F.when(F.col("old").isNull(), "new").otherwise("changed").alias("change"))
 
 
 @query(
@@ -186,9 +192,9 @@ def retention_rules(spark, d):
     return f.join(rules, "rule").where("hours > max_hours").select("fact_id", "action")
 
 
-@query("q241_noisy_or", "select user_id, round(1 - product(1 - least(value / 200, 0.999)), 5) as confidence from (select * from events where event_id % 5 = 0) group by 1")
+@query("q241_noisy_or", "select user_id, round(1 - product(1 - least(value / 200, 0.999)), 5) as confidence from events group by 1")
 def noisy_or(spark, d):
-    e = table(spark, d, "events").where("event_id % 5 = 0")
+    e = table(spark, d, "events")
     return e.groupBy("user_id").agg(F.round(1 - F.product(1 - F.least(F.col("value") / 200, F.lit(0.999))), 5).alias("confidence"))
 
 
@@ -200,15 +206,23 @@ def summaries(spark, d):
     return c.groupBy("session_id").agg(text.alias("tools"), F.sum("n").alias("events"))
 
 
-@query("q243_erase_residue", f"with {FACTS_SQL} select 'facts' as name, count(*) as owned, 0 as residue from facts where profile_id = 'src3' union all select 'events', count(*), 0 from events where user_id = 3")
+@query(
+    "q243_erase_residue",
+    f"""with {FACTS_SQL}, owned as (select fact_id from facts where profile_id = 'src3')
+        select 'facts' as name, (select count(*) from owned) as owned, count(*) as residue from labels where doc_id in (select fact_id from owned)
+        union all select 'events', (select count(*) from events where user_id = 3), count(*) from orders where o_custkey = 3""",
+)
 def erase(spark, d):
-    """How many rows a profile owns, and how many are left once they are erased by an anti join."""
-    out = None
-    for name, rows, owned in (("facts", facts(spark, d), F.col("profile_id") == "src3"), ("events", table(spark, d, "events"), F.col("user_id") == 3)):
-        left = rows.where(~owned)
-        one = rows.agg(F.lit(name).alias("name"), F.count_if(owned).alias("owned")).withColumn("residue", F.lit(left.where(owned).count()).cast("int"))
-        out = one if out is None else out.union(one)
-    return out
+    """How many rows an owner has, and how many rows of the table that refers to them dangle once they are erased."""
+    f = facts(spark, d).select("fact_id", "profile_id")
+    gone = f.where("profile_id = 'src3'").select("fact_id")
+    left = f.join(gone, "fact_id", "left_anti").select("fact_id")
+    labels = table(spark, d, "labels").join(f.select("fact_id"), F.col("doc_id") == F.col("fact_id"), "left_semi")
+    dangling = labels.join(left, F.col("doc_id") == F.col("fact_id"), "left_anti")
+    events = table(spark, d, "events").where("user_id = 3").agg(F.lit("events").alias("name"), F.count(F.lit(1)).alias("owned"))
+    orders = table(spark, d, "orders").where("o_custkey = 3").agg(F.lit("events").alias("name"), F.count(F.lit(1)).alias("residue"))
+    one = gone.agg(F.lit("facts").alias("name"), F.count(F.lit(1)).alias("owned")).join(dangling.agg(F.lit("facts").alias("name"), F.count(F.lit(1)).alias("residue")), "name")
+    return one.union(events.join(orders, "name"))
 
 
 @query("q244_access_policies", f"with {FACTS_SQL}, p as (select * from (values ('src3', 'shared'), ('src5', 'global')) t(profile_id, scope)) select fact_id from facts where (profile_id, scope) not in (select profile_id, scope from p)")

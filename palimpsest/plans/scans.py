@@ -146,10 +146,10 @@ def time_window(spark, d):
 
 @query(
     "q036_low_information_gate",
-    "select conv_id, turn, length(text) < 10 or lower(trim(text)) in ('ok', 'thanks', 'yes', 'no') as dropped from conversations where length(text) < 60",
+    "select conv_id, turn, length(text) < 10 or lower(trim(text)) in ('ok', 'thanks', 'yes', 'no') as dropped from conversations",
 )
 def low_information(spark, d):
-    t = table(spark, d, "conversations").where(F.length("text") < 60)
+    t = table(spark, d, "conversations")
     stock = F.lower(F.trim("text")).isin("ok", "thanks", "yes", "no")
     return t.select("conv_id", "turn", ((F.length("text") < 10) | stock).alias("dropped"))
 

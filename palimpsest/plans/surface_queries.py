@@ -12,12 +12,12 @@ from palimpsest.plans.more_queries import _V
 from palimpsest.plans.registry import query
 from palimpsest.sources.tables import EDGES_SQL, FACTS_SQL, edges, facts, table
 
-_KNN = f"with {_V}, q as (select * from e where vec_id % 40 = 0), s as (select q.vec_id as query_id, e.vec_id as fact_id, e.label, round(list_cosine_similarity(q.v, e.v), 6) as score from q, e {{}}), r as (select *, row_number() over (partition by query_id order by score desc, fact_id) as rank from s) select query_id, fact_id, score, rank from r where rank <= {{}}"
+_KNN = f"with {_V}, q as (select * from e where vec_id % 20 = 0), s as (select q.vec_id as query_id, e.vec_id as fact_id, e.label, round(list_cosine_similarity(q.v, e.v), 6) as score from q, e {{}}), r as (select *, row_number() over (partition by query_id order by score desc, fact_id) as rank from s) select query_id, fact_id, score, rank from r where rank <= {{}}"
 
 
 def _knn(spark, d, where: str, k: int) -> DataFrame:
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("fact_id"), "embedding", "label")
-    q = e.where("fact_id % 40 = 0").select(F.col("fact_id").alias("query_id"), "embedding")
+    q = e.where("fact_id % 20 = 0").select(F.col("fact_id").alias("query_id"), "embedding")
     return R.nearest(e.where(where), q, k).withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -85,13 +85,13 @@ def event_feed(spark, d):
 
 @query(
     "q232_vector_cache",
-    f"with {_V}, q as (select * from e where vec_id % 40 = 0), s as (select q.vec_id as query_id, e.vec_id, round(list_cosine_similarity(q.v, e.v), 6) as s from q join e on e.vec_id % 40 <> 0), m as (select query_id, arg_max(vec_id, (s, -vec_id)) as cached, max(s) as similarity from s group by 1) select query_id, cached, similarity, case when similarity >= 0.9 then 'hit' when similarity >= 0.3 then 'maybe' else 'miss' end as outcome from m",
+    f"with {_V}, q as (select * from e where vec_id % 20 = 0), s as (select q.vec_id as query_id, e.vec_id, round(list_cosine_similarity(q.v, e.v), 6) as s from q join e on e.vec_id % 20 <> 0), m as (select query_id, arg_max(vec_id, (s, -vec_id)) as cached, max(s) as similarity from s group by 1) select query_id, cached, similarity, case when similarity >= 0.9 then 'hit' when similarity >= 0.3 then 'maybe' else 'miss' end as outcome from m",
 )
 def vector_cache(spark, d):
     """The nearest cached prompt of each new one, under two thresholds."""
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("fact_id"), "embedding")
-    q = e.where("fact_id % 40 = 0").select(F.col("fact_id").alias("query_id"), "embedding")
-    best = R.nearest(e.where("fact_id % 40 <> 0"), q, 1)
+    q = e.where("fact_id % 20 = 0").select(F.col("fact_id").alias("query_id"), "embedding")
+    best = R.nearest(e.where("fact_id % 20 <> 0"), q, 1)
     s = F.col("score")
     return best.select("query_id", F.col("fact_id").alias("cached"), s.alias("similarity"), F.when(s >= 0.9, "hit").when(s >= 0.3, "maybe").otherwise("miss").alias("outcome"))
 
@@ -132,13 +132,13 @@ def default_embedder(spark, d):
     return table(spark, d, "events").select("event_id", first.alias("first"))
 
 
-@query("q251_sql_functions", "select a.p_partkey, round(jaro_winkler_similarity(a.p_name, b.p_name), 6) as similarity from part a join part b on b.p_partkey = a.p_partkey + 1 where a.p_partkey <= 100")
+@query("q251_sql_functions", "select a.p_partkey, round(jaro_winkler_similarity(a.p_name, b.p_name), 6) as similarity from part a join part b on b.p_partkey = a.p_partkey + 1")
 def sql_functions(spark, d):
     """A function of the library registered for SQL text."""
     spark.udf.register("name_similarity", S.jaro_winkler)
     table(spark, d, "part").select("p_partkey", "p_name").createOrReplaceTempView("palimpsest_part")
     return spark.sql(
-        "select a.p_partkey, round(name_similarity(a.p_name, b.p_name), 6) as similarity from palimpsest_part a join palimpsest_part b on b.p_partkey = a.p_partkey + 1 where a.p_partkey <= 100"
+        "select a.p_partkey, round(name_similarity(a.p_name, b.p_name), 6) as similarity from palimpsest_part a join palimpsest_part b on b.p_partkey = a.p_partkey + 1"
     )
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -130,12 +133,26 @@ def cache_key(spark, d):
 
 @query(
     "q210_hash_chain",
-    "with h as (select user_id, event_id, sha256(event_type || user_id) as h, lag(sha256(event_type || user_id)) over (partition by user_id order by ts, event_id) as before from events) select event_id, sha256(coalesce(before, 'genesis') || h) as link from h",
+    """with recursive h as (select user_id, event_id, sha256(event_type || user_id || event_id) as h, row_number() over (partition by user_id order by ts, event_id) as rn from events),
+       w as (select user_id, rn, event_id, sha256('genesis' || h) as link from h where rn = 1 union all select h.user_id, h.rn, h.event_id, sha256(w.link || h.h) from w join h on h.user_id = w.user_id and h.rn = w.rn + 1)
+       select event_id, link from w""",
 )
 def hash_chain(spark, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    h = table(spark, d, "events").withColumn("h", F.sha2(F.concat("event_type", F.col("user_id").cast("string")), 256))
-    return h.select("event_id", F.sha2(F.concat(F.coalesce(F.lag("h").over(w), F.lit("genesis")), "h"), 256).alias("link"))
+    """Each row's link hashes the link before it, so that a change of any earlier row shows. One pass over the sorted rows of a user, of which the last link is kept."""
+
+    def linked(batches):
+        user, link = None, "genesis"
+        for batch in batches:
+            links = []
+            for own, h in zip(batch["user_id"], batch["h"], strict=True):
+                link = hashlib.sha256(((link if own == user else "genesis") + h).encode()).hexdigest()
+                user = own
+                links.append(link)
+            yield pd.DataFrame({"event_id": batch["event_id"], "link": links})
+
+    h = F.sha2(F.concat("event_type", F.col("user_id").cast("string"), F.col("event_id").cast("string")), 256)
+    e = table(spark, d, "events").select("user_id", "ts", "event_id", h.alias("h"))
+    return e.repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id").mapInPandas(linked, "event_id long, link string")
 
 
 @query("q212_json", "select cast(json_extract_string(props, '$.k') as int) as k, count(*) as n from events group by 1")
