@@ -39,7 +39,7 @@ from palimpsest.session import arrow_batches, shared_dir
 
 MAGIC, HEAD = b"PTF2", struct.Struct("<4sIQQII")
 #: Ids of a frame, whose blocks are coded side by side.
-FRAME = 2048 * BLOCK
+FRAME = 3584 * BLOCK
 #: Slots of the word table, words kept before it starts anew, and bytes of text that are tokenised at once.
 SLOT_BITS = 20
 SLOTS, WORDS_KEPT, PIECE = 1 << SLOT_BITS, 400_000, 1 << 18
