@@ -362,7 +362,9 @@ def test_mixing_against_brute_force(spark):
     assert by["en"] == pytest.approx(by["de"], rel=0.02) and by[None] == 0
 
 
-def test_mixing_makes_up_for_full_cells(spark):
+@pytest.mark.parametrize("at_once", [200_000, 0])
+def test_mixing_makes_up_for_full_cells(spark, monkeypatch, at_once):
+    monkeypatch.setattr(mixing, "BROADCAST_CELLS", at_once)
     cells = [("a", "en", 1000), ("a", "de", 200), ("b", "en", 200), ("b", "de", 200)]
     rows = [(i, "w " * 10, lang, source) for i, (source, lang) in enumerate((s, x) for s, x, n in cells for _ in range(n))]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
@@ -375,6 +377,20 @@ def test_mixing_makes_up_for_full_cells(spark):
     assert {k: round(v, 3) for k, v in by.items()} == {"a": 0.5, "b": 0.5, "en": 0.5, "de": 0.5, "short": 1.0}
 
 
+def test_mixing_by_arrays_and_by_joins_agree(spark, monkeypatch):
+    rng = random.Random(31)
+    rows = [(i, "w " * rng.randrange(1, 300), rng.choice(["en"] * 7 + ["de", "fr"]), rng.choice(["a"] * 6 + ["b", "c", "d"]), "x") for i in range(600)]
+    rows += [(-1, None, None, None, "x"), (-2, "w " * 200_000, "it", "e", "x"), (-2, "w", "it", "e", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, weight string")
+    found = []
+    for at_once in (200_000, 0):
+        monkeypatch.setattr(mixing, "BROADCAST_CELLS", at_once)
+        found.append(sorted(((r["doc_id"], r["n_tokens"], r["weight"], r["probability"]) for r in mixing.mix(docs, share=0.6).collect()), key=lambda r: r[:2]))
+    assert len(found[0]) == len(rows) and max(r[3] for r in found[0]) <= 1
+    for one, other in zip(*found, strict=True):
+        assert one == pytest.approx(other, rel=1e-3, abs=1e-9)
+
+
 # --- pipeline -------------------------------------------------------------------------------------------------
 
 
