@@ -194,9 +194,10 @@ def _components(docs: DataFrame, sketches: DataFrame, n: int, percent: int) -> D
     of = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text_hash") == F.col("first.text_hash"))
     firsts = full.join(classes.select(F.col("key").alias("own"), "first"), (F.col("key") == F.col("own")) & of).drop("own", "first")
     firsts = written(firsts.dropDuplicates(["key"]), "firsts")
-    bands = firsts.select("key", "n", F.explode("bands").alias("band"))
-    shared = bands.groupBy("band").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    members = written(bands.join(shared.drop("c"), "band"), "members")
+    # The smallest id is the centre in all of its bands; near copies of one text often share bands with it rather than with each other.
+    bands = firsts.select("key", "n", "id", F.explode("bands").alias("band"))
+    shared = bands.groupBy("band").agg(F.min(F.struct("id", "key"))["key"].alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    members = written(bands.drop("id").join(shared.drop("c"), "band"), "members")
 
     stars = members.where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b")).distinct()
     links = _verified(stars, firsts, docs, n, percent)
@@ -207,7 +208,8 @@ def _components(docs: DataFrame, sketches: DataFrame, n: int, percent: int) -> D
     )
     split = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
     split = checkpointed(placed.join(split.select("band"), "band"))
-    rest = _residual_pairs(split, firsts, docs, n, percent).join(stars, ["a", "b"], "left_anti")
+    seen = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = _residual_pairs(split, firsts, docs, n, percent).join(seen, ["a", "b"], "left_anti")
     more = _verified(rest, firsts, docs, n, percent)
     if not more.isEmpty():
         found = checkpointed(connected_components(links.union(more)))
