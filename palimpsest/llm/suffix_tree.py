@@ -8,9 +8,11 @@ the suffixes of states are states. Each state's distribution is smoothed towards
 of different symbols that followed, and a byte is scored by the longest state that its context ends with. A text's
 score is the sum over its bytes, from the tree alone.
 
-Bounds: the tree is broadcast, so runs seen in less than min_share of the training bytes are left to their suffix: each
-length has at most 1 / min_share runs, and fewer contexts. Up to that size, all runs are kept. Tokens under min_share of all
-tokens are looked up by a join, not in the broadcast table; they are known by 64-bit hashes.
+Counts, states and their tests are Spark tables over all runs and over all contexts seen at least twice, at every size.
+What is broadcast is a cache: contexts and runs of at least min_share of the training bytes, at most 1 / min_share runs a
+length. A byte that the cache cannot settle (its context or its run may be in the tables only) is looked up by a join of
+distinct runs with the tables, so the cache's size changes the speed, not the score. So are tokens under min_share of all
+tokens, which are known by 64-bit hashes.
 
 Null and empty texts are just the end. Very long texts are scored whole, some LIMIT bytes at a time. Repeated rows are
 scored alike and count as often as they occur in training; so do repeated ids. An empty training set gives a uniform
@@ -24,7 +26,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.textops import SPACED, span_hashes
@@ -52,22 +54,26 @@ class Counts(NamedTuple):
 
 
 class Level(NamedTuple):
-    """Runs with a given length of context, sorted, with their counts; contexts, sorted, with the counts and the
-    number of different next bytes of all their runs."""
+    """What is cached of a length of context: runs of states, sorted, with their counts; contexts, sorted, with the counts and
+    the number of different next bytes of all their runs, and whether they are states."""
 
     keys: np.ndarray
     counts: np.ndarray
     contexts: np.ndarray
     totals: np.ndarray
     types: np.ndarray
+    states: np.ndarray
 
 
 class Tree(NamedTuple):
-    """The states of each length, as levels; a state leaves novelty * types and its unkept runs to its suffix."""
+    """Cached levels (whole: nothing is left out of them), and for each length the runs (gram, n, context, total, types) and
+    the states (context, total, types). A state leaves novelty * types to its suffix."""
 
     levels: list[Level]
-    rest: list[np.ndarray]
+    whole: bool
     novelty: float
+    runs: list[DataFrame]
+    states: list[DataFrame]
 
 
 def tokens(text) -> list[bytes]:
@@ -202,39 +208,6 @@ def level(grams: DataFrame, k: int) -> DataFrame:
     return grams.groupBy(F.col("gram").bitwiseAND(mask).alias("gram")).agg(F.sum("n").alias("n"))
 
 
-def build(levels: list[Level], divergence: float, evidence: float, novelty: float) -> Tree:
-    """The tree of the counted levels: tests each context against its suffix, and keeps the suffixes of states.
-
-    The divergence is that of the runs' shares and, together, of all that is not kept as a run.
-    """
-    passed = [np.ones(len(levels[0].contexts), bool)]
-    for k in range(1, len(levels)):
-        own, below = levels[k], levels[k - 1]
-        of, known = _find(own.contexts, own.keys >> 8)
-        at, there = _find(below.keys, own.keys & ((1 << (8 * k)) - 1))
-        parent, also = _find(below.contexts, (own.keys >> 8) & ((1 << (8 * (k - 1))) - 1))
-        fine = np.flatnonzero(known & there & also)
-        of, at, parent = of[fine], at[fine], parent[fine]
-        share, before = own.counts[fine] / own.totals[of], below.counts[at] / below.totals[parent]
-        size = len(own.contexts)
-        left = 1 - np.minimum(np.bincount(of, share, size), 1)
-        left_before = 1 - np.minimum(np.bincount(of, before, size), 1)
-        gain = np.bincount(of, share * np.log(share / before), size)
-        gain = gain + np.where(left > 1e-9, left * np.log(np.maximum(left, 1e-9) / np.maximum(left_before, 1e-9)), 0.0)
-        passed.append((gain >= divergence) & (gain * own.totals >= evidence))
-    for k in range(len(levels) - 1, 1, -1):
-        at, there = _find(levels[k - 1].contexts, levels[k].contexts[passed[k]] & ((1 << (8 * (k - 1))) - 1))
-        passed[k - 1][at[there]] = True
-    out, rest = [], []
-    for own, keep in zip(levels, passed, strict=True):
-        of, known = _find(own.contexts, own.keys >> 8)
-        stays = known & keep[of] if len(own.contexts) else known
-        kept = np.bincount(of[stays], own.counts[stays], len(own.contexts))
-        out.append(Level(own.keys[stays], own.counts[stays], own.contexts[keep], own.totals[keep], own.types[keep]))
-        rest.append((own.totals - kept + novelty * own.types)[keep])
-    return Tree(out, rest, novelty)
-
-
 def arrays(rows: DataFrame, key: str, *values: str) -> list[np.ndarray]:
     """Columns of a DataFrame of bounded size as arrays, in the order of key."""
     found = rows.select(key, *values).toArrow()
@@ -243,17 +216,48 @@ def arrays(rows: DataFrame, key: str, *values: str) -> list[np.ndarray]:
     return [keys[order], *(found[v].to_numpy()[order].astype(np.float64) for v in values)]
 
 
+def low_bytes(column: str | F.Column, k: int) -> F.Column:
+    return (F.col(column) if isinstance(column, str) else column).bitwiseAND(F.lit((1 << (8 * k)) - 1).cast("long"))
+
+
 def fit(counts: Counts, min_share: float = 2e-7, divergence: float = 0.001, evidence: float = 3.0, novelty: float = 4.0) -> Tree:
-    """The tree of counts; only runs and contexts of at least min_share come to the driver."""
-    least = max(1.0, counts.symbols * min_share)
-    levels, now = [], counts.grams
+    """The tree of counts: tests each context seen twice against its suffix, and keeps the suffixes of states.
+
+    Only contexts and runs of at least min_share come to the driver, for the cache.
+    """
+    own = Window.partitionBy("context")  # at most SYMBOLS rows of one context
+    runs: list[DataFrame] = []
+    now = counts.grams
     for k in range(DEPTH, -1, -1):
-        now = now if k == DEPTH else written(level(now, k), "level")
-        by = F.shiftright("gram", 8).alias("context")
-        contexts = now.groupBy(by).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types"))
-        keys, n = arrays(now.where(F.col("n") >= (least if k else 0)), "gram", "n")
-        levels.append(Level(keys, n, *arrays(contexts.where(F.col("n") >= (2 * least if k else 0)), "context", "n", "types")))
-    return build(levels[::-1], divergence, evidence, novelty)
+        now = (now if k == DEPTH else level(now, k)).withColumn("context", F.shiftright("gram", 8))
+        now = now.withColumns({"total": F.sum("n").over(own), "types": F.count(F.lit(1)).over(own)})
+        now = written(now.select("gram", "n", "context", "total", "types"), "level")
+        runs.insert(0, now)
+    states = [runs[0].select("context", "total", "types").distinct()]
+    above: list[DataFrame] = []
+    for k in range(DEPTH, 0, -1):
+        share = F.col("n") / F.col("total")
+        below = runs[k - 1].select(F.col("gram").alias("suffix"), share.alias("before"))
+        tested = runs[k].where("total >= 2").withColumn("suffix", low_bytes("gram", k)).join(below, "suffix")
+        gain = F.sum(share * F.log(share / F.col("before"))).alias("gain")
+        tested = tested.groupBy("context", "total", "types").agg(gain)
+        passed = (F.col("gain") >= divergence) & (F.col("gain") * F.col("total") >= evidence)
+        if above:
+            suffixes = above[0].select(low_bytes("context", k).alias("needed")).distinct()
+            tested = tested.join(suffixes, F.col("context") == F.col("needed"), "left")
+            passed = passed | F.col("needed").isNotNull()
+        above.insert(0, written(tested.where(passed).select("context", "total", "types"), "states"))
+    states += above
+    least = max(1.0, counts.symbols * min_share)
+    levels = []
+    for k in range(DEPTH + 1):
+        hot = runs[k].where(F.col("total") >= (2 * least if k else 0))
+        marks = states[k].select("context", F.lit(1).alias("state"))
+        contexts = hot.select("context", "total", "types").distinct().join(marks, "context", "left").fillna(0, ["state"])
+        kept = hot.where(F.col("n") >= (least if k else 0)).join(marks, "context", "left_semi")
+        of = arrays(contexts, "context", "total", "types", "state")
+        levels.append(Level(*arrays(kept, "gram", "n"), *of[:3], of[3].astype(bool)))
+    return Tree(levels, least <= 1, novelty, runs, states)
 
 
 def _find(table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -264,24 +268,45 @@ def _find(table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def log10_probabilities(tree: Tree, keys: np.ndarray) -> np.ndarray:
-    """log10 of each key's symbol after its context, by the longest state that the context ends with."""
+    """log10 of each key's symbol after its context, by the longest state that the context ends with; nan if the cache can't tell."""
     distinct, back = np.unique(keys, return_inverse=True)
-    return np.log10(_smoothed(tree, distinct, DEPTH))[back]
+    p, sure, _ = _cached(tree, distinct, DEPTH)
+    return np.where(sure, np.log10(p), np.nan)[back]
 
 
-def _smoothed(tree: Tree, keys: np.ndarray, k: int) -> np.ndarray:
-    """Probabilities of sorted distinct keys with k context bytes, from those of their distinct suffixes."""
+def _cached(tree: Tree, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted distinct keys with k context bytes, from their distinct suffixes: probabilities, whether they are the
+    tree's, and whether a longer context can be a state (a state's suffixes are states)."""
     if k < 0:
-        return np.full(len(keys), 1 / SYMBOLS)
-    own, rest = tree.levels[k], tree.rest[k]
+        return np.full(len(keys), 1 / SYMBOLS), np.ones(len(keys), bool), np.ones(len(keys), bool)
+    own = tree.levels[k]
     suffixes, back = np.unique(keys & ((1 << (8 * k)) - 1), return_inverse=True) if k else (keys, np.arange(len(keys)))
-    p = _smoothed(tree, suffixes, k - 1)[back]
+    p, sure, longer = (x[back] for x in _cached(tree, suffixes, k - 1))
     at, there = _find(own.contexts, keys >> 8)
-    at, some = at[there], keys[there]
+    state = there & own.states[at] if len(own.contexts) else there
+    if not tree.whole:
+        sure &= there | ~longer
+    at, some = at[state], keys[state]
     place, known = _find(own.keys, some)
     n = np.where(known, own.counts[place] if len(own.keys) else 0.0, 0.0)
-    p[there] = (n + rest[at] * p[there]) / (own.totals[at] + tree.novelty * own.types[at])
-    return p
+    mass = tree.novelty * own.types[at]
+    p[state] = (n + mass * p[state]) / (own.totals[at] + mass)
+    sure[state] &= known | tree.whole
+    return p, sure, state | (longer & ~there)
+
+
+def probabilities(grams: DataFrame, tree: Tree) -> DataFrame:
+    """gram, p: the tree's probability of the last byte of each gram, from its tables."""
+    out = grams.withColumn("p", F.lit(1 / SYMBOLS))
+    for k in range(DEPTH + 1):
+        states = tree.states[k].select(F.col("context").alias("state"), "total", "types")
+        runs = tree.runs[k].select(F.col("gram").alias("run"), "n")
+        out = out.join(states, low_bytes(F.shiftright("gram", 8), k) == F.col("state"), "left")
+        out = out.join(runs, low_bytes("gram", k + 1) == F.col("run"), "left")
+        mass = tree.novelty * F.col("types")
+        own = (F.coalesce("n", F.lit(0)) + mass * F.col("p")) / (F.col("total") + mass)
+        out = out.select("gram", F.when(F.col("state").isNull(), F.col("p")).otherwise(own).alias("p"))
+    return out
 
 
 def score(
@@ -290,48 +315,58 @@ def score(
     """id, n_tokens, n_known, base_score (smoothed unigram) and score (the tree's), both log10 probabilities."""
     spark = docs.sparkSession
     words, seen = arrays(counts.words.where(F.col("n") >= max(2.0, counts.tokens * min_share)), "word", "n")
-    shared = spark.sparkContext.broadcast((tree, words, seen))
+    shared = spark.sparkContext.broadcast((tree._replace(runs=[], states=[]), words, seen))
     below = float(counts.tokens + alpha * (counts.types + 1))
 
-    @F.pandas_udf("n_tokens long, known long, base double, score double, rare array<long>")
+    @F.pandas_udf("n_tokens long, known long, base double, score double, rare array<long>, grams array<long>, times array<long>")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         tree, words, seen = shared.value
         for texts in batches:
             rows: list[tuple] = []
-            open_sum, open_words = 0.0, []
+            open_sum, open_words, open_grams = 0.0, [], []
             for streams in streams_of(texts):
                 keys, at = gram_keys(streams)
                 codes, distinct = pd.factorize(keys)
                 values = np.zeros(len(streams.data))
-                values[at] = log10_probabilities(tree, distinct)[codes]
+                logs = log10_probabilities(tree, distinct)
+                unsure = np.isnan(logs)
+                values[at] = np.where(unsure, 0.0, logs)[codes]
+                unsure = unsure[codes]
+                keys, at = keys[unsure], at[unsure]
                 hashes, starts = word_hashes(streams)
                 if not len(streams.closes):
                     open_sum += values.sum()
                     open_words.append(hashes)
+                    open_grams.append(keys)
                     continue
                 sums = np.add.reduceat(values, np.concatenate([[0], streams.closes[:-1]]))
                 own = np.split(hashes, np.searchsorted(starts, streams.closes[:-1]))
                 sums[0] += open_sum
                 own[0] = np.concatenate([*open_words, own[0]])
-                open_sum, open_words = 0.0, []
+                grams = np.split(keys, np.searchsorted(at, streams.closes[:-1]))
+                grams[0] = np.concatenate([*open_grams, grams[0]])
+                open_sum, open_words, open_grams = 0.0, [], []
                 each = np.concatenate(own)
                 place, there = _find(words, each)
                 logs = np.log10(((seen[place] if len(words) else 0) + alpha) / below) * there
                 ends = np.cumsum([len(x) for x in own])
                 for i, (a, b) in enumerate(zip(ends - [len(x) for x in own], ends, strict=True)):
-                    rows.append((b - a + 1, int(there[a:b].sum()), logs[a:b].sum(), sums[i], each[a:b][~there[a:b]]))
-            yield pd.DataFrame(rows, columns=["n_tokens", "known", "base", "score", "rare"])
+                    rows.append((b - a + 1, int(there[a:b].sum()), logs[a:b].sum(), sums[i], each[a:b][~there[a:b]], *runs(grams[i])))
+            yield pd.DataFrame(rows, columns=["n_tokens", "known", "base", "score", "rare", "grams", "times"])
 
     own = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), scored(F.col(text_col)).alias("s"))
     with arrow_batches(spark):
         part = written(own.select("id", "row", "s.*"), "scored")
     rare = part.select("row", F.explode("rare").alias("word")).join(counts.words, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     sums = rare.groupBy("row").agg(F.sum(F.log10((F.col("n") + alpha) / F.lit(below))).alias("more"), F.sum((F.col("n") > 0).cast("long")).alias("also"))
+    deep = part.select("row", F.explode(F.arrays_zip("grams", "times")).alias("g")).select("row", "g.grams", "g.times")
+    found = written(probabilities(deep.select(F.col("grams").alias("gram")).distinct(), tree), "probabilities")
+    deep = deep.join(found, F.col("grams") == F.col("gram")).groupBy("row").agg(F.sum(F.col("times") * F.log10("p")).alias("deeper"))
     end = float(np.log10((counts.texts + alpha) / below))
-    return part.join(sums, "row", "left").select(
+    return part.join(sums, "row", "left").join(deep, "row", "left").select(
         F.col("id").alias(id_col),
         "n_tokens",
         (F.col("known") + F.coalesce("also", F.lit(0)) + F.lit(int(counts.texts > 0))).alias("n_known"),
         (F.col("base") + F.coalesce("more", F.lit(0.0)) + F.lit(end)).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("deeper", F.lit(0.0))).alias("score"),
     )

@@ -184,6 +184,18 @@ def test_suffix_tree_against_brute_force(spark):
         assert r["score"] == pytest.approx(want, rel=1e-6), r["doc_id"]
 
 
+@pytest.mark.parametrize("min_share", (1e-3, 0.02, 1.0))
+def test_size_of_the_cached_tree_does_not_change_scores(spark, min_share, monkeypatch):
+    monkeypatch.setattr(suffix_tree, "LIMIT", 400)
+    docs = spark.createDataFrame(lm_docs(), "doc_id long, text string")
+    counts = suffix_tree.count(docs.where("doc_id % 3 <> 0"))
+    whole, cut = suffix_tree.fit(counts), suffix_tree.fit(counts, min_share=min_share)
+    assert whole.whole and not cut.whole
+    want, got = (sorted((r["doc_id"], r["score"]) for r in suffix_tree.score(docs, counts, t).collect()) for t in (whole, cut))
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert [s for _, s in got] == pytest.approx([s for _, s in want], rel=1e-9)
+
+
 def test_streams_of_long_texts_are_whole(monkeypatch):
     texts = ["ab cde " * n for n in (1, 0, 40, 3, 90)] + ["x" * 300, "yy zz", None]
     whole, = suffix_tree.streams_of(texts)
