@@ -58,6 +58,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Deletes the folder of a table that written() made; nothing may read it afterwards."""
+    jvm, context = table.sparkSession._jvm, table.sparkSession.sparkContext
+    for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @contextlib.contextmanager
 def arrow_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """Within, Arrow batches have at most rows rows (the session's bound if it is lower) and about 16 MB.
