@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import decontaminate, language, licenses, mixing, multiset, near_dedup, suffix_tree, token_files, toxicity, url_filter
+from palimpsest.llm import chat_format, collocations, decontaminate, language, licenses, mixing, multiset, near_dedup, suffix_tree, token_files, toxicity, url_filter, vector_codes
 from palimpsest.llm.oracles import RULES, SPAM_HOSTS, SQL
 from palimpsest.llm.textops import bucket
 
@@ -91,6 +91,26 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vector_codes.compress(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024)
+    rows = found.rows.select("vec_id", "label", vector_codes.code(4).alias("code"), "error")
+    by_label = rows.groupBy(F.col("label").alias("of")).agg(F.sum("error").alias("label_error"))
+    both = rows.join(by_label, F.col("label").eqNullSafe(F.col("of")))
+    return both.select("vec_id", "code", "error", "label_error", F.lit(found.digest()).alias("codebooks_sha256"))
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], turns.schema)
+    return chat_format.digests(chat_format.formatted(turns.union(added)))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = collocations.collocations(table(spark, sf_dir, "documents"), least=100, longest=5, top=2000)
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_lm_score": op2_lm_score,
@@ -102,4 +122,7 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_mixing": op10_mixing,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_chat_format": op12_chat_format,
+    "op13_collocations": op13_collocations,
 }

@@ -92,6 +92,23 @@ def windows(hashes: np.ndarray, n: int) -> np.ndarray:
         return mix64(out + np.uint64(n))
 
 
+def assembled(source: np.ndarray, starts: np.ndarray, lengths: np.ndarray, long: int = 1 << 16, step: int = 1 << 19) -> np.ndarray:
+    """The given spans of source one after another in one new buffer: short spans by index arrays, long ones as slices."""
+    ends = np.cumsum(lengths)
+    to = ends - lengths
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for i in np.flatnonzero(lengths >= long).tolist():
+        out[to[i] : ends[i]] = source[starts[i] : starts[i] + lengths[i]]
+    short = np.flatnonzero(lengths < long)
+    sums = np.cumsum(lengths[short])
+    cuts = np.searchsorted(sums, np.arange(step, int(sums[-1]) + step, step)) if len(sums) else []
+    for one in np.split(short, cuts):
+        size = lengths[one]
+        inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        out[np.repeat(to[one], size) + inner] = source[np.repeat(starts[one], size) + inner]
+    return out
+
+
 def chunks(texts, limit: int = 1 << 18) -> Iterator[tuple[int, list[bytes]]]:
     """(index of the first text, encoded texts) of at most limit bytes together; nulls are empty."""
     first, size, held = 0, 0, []
