@@ -11,7 +11,7 @@ Roles that the template does not know are written out.
 
 formatted() writes its rows as Parquet in the shared folder: pieces with the conversation's id, the piece's place (part,
 seq), text and loss spans (byte offsets of assistant texts). Most conversations are one piece (whole); those that lie
-across tasks, or are longer than PIECE bytes, have several. Read back, whole pieces are digested where they lie and only
+across tasks, or are longer than piece bytes, have several. Read back, whole pieces are digested where they lie and only
 the others are shuffled, to a task that takes a conversation's pieces as a stream: a digest is serial by definition, but
 its memory is bounded by a piece. A single text is held whole.
 
@@ -120,7 +120,7 @@ def assemble(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
 PIECES = "part int, seq long, whole boolean, n_turns long, text string, loss_from array<long>, loss_to array<long>"
 
 
-def formatted(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn") -> DataFrame:
+def formatted(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", piece: int = PIECE) -> DataFrame:
     """The formatted pieces of all conversations (id, part, seq, whole, n_turns, text, loss_from, loss_to), as written."""
     spark = turns.sparkSession
     kind = turns.schema[id_col].dataType
@@ -145,8 +145,8 @@ def formatted(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn")
             at = np.searchsorted(loss, np.r_[first, len(ids)]).astype(np.int32)
             spans = [pa.ListArray.from_arrays(pa.array(at), pa.array(content[loss, k] - offsets[owner])) for k in (0, 1)]
             whole = np.ones(len(first), bool)
-            whole[0], whole[-1] = whole[0] and not cut, whole[-1] and not more
             whole[0] &= not cut
+            whole[-1] &= not more
             place = pa.array(np.arange(seq, seq + len(first)))
             seq, cut = seq + len(first), more
             counts = pa.array(np.diff(np.r_[first, len(ids)]))
@@ -163,7 +163,7 @@ def formatted(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn")
                 n -= 1
             if not n and held[0].column("id")[0].as_py() == last:  # all of one conversation so far
                 size += batch.nbytes
-                if size > PIECE:
+                if size > piece:
                     yield out(pa.concat_batches(held), True)
                     held, size = [], 0
                 continue

@@ -3,14 +3,16 @@
 A text is cut into pieces at punctuation and line ends, a piece into words at blanks and tabs; A to Z are lower-cased.
 Counts are kept for each language (a null one is `und`). Pass k counts phrases of k words: a task reads its texts as
 arrays of word numbers, and emits a phrase only if the two phrases of k - 1 words in it may be frequent. That is asked
-of a broadcast filter, a bitmap of at most 64 MB made by Spark's bitmap functions from the level below: at every size it
-lets all frequent phrases through, and what else it lets through is counted and then left out, so counts are exact.
-Within a batch of texts equal phrases are told by their word numbers, not by a hash alone, and counted before they
-leave the task; Spark adds them up by (language, phrase) with partial sums, so a common phrase is one row a task.
+of a broadcast filter, a bitmap of at most 32 MB made by Spark's bitmap functions from the level below. What the passes
+count and shuffle is a 64-bit key of language and phrase, so that a row is two numbers, whatever the phrase. A last pass
+writes out the phrases whose keys are frequent, counts them by their words and makes the tables of all levels. Filters
+and keys let all frequent phrases through at every size; what else they let through is counted and then left out, so
+counts are exact. Within a batch of texts equal phrases are told by their word numbers, not by a hash alone, and counted
+before they leave the task; Spark adds them up with partial sums, so a common phrase is one row a task.
 
-Phrases are scored from the written level tables: each cut of a phrase joins the counts of its two parts. A phrase lies
-inside a longer one of at least its percentage only if that holds for one that is one word longer, for counts do not
-grow with length; so each phrase reports its count to its two ends, and no pairs of phrases are made.
+Phrases are scored from the level tables: each cut of a phrase joins the counts of its two parts. A phrase lies inside a
+longer one of at least its percentage only if that holds for one that is one word longer, for counts do not grow with
+length; so each phrase reports its count to its two ends, and no pairs of phrases are made.
 
 Null or empty texts have no words. Repeated rows count each. A text is read whole, in slices of its pieces where it is
 longer than a batch; a piece is never cut. An empty table, or one without frequent phrases, gives no rows. Other columns
@@ -34,8 +36,8 @@ from palimpsest.session import arrow_batches, written
 BREAK = 0x0A
 #: Blanks and tabs part words; punctuation and line ends part pieces.
 TABLE = bytes(0x20 if b in (0x20, 0x09) else BREAK if b in b".,;:!?\x0a\x0b\x0c\x0d" else LOWER.get(b, b) for b in range(256))
-#: Bits of the filter of a level: 16 a phrase, and at most 64 MB.
-MAX_BITS = 1 << 29
+#: Bits of the filter of a level: 16 a phrase, and at most 32 MB.
+MAX_BITS = 1 << 28
 SLICE = 4 << 20
 
 
@@ -47,7 +49,7 @@ def slices(texts: list[bytes], langs: np.ndarray) -> Iterator[tuple[bytes, np.nd
         a = 0
         while a < len(text):
             b = len(text) if len(text) - a <= SLICE else text.rfind(BREAK, a, a + SLICE) + 1
-            if b <= a:  # a piece of more than a slice
+            if b <= a:  # a piece longer than a slice
                 b = text.find(BREAK, a) + 1 or len(text)
             at.append(size)
             own.append(lang)
@@ -90,93 +92,120 @@ def may_hold(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return found
 
 
-def phrases(text: bytes, at: np.ndarray, langs: np.ndarray, lang_hashes: np.ndarray, k: int, bitmap: np.ndarray | None) -> tuple | None:
-    """Language, phrase, hash and count of the phrases of k words whose ends may be frequent."""
-    numbers, forms, starts, pieces = words(text)
-    if len(numbers) < k:
-        return None
-    offsets = np.frombuffer(forms.buffers()[1], np.int32)[: len(forms) + 1].astype(np.int64)
-    data = np.frombuffer(forms.buffers()[2], np.uint8)
-    lang = langs[np.searchsorted(at, starts, "right") - 1]
-    plain = span_hashes(data, offsets[:-1], offsets[1:])[numbers]
+class Phrases:
+    """The words of a slice, with keys of the phrases that begin at each."""
 
-    def keys(n: int) -> np.ndarray:
+    def __init__(self, text: bytes, at: np.ndarray, langs: np.ndarray, lang_hashes: np.ndarray, filters: list[np.ndarray]) -> None:
+        self.numbers, self.forms, starts, self.pieces = words(text)
+        self.offsets = np.frombuffer(self.forms.buffers()[1], np.int32)[: len(self.forms) + 1].astype(np.int64)
+        self.data = np.frombuffer(self.forms.buffers()[2] or b"", np.uint8)
+        self.lang = langs[np.searchsorted(at, starts, "right") - 1]
+        self.plain = span_hashes(self.data, self.offsets[:-1], self.offsets[1:])[self.numbers]
+        self.lang_hashes, self.filters = lang_hashes, filters
+
+    def keys(self, k: int) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return mix64(windows(plain, n) + lang_hashes[lang[: len(plain) - n + 1]])
-
-    own = np.arange(len(numbers) - k + 1)
-    if k > 1:
-        shorter = may_hold(bitmap, keys(k - 1))
-        own = own[shorter[:-1] & shorter[1:] & (pieces[: len(own)] == pieces[k - 1 :])]
-        if not len(own):
-            return None
-    hashes = keys(k)[own]
-    first, counts = distinct(hashes, [lang[own], *(numbers[own + j] for j in range(k))])
-    hashes, own = hashes[first], own[first]
-    # Forms with blanks between them, from the forms' bytes and one blank after these.
-    form = numbers[own[:, None] + np.arange(k)]
-    begin, length = np.full((len(own), 2 * k - 1), len(data), np.int64), np.ones((len(own), 2 * k - 1), np.int64)
-    begin[:, ::2], length[:, ::2] = offsets[form], offsets[form + 1] - offsets[form]
-    built = assembled(np.r_[data, np.uint8(0x20)], begin.ravel(), length.ravel())
-    ends = np.r_[0, np.cumsum(length.sum(1))].astype(np.int32)
-    return lang[own], pa.StringArray.from_buffers(len(own), pa.py_buffer(ends), pa.py_buffer(built)), hashes.view(np.int64), counts
-
-
-def level(docs: DataFrame, k: int, least: int, bitmap: Broadcast | None) -> DataFrame:
-    """lang, phrase, hash and f of the phrases of k words with f >= least; for k = 1, an empty phrase has the count of all words."""
-    names = ["lang", "phrase", "hash", "f"]
+            return mix64(windows(self.plain, k) + self.lang_hashes[self.lang[: max(0, len(self.plain) - k + 1)]])
+
+    def candidates(self, k: int) -> np.ndarray:
+        """Where phrases of k words of one piece begin whose two ends of k - 1 words may be frequent."""
+        own = np.arange(max(0, len(self.numbers) - k + 1))
+        if k == 1 or not len(own):
+            return own
+        shorter = may_hold(self.filters[k - 2], self.keys(k - 1))
+        return own[shorter[:-1] & shorter[1:] & (self.pieces[: len(own)] == self.pieces[k - 1 :])]
+
+    def counted(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and counts of the candidates."""
+        return np.unique(self.keys(k)[self.candidates(k)], return_counts=True)
+
+    def named(self, k: int) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        """Language, words and count of the candidates whose own keys may be frequent."""
+        own = self.candidates(k)
+        hashes = self.keys(k)[own]
+        kept = may_hold(self.filters[k - 1], hashes)
+        own, hashes = own[kept], hashes[kept]
+        first, counts = distinct(hashes, [self.lang[own], *(self.numbers[own + j] for j in range(k))])
+        own = own[first]
+        # Forms with blanks between them, from the forms' bytes and one blank after these.
+        form = self.numbers[own[:, None] + np.arange(k)]
+        begin, length = np.full((len(own), 2 * k - 1), len(self.data), np.int64), np.ones((len(own), 2 * k - 1), np.int64)
+        begin[:, ::2], length[:, ::2] = self.offsets[form], self.offsets[form + 1] - self.offsets[form]
+        built = assembled(np.r_[self.data, np.uint8(0x20)], begin.ravel(), length.ravel())
+        ends = np.r_[0, np.cumsum(length.sum(1))].astype(np.int32)
+        return self.lang[own], pa.StringArray.from_buffers(len(own), pa.py_buffer(ends), pa.py_buffer(built)), counts
+
+
+def read(batch: pa.RecordBatch, filters: list[np.ndarray]) -> Iterator[tuple[Phrases, pa.Array]]:
+    """The phrases of each slice of a batch (lang, text), with the languages that they number."""
+    known = pc.fill_null(batch.column("lang"), "und").dictionary_encode()
+    data = known.dictionary.cast(pa.binary()).to_pylist()
+    lang_hashes = np.array([span_hashes(np.frombuffer(x, np.uint8), np.array([0]), np.array([len(x)]))[0] for x in data], np.uint64)
+    texts = [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
+    for text, at, langs in slices(texts, known.indices.to_numpy()):
+        yield Phrases(text, at, langs, lang_hashes, filters), known.dictionary
+
+
+def level(docs: DataFrame, k: int, least: int, filters: list[Broadcast]) -> DataFrame:
+    """key of the phrases of k words that occur least times or more (or share their key with others)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for phrases, _ in read(batch, [f.value for f in filters]):
+                keys, counts = phrases.counted(k)
+                if len(keys):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["key", "f"])
+
+    summed = docs.mapInArrow(run, "key long, f long").groupBy("key").agg(F.sum("f").alias("f"))
+    with arrow_batches(docs.sparkSession):
+        return written(summed.where(F.col("f") >= least).select("key"), f"phrase-keys-{k}")
+
+
+def names(docs: DataFrame, least: int, filters: list[Broadcast]) -> DataFrame:
+    """lang, k, phrase and f of all phrases with f >= least; k = 0 has the count of all words of a language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bitmap.value if bitmap else None
         for batch in batches:
-            known = pc.fill_null(batch.column("lang"), "und").dictionary_encode()
-            data = known.dictionary.cast(pa.binary()).to_pylist()
-            lang_hashes = np.array([span_hashes(np.frombuffer(x, np.uint8), np.array([0]), np.array([len(x)]))[0] for x in data], np.uint64)
-            texts = [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
-            for text, at, langs in slices(texts, known.indices.to_numpy()):
-                found = phrases(text, at, langs, lang_hashes, k, bits)
-                if found:
-                    lang, phrase, hashes, counts = found
-                    yield pa.RecordBatch.from_arrays([known.dictionary.take(pa.array(lang)), phrase, pa.array(hashes), pa.array(counts)], names=names)
-                    if k == 1:
-                        of, inverse = np.unique(lang, return_inverse=True)
-                        total = np.bincount(inverse, weights=counts).astype(np.int64)
-                        yield pa.RecordBatch.from_arrays([known.dictionary.take(pa.array(of)), pa.array([""] * len(of)), pa.array(np.zeros(len(of), np.int64)), pa.array(total)], names=names)
-
-    counted = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(run, "lang string, phrase string, hash long, f long")
-    summed = counted.groupBy("lang", "phrase").agg(F.max("hash").alias("hash"), F.sum("f").alias("f"))
+            for phrases, langs in read(batch, [f.value for f in filters]):
+                lang, total = np.unique(phrases.lang, return_counts=True)
+                found = [(0, lang, pa.array([""] * len(lang)), total), *((k, *phrases.named(k)) for k in range(1, len(filters) + 1))]
+                for k, lang, phrase, counts in found:
+                    if len(lang):
+                        yield pa.RecordBatch.from_arrays([langs.take(pa.array(lang)), pa.array(np.full(len(lang), k, np.int32)), phrase, pa.array(counts)], names=["lang", "k", "phrase", "f"])
+
+    summed = docs.mapInArrow(run, "lang string, k int, phrase string, f long").groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f"))
     with arrow_batches(docs.sparkSession):
-        return written(summed.where((F.col("f") >= least) | (F.col("phrase") == "")), f"phrases-{k}")
+        return written(summed.where((F.col("f") >= least) | (F.col("k") == 0)), "phrases")
 
 
 def filter_of(table: DataFrame, max_bits: int = MAX_BITS) -> np.ndarray:
-    """A bitmap of two bits a phrase of the table."""
+    """A bitmap of two bits for each key of the table."""
     bits = min(max_bits, max(1 << 15, 1 << (16 * table.count()).bit_length()))
     mask = F.lit(bits - 1).cast("long")
-    places = F.array(F.col("hash").bitwiseAND(mask), F.shiftrightunsigned("hash", 32).bitwiseAND(mask))
+    places = F.array(F.col("key").bitwiseAND(mask), F.shiftrightunsigned("key", 32).bitwiseAND(mask))
     one = table.select(F.explode(places).alias("place")).select(F.bitmap_bucket_number(F.col("place") + 1).alias("bucket"), F.bitmap_bit_position(F.col("place") + 1).alias("bit"))
     out = np.zeros(bits // 8, np.uint8)
     for r in one.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():
         a = (r["bucket"] - 1) * 4096
-        out[a : a + 4096] = np.frombuffer(r["bits"], np.uint8)
+        out[a : a + 4096] = np.frombuffer(r["bits"], np.uint8)[: len(out) - a]
     return out
 
 
-def collocations(docs: DataFrame, least: int = 100, longest: int = 5, percent: int = 100, top: int = 2000) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 100, longest: int = 5, percent: int = 100, top: int = 2000, max_bits: int = MAX_BITS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score of each language's top phrases of 2 to longest words."""
     spark = docs.sparkSession
-    levels = [level(docs, 1, least, None)]
-    for k in range(2, longest + 1):
-        below = levels[-1].where("phrase <> ''")
-        if below.isEmpty():
+    own = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    filters: list[Broadcast] = []
+    for k in range(1, longest + 1):
+        keys = level(own, k, least, filters)
+        filters.append(spark.sparkContext.broadcast(filter_of(keys, max_bits)))
+        if keys.isEmpty():
             break
-        bitmap = spark.sparkContext.broadcast(filter_of(below))
-        levels.append(level(docs, k, least, bitmap))
-        bitmap.unpersist()
-    n = levels[0].where("phrase = ''").select("lang", F.col("f").alias("n"))
-    frequent = levels[0].where("phrase <> ''").select("lang", "phrase", "f", F.lit(1).alias("k"))
-    for k, table in enumerate(levels[1:], 2):
-        frequent = frequent.unionByName(table.select("lang", "phrase", "f", F.lit(k).alias("k")))
+    table = names(own, least, filters)
+    for f in filters:
+        f.unpersist()
+    n = table.where("k = 0").select("lang", F.col("f").alias("n"))
+    frequent = table.where("k > 0")
     found = frequent.where("k > 1").select("lang", "phrase", F.col("f").alias("a"), "k")
     cut = found.select("*", F.explode(F.sequence(F.lit(1), F.col("k") - 1)).alias("cut")).withColumn("left", F.expr("substring_index(phrase, ' ', cut)"))
     cut = cut.withColumn("right", F.expr("substring(phrase, length(left) + 2)"))
