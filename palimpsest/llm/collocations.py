@@ -39,6 +39,8 @@ TABLE = bytes(0x20 if b in (0x20, 0x09) else BREAK if b in b".,;:!?\x0a\x0b\x0c\
 #: Bits of the filter of a level: 16 a phrase, and at most 32 MB.
 MAX_BITS = 1 << 28
 SLICE = 4 << 20
+#: Rows of named phrases that a task holds before it adds them up.
+HELD = 400_000
 
 
 def slices(texts: list[bytes], langs: np.ndarray) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
@@ -146,6 +148,12 @@ def read(batch: pa.RecordBatch, filters: list[np.ndarray]) -> Iterator[tuple[Phr
         yield Phrases(text, at, langs, lang_hashes, filters), known.dictionary
 
 
+def added_up(tables: list[pa.Table]) -> pa.Table:
+    """One row for each phrase of the tables."""
+    found = pa.concat_tables(tables).group_by(["lang", "k", "phrase"]).aggregate([("f", "sum")])
+    return found.select(["lang", "k", "phrase", "f_sum"]).rename_columns(["lang", "k", "phrase", "f"])
+
+
 def level(docs: DataFrame, k: int, least: int, filters: list[Broadcast]) -> DataFrame:
     """key of the phrases of k words that occur least times or more (or share their key with others)."""
 
@@ -165,13 +173,22 @@ def names(docs: DataFrame, least: int, filters: list[Broadcast]) -> DataFrame:
     """lang, k, phrase and f of all phrases with f >= least; k = 0 has the count of all words of a language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
         for batch in batches:
             for phrases, langs in read(batch, [f.value for f in filters]):
                 lang, total = np.unique(phrases.lang, return_counts=True)
                 found = [(0, lang, pa.array([""] * len(lang)), total), *((k, *phrases.named(k)) for k in range(1, len(filters) + 1))]
                 for k, lang, phrase, counts in found:
-                    if len(lang):
-                        yield pa.RecordBatch.from_arrays([langs.take(pa.array(lang)), pa.array(np.full(len(lang), k, np.int32)), phrase, pa.array(counts)], names=["lang", "k", "phrase", "f"])
+                    held.append(pa.table([langs.take(pa.array(lang)), pa.array(np.full(len(lang), k, np.int32)), phrase, pa.array(counts)], names=["lang", "k", "phrase", "f"]))
+                    rows += len(lang)
+                if rows > HELD:
+                    held = [added_up(held)]
+                    rows = held[0].num_rows
+                    if rows > HELD // 2:
+                        yield from held[0].to_batches(10_000)
+                        held, rows = [], 0
+        if held:
+            yield from added_up(held).to_batches(10_000)
 
     summed = docs.mapInArrow(run, "lang string, k int, phrase string, f long").groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f"))
     with arrow_batches(docs.sparkSession):
