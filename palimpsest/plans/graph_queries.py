@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from palimpsest.operators import communities as C
 from palimpsest.operators import graphs as G
+from palimpsest.operators import pruning as P
 from palimpsest.plans.registry import query
 from palimpsest.sources.tables import EDGES_SQL, EVENTS_SQL, edges, table, tool_events
 
@@ -66,6 +68,12 @@ def label_propagation(spark, d):
     return G.label_propagation(whole(spark, d), 4)
 
 
+@query("q155_leiden")
+def leiden(spark, d):
+    """Communities of largest modularity over all edges. SQL can't express the rounds; tests hold them against a sequential form."""
+    return C.leiden(whole(spark, d))
+
+
 @query(
     "q158_breadth_first",
     f"""with recursive {_WHOLE}, {_BOTH}, w as (select 1::bigint as node, 0 as hops union select b.dst, hops + 1 from w join b on b.src = w.node where hops < 3) select node, min(hops) as hops from w group by 1""",
@@ -146,6 +154,39 @@ def pruning(spark, d):
     return e.agg(F.count_if(F.col("src") == F.col("dst")).alias("loops"), F.count_if(F.col("weight") < 2).alias("light"), F.count_if(F.col("live").isNull()).alias("orphans"))
 
 
+_ORDERS = 1_000_000_000
+
+
+@query(
+    "q160_prune_counts",
+    f"""with recursive {EDGES_SQL}, chain as (select {_ORDERS} + o_orderkey as src, {_ORDERS} + lag(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as dst from orders),
+        e as (select src * 1000000 - dst as edge_id, src, dst, edge_type, weight::double as weight from edges union all select 5 * {_ORDERS} + src * 1000000 - dst, src, dst, edge_type, weight - 1 from edges where weight % 2 = 0
+              union all select -src, src, dst, 'supersedes', 9 from chain where dst is not null),
+        live as (select s_suppkey as node from supplier where s_suppkey % 9 <> 0 union all select -p_partkey from part union all select {_ORDERS} + o_orderkey from orders where o_orderkey % 17 <> 0),
+        m as (select *, case when weight < 2 then 'light' when src not in (select node from live) or dst not in (select node from live) then 'orphan' when src = dst then 'loop' end as reason from e),
+        dup as (select *, row_number() over (partition by src, dst, edge_type order by weight desc, edge_id) as rn from m where reason is null),
+        one as (select * from dup where rn = 1), up as (select dst as node, min(src) as head from one where edge_type = 'supersedes' group by 1 having count(*) = 1),
+        walk as (select node, head from up where head not in (select node from up) union all select up.node, walk.head from up join walk on up.head = walk.node),
+        inner_ as (select edge_id, head, dst, weight from one join walk on one.src = walk.node where edge_type = 'supersedes'),
+        rest as (select edge_id, src, dst, edge_type, weight, false as added from one where edge_id not in (select edge_id from inner_)
+                 union all select 0, head, i.dst, 'supersedes', max(weight), true from inner_ i where not exists (select 1 from one r where r.src = i.head and r.dst = i.dst and r.edge_type = 'supersedes') group by head, i.dst),
+        hub as (select *, row_number() over (partition by src order by weight desc, edge_id) as a, row_number() over (partition by dst order by weight desc, edge_id) as b from rest)
+        select reason, count(*) as n from (select reason from m where reason is not null union all select 'duplicate' from dup where rn > 1 union all select 'chain' from inner_
+          union all select case when a > 100 or b > 100 then 'hub' when added then 'added' else 'kept' end from hub) group by 1""",
+)
+def prune_counts(spark, d):
+    """A dry run over supplier-part edges, weaker copies of some, and each customer's orders, which supersede the one before."""
+    e = edges(spark, d)
+    own = e.select((F.col("src") * 1_000_000 - F.col("dst")).alias("edge_id"), "src", "dst", "edge_type", F.col("weight").cast("double").alias("weight"))
+    weaker = own.where("weight % 2 = 0").withColumns({"edge_id": F.col("edge_id") + 5 * _ORDERS, "weight": F.col("weight") - 1})
+    o = table(spark, d, "orders")
+    before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    chain = o.select((_ORDERS + F.col("o_orderkey")).alias("src"), (_ORDERS + before).alias("dst")).where("dst is not null")
+    chain = chain.select((-F.col("src")).alias("edge_id"), "src", "dst", F.lit("supersedes").alias("edge_type"), F.lit(9.0).alias("weight"))
+    live = table(spark, d, "supplier").where("s_suppkey % 9 <> 0").select(F.col("s_suppkey").alias("node")).union(table(spark, d, "part").select(-F.col("p_partkey"))).union(o.where("o_orderkey % 17 <> 0").select(_ORDERS + F.col("o_orderkey")))
+    return P.counts(P.marked(own.unionByName(weaker).unionByName(chain), live, min_weight=2.0))
+
+
 @query(
     "q161_temporal_edges",
     """with n as (select o_custkey, o_orderkey, lead(o_orderkey) over w as next, (epoch(lead(o_orderdate) over w) - epoch(o_orderdate)) / 86400 as days from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey))

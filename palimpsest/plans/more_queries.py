@@ -220,6 +220,18 @@ def communities(spark, d):
     return G.components(e).withColumnRenamed("component", "community")
 
 
+@query("q156_modular_communities")
+def modular_communities(spark, d):
+    """Communities of largest modularity of suppliers that share orders, at least three to a community; see q155 for its SQL."""
+    from palimpsest.operators.communities import leiden
+
+    one = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").distinct()
+    a, b = one.withColumnRenamed("l_suppkey", "src"), one.withColumnRenamed("l_suppkey", "dst")
+    e = a.join(b, "l_orderkey").where("src < dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
+    found = leiden(e, refine=False)
+    return found.join(found.groupBy("community").count().where("count >= 3").select("community"), "community").select("node", "community")
+
+
 @query("q165_change_risk", f"with {EDGES_SQL}, s as (select src, count(*) as fan, sum(weight) as load, max(weight) as peak from edges group by 1) select src, round(0.4 * least(1, fan / 500) + 0.3 * least(1, load / 800) + 0.2 * least(1, peak / 5) + 0.1 * (src % 2), 6) as risk from s")
 def change_risk(spark, d):
     s = edges(spark, d).groupBy("src").agg(F.count(F.lit(1)).alias("fan"), F.sum("weight").alias("load"), F.max("weight").alias("peak"))
@@ -352,10 +364,10 @@ def rate_limit(spark, d):
 
 @query(
     "q235_entity_clusters",
-    f"with {FACTS_SQL}, c as (select n_chars % 200 as entity, list(fact_id order by fact_id) as members from facts where importance < 0.8 group by 1 having count(*) between 3 and 10) select entity, len(members) as n, array_to_string(members, ',') as members from c",
+    f"with {FACTS_SQL}, r as (select n_chars % 200 as entity, fact_id, row_number() over (partition by n_chars % 200 order by confidence desc, created_at desc, fact_id) as rn from facts where importance < 0.8), c as (select entity, list(fact_id order by fact_id) as members from r where rn <= 10 group by 1 having count(*) >= 3) select entity, len(members) as n, array_to_string(members, ',') as members from c",
 )
 def entity_clusters(spark, d):
-    """Of each entity with at least three facts its ten of highest confidence, then newest. The SQL drops entities with more than ten."""
+    """Of each entity with at least three facts its ten of highest confidence, then newest."""
     f = facts(spark, d).where("importance < 0.8").select((F.col("n_chars") % 200).alias("entity"), "fact_id", "confidence", "created_at")
     w = Window.partitionBy("entity").orderBy(F.desc("confidence"), F.desc("created_at"), "fact_id")
     c = f.withColumn("rn", F.row_number().over(w)).where("rn <= 10").groupBy("entity").agg(F.array_sort(F.collect_list("fact_id")).alias("m"))

@@ -158,3 +158,24 @@ def hash_chain(spark, d):
 @query("q212_json", "select cast(json_extract_string(props, '$.k') as int) as k, count(*) as n from events group by 1")
 def json_access(spark, d):
     return table(spark, d, "events").groupBy(F.from_json("props", "k int")["k"].alias("k")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "q198_text_dates",
+    """with o as (select o_orderkey, cast(o_orderdate as date) as d, o_orderkey % 8 as k from orders)
+       select o_orderkey, (case k when 0 then d when 1 then d when 2 then date_trunc('month', d) when 3 then d - 3 when 4 then d + interval 2 month when 5 then d - 1 when 6 then d when 7 then null end)::date::varchar as referenced,
+              (case k when 6 then d when 7 then d when 4 then null end)::date::varchar as starts, (case k when 6 then d + 40 when 7 then d + 14 end)::date::varchar as ends from o""",
+)
+def text_dates(spark, d):
+    """Notes of orders in eight wordings, read as of the order's day."""
+    from palimpsest.functions.dates import spoken_of
+
+    k, day = F.col("o_orderkey") % 8, F.to_date("o_orderdate")
+    at = lambda form, c=day: F.date_format(c, form)
+    notes = [
+        F.concat(F.lit("Ordered on "), at("MMMM d, yyyy"), F.lit(".")), F.concat(F.lit("order of "), at("M/d/yyyy")), F.concat(F.lit("one of "), at("MMM yyyy"), F.lit("'s orders")), F.lit("It came 3 days ago"),
+        F.lit("to be paid in 2 months"), F.lit("seen Yesterday"), F.concat(F.lit("open from "), at("d MMMM yyyy"), F.lit(" to "), at("yyyy-MM-dd", F.date_add(day, 40))), F.lit("kept for 2 weeks"),
+    ]
+    text = F.get(F.array(*notes), k.cast("int"))
+    found = table(spark, d, "orders").select("o_orderkey", spoken_of(text, day).alias("d"))
+    return found.select("o_orderkey", *[F.col(f"d.{c}").cast("string").alias(c) for c in ("referenced", "starts", "ends")])

@@ -12,7 +12,12 @@ from pyspark.sql import functions as F
 
 def transcripts(spark: SparkSession, path: str) -> DataFrame:
     """path, start, end, speaker, text of each cue of SRT and VTT files."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "\r", "").alias("v"))
+    return cues(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("v")))
+
+
+def cues(files: DataFrame) -> DataFrame:
+    """path, start, end, speaker, text of each cue of files (path, v: whole text)."""
+    raw = files.select("path", F.regexp_replace("v", "\r", "").alias("v"))
     cue = raw.select("path", F.explode(F.split("v", r"\n{2,}")).alias("cue"))
     stamp = r"([0-9:.,]+) --> ([0-9:.,]+)[^\n]*\n(?s:(.*))"
     body = F.trim(F.regexp_replace(F.regexp_extract("cue", stamp, 3), r"\n", " "))
