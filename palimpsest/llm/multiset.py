@@ -1,12 +1,14 @@
 """Document fingerprints: a homomorphic multiset hash of paragraphs.
 
-A paragraph (a line, cut further at sentence ends) is hashed to a wide vector of LANES signed bytes; a document's
-fingerprint is the sum of its paragraphs' vectors, every lane modulo 2^19. The sum does not depend on the order,
-and a paragraph can be added or removed by adding or subtracting its vector (combine). Three lanes stand
+A paragraph (a line, cut further at sentence ends) is hashed to a wide vector of LANES odd values from -15 to 15; a
+document's fingerprint is the sum of its paragraphs' vectors, every lane modulo 2^19. The sum does not depend on the
+order, and a paragraph can be added or removed by adding or subtracting its vector (combine). Three lanes stand
 in one long, each under two guard bits, so one masked addition adds three lanes. Only DataFrame functions
 are used.
 
-The lanes are also a linear sketch: their cosine estimates how much of two documents' multisets is common.
+The lanes are also a linear sketch: their cosine estimates how much of two documents' multisets is common. That holds
+while no lane has gone round, for texts of any length whose paragraphs differ and for up to 17,476 equal paragraphs in
+one text; sums, equality and differences hold beyond. Ids may be numbers only.
 
 Null and empty texts have the zero fingerprint; likeness is 1 for equal fingerprints and 0 if just one is zero.
 Documents with an equal id are ordered by their text. An empty table gives an empty result.
@@ -25,8 +27,11 @@ FIELD = 21
 LANE_BITS = 19
 LANE_MASK = (1 << LANE_BITS) - 1
 MASK = sum(LANE_MASK << (FIELD * i) for i in range(3))
-BYTES = sum(255 << (FIELD * i) for i in range(3))
-_BIAS = sum(((1 << LANE_BITS) - 128) << (FIELD * i) for i in range(3))
+#: Four bits of a hash for each lane: an even number up to 30, of which 15 is taken.
+VALUES = sum(30 << (FIELD * i) for i in range(3))
+_BIAS = sum(((1 << LANE_BITS) - 15) << (FIELD * i) for i in range(3))
+#: Characters of first texts of ranges that are broadcast; more of them are joined by a shuffle.
+BROADCAST_CHARS = 16 << 20
 PARAGRAPH_END = r"\n+|(?<=[.!?])[ \t]+"
 
 
@@ -39,8 +44,8 @@ def _masked_sum(a: Column, b: Column) -> Column:
 
 
 def _with_word(acc: Column, h: Column) -> Column:
-    """acc and three signed bytes of a hash, one for each lane; two guard bits hold what is carried."""
-    return (acc + h.bitwiseAND(_long(BYTES)) + _long(_BIAS)).bitwiseAND(_long(MASK))
+    """acc and three values of a hash, one for each lane; two guard bits hold what is carried."""
+    return (acc + h.bitwiseAND(_long(VALUES)) + _long(_BIAS)).bitwiseAND(_long(MASK))
 
 
 def paragraphs(text: Column) -> Column:
@@ -125,10 +130,12 @@ def with_next(docs: DataFrame, ranges: int) -> DataFrame:
 
     order = Window.partitionBy("range").orderBy(F.col("id").desc(), F.col("text"))
     led = dealt.withColumn("after", F.lead(F.struct("text", "fp")).over(order))
-    key = F.when(F.col("after").isNull(), F.col("range"))
-    joined = led.withColumn("last_of", key).join(
-        F.broadcast(heads.withColumnRenamed("range", "last_range")), F.col("last_of") == F.col("last_range"), "left"
-    )
+    # Rows that have their next one join nothing; their keys are spread, so that a shuffled join has no hot key.
+    key = F.when(F.col("after").isNull(), F.col("range")).otherwise(-2 - F.pmod(F.xxhash64("id"), F.lit(10_000)).cast("int"))
+    size = heads.agg(F.sum(F.length("head.text"))).first()[0] or 0
+    heads = heads.withColumnRenamed("range", "last_range")
+    heads = F.broadcast(heads) if size <= BROADCAST_CHARS else heads
+    joined = led.withColumn("last_of", key).join(heads, F.col("last_of") == F.col("last_range"), "left")
     return joined.withColumn("next", F.coalesce("after", "head")).drop("after", "head", "last_of", "last_range", "range")
 
 

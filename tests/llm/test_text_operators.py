@@ -355,3 +355,53 @@ def test_likeness_of_half_shared_texts(spark):
     near = pairs.select(multiset.likeness(multiset.fingerprint(F.col("x")), multiset.fingerprint(F.col("y"))).alias("s"))
     error = near.agg(F.sqrt(F.avg((F.col("s") - 0.5) ** 2))).first()[0]
     assert multiset.LANES >= 60 and error < 0.1025
+
+
+def plain_lanes(text):
+    """Sums of each lane over the paragraphs of a text, by plain Python around Spark's own 64-bit hash."""
+    import xxhash
+
+    hashed = lambda data, seed: xxhash.xxh64(data, seed=seed).intdigest()
+    sums = [0] * multiset.LANES
+    for p in filter(None, re.split(multiset.PARAGRAPH_END, text or "")):
+        a = hashed(p.encode(), 42)
+        b = hashed((1).to_bytes(4, "little"), a)
+        for k in range(multiset.WORDS):
+            word = hashed(k.to_bytes(4, "little"), hashed((a if k % 2 else b).to_bytes(8, "little"), 42))
+            for i in range(3):
+                sums[3 * k + i] += (word >> (multiset.FIELD * i) & 30) - 15
+    return sums
+
+
+def test_lane_sums_and_likeness_against_plain_sums(spark):
+    texts = ["one line.\nanother line. And a third!\n", "x\n" * 50, "", "x\ny\nx\n\n\nz", "another line.\nx"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    from pyspark.sql import functions as F
+
+    want = [plain_lanes(t) for t in texts]
+    got = {r["doc_id"]: r["l"] for r in rows.select("doc_id", multiset.lanes(multiset.fingerprint(F.col("text"))).alias("l")).collect()}
+    assert [got[i] for i in range(5)] == want
+
+    def near(x, y):
+        size = (sum(v * v for v in x) * sum(v * v for v in y)) ** 0.5
+        return 1.0 if x == y else max(0.0, sum(a * b for a, b in zip(x, y, strict=True)) / size) if size else 0.0
+
+    for found in (multiset.edited_fingerprints(rows, ranges=3).collect(), multiset.edited_fingerprints(rows, ranges=1).collect()):
+        for r in found:
+            i = r["doc_id"]
+            own, after = texts[i], texts[i - 1] if i else texts[-1]
+            half = len(own) // 2
+            assert r["near_next"] == pytest.approx(near(want[i], plain_lanes(after)))
+            assert r["near_edited"] == pytest.approx(near(want[i], plain_lanes(own[: len(own) - half] + after[:half])))
+
+
+def test_likeness_of_repeated_lines(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    pairs = spark.createDataFrame([(5000, 4000), (8000, 4000), (17_000, 3)], "a int, b int")
+    near = multiset.likeness(*[multiset.fingerprint(F.repeat(F.lit("the same line\n"), F.col(c))) for c in "ab"])
+    assert [r[0] for r in pairs.select(near).collect()] == pytest.approx([1.0, 1.0, 1.0])
+    docs = spark.createDataFrame([(i, f"text {i}\n" * (i % 7)) for i in range(60)], "doc_id long, text string")
+    by_broadcast = sorted(map(tuple, multiset.edited_fingerprints(docs, ranges=9).collect()))
+    monkeypatch.setattr(multiset, "BROADCAST_CHARS", -1)
+    assert sorted(map(tuple, multiset.edited_fingerprints(docs, ranges=9).collect())) == by_broadcast
