@@ -71,7 +71,7 @@ def label_propagation(spark, d):
 @query("q155_leiden")
 def leiden(spark, d):
     """Communities of largest modularity over all edges. SQL can't express the rounds; tests hold them against a sequential form."""
-    return C.leiden(whole(spark, d))
+    return C.leiden(whole(spark, d), max_levels=4, max_rounds=6)
 
 
 @query(
@@ -160,7 +160,7 @@ _ORDERS = 1_000_000_000
 @query(
     "q160_prune_counts",
     f"""with recursive {EDGES_SQL}, chain as (select {_ORDERS} + o_orderkey as src, {_ORDERS} + lag(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as dst from orders),
-        e as (select src * 1000000 - dst as edge_id, src, dst, edge_type, weight::double as weight from edges union all select 5 * {_ORDERS} + src * 1000000 - dst, src, dst, edge_type, weight - 1 from edges where weight % 2 = 0
+        e as (select src * 1000000 - dst as edge_id, src, dst, edge_type, weight::double as weight from edges union all select {5 * _ORDERS} + src * 1000000 - dst, src, dst, edge_type, weight - 1 from edges where weight % 2 = 0
               union all select -src, src, dst, 'supersedes', 9 from chain where dst is not null),
         live as (select s_suppkey as node from supplier where s_suppkey % 9 <> 0 union all select -p_partkey from part union all select {_ORDERS} + o_orderkey from orders where o_orderkey % 17 <> 0),
         m as (select *, case when weight < 2 then 'light' when src not in (select node from live) or dst not in (select node from live) then 'orphan' when src = dst then 'loop' end as reason from e),

@@ -228,7 +228,7 @@ def modular_communities(spark, d):
     one = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").distinct()
     a, b = one.withColumnRenamed("l_suppkey", "src"), one.withColumnRenamed("l_suppkey", "dst")
     e = a.join(b, "l_orderkey").where("src < dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
-    found = leiden(e, refine=False)
+    found = leiden(e, refine=False, max_levels=4, max_rounds=6)
     return found.join(found.groupBy("community").count().where("count >= 3").select("community"), "community").select("node", "community")
 
 

@@ -163,11 +163,11 @@ def json_access(spark, d):
 @query(
     "q198_text_dates",
     """with o as (select o_orderkey, cast(o_orderdate as date) as d, o_orderkey % 8 as k from orders)
-       select o_orderkey, (case k when 0 then d when 1 then d when 2 then date_trunc('month', d) when 3 then d - 3 when 4 then d + interval 2 month when 5 then d - 1 when 6 then d when 7 then null end)::date::varchar as referenced,
+       select o_orderkey, (case k when 0 then d when 1 then d when 2 then date_trunc('month', d) when 3 then d - 3 when 4 then d + interval 2 month when 5 then d - 1 when 6 then d + 40 when 7 then null end)::date::varchar as referenced,
               (case k when 6 then d when 7 then d when 4 then null end)::date::varchar as starts, (case k when 6 then d + 40 when 7 then d + 14 end)::date::varchar as ends from o""",
 )
 def text_dates(spark, d):
-    """Notes of orders in eight wordings, read as of the order's day."""
+    """Notes of orders in eight wordings, read as of the order's day; of two dates the one in figures counts first."""
     from palimpsest.functions.dates import spoken_of
 
     k, day = F.col("o_orderkey") % 8, F.to_date("o_orderdate")

@@ -27,11 +27,11 @@ def arrivals(spark: SparkSession, folder: str, files_per_batch: int = 1000, glob
 def told_apart(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Readable files (path, v, kind, digest, modified) and those to put aside (path, length, reason, modified).
 
-    Put aside are files without content, files that are not UTF-8, and subtitles without a single cue.
+    Put aside are files that are not UTF-8, and subtitles without a single cue. Spark's source passes over files of no bytes.
     """
     kind = F.lower(F.regexp_extract("path", r"\.(\w+)$", 1))
     read = files.select("path", "length", F.col("modificationTime").alias("modified"), kind.alias("kind"), F.substring(F.sha2("content", 256), 1, 32).alias("digest"), F.try_validate_utf8(F.col("content").cast("string")).alias("v"))
-    reason = F.when(F.col("length") == 0, "empty").when(F.col("v").isNull(), "not UTF-8").when((F.col("kind") != "txt") & ~F.col("v").contains("-->"), "no cue")
+    reason = F.when(F.col("v").isNull(), "not UTF-8").when((F.col("kind") != "txt") & ~F.col("v").contains("-->"), "no cue")
     read = read.withColumn("reason", reason)
     return read.where("reason is null").select("path", "v", "kind", "digest", "modified"), read.where("reason is not null").select("path", "length", "reason", "modified")
 
