@@ -104,6 +104,13 @@ def redaction(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(T.redacted(F.col("text")), 256).alias("redacted_sha256"))
 
 
+@query("q203_counted_redaction")
+def counted_redaction(spark, d):
+    """Every document's redacted text, as a digest, and how much was taken out. DuckDB's patterns know no look-behind, so a test holds it against Python's."""
+    out = T.redacted_counted(table(spark, d, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.sha2("redacted", 256).alias("redacted_sha256"), "redactions")
+
+
 @query(
     "q204_trigram_index",
     """with g as (select distinct p_partkey, substr(lower(p_name), cast(i as int), 3) as g from (select p_partkey, p_name, unnest(range(1, length(p_name) - 1)) as i from part)),
