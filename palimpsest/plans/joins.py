@@ -139,7 +139,7 @@ def state_as_of(spark, d):
         from tool_events window w as (partition by user_id order by epoch(created_at) range between 1 following and 86400 following)""",
 )
 def look_ahead(spark, d):
-    e = tool_events(spark, d).withColumn("t", F.unix_timestamp("created_at"))
+    e = tool_events(spark, d).withColumn("t", F.col("created_at").cast("timestamp").cast("double"))  # with its fraction, as epoch() gives it
     w = Window.partitionBy("user_id").orderBy("t").rangeBetween(1, 86400)
     return e.select("event_id", F.count(F.lit(1)).over(w).alias("following"), (F.coalesce(F.sum("value").over(w), F.lit(0.0)) > 100).alias("evidence"))
 
