@@ -128,7 +128,7 @@ def parsed_dates(spark, d):
 
 @query("q201_foresight", "select doc_id, len(regexp_extract_all(lower(text), '\\b(plan to|going to|will|to the)\\b')) as n from documents where regexp_matches(lower(text), '\\b(plan to|going to|will|to the)\\b')")
 def foresight(spark, d):
-    pattern = r"\b(plan to|going to|will|to the)\b"
+    pattern = T.bounded("plan to|going to|will|to the")
     found = table(spark, d, "documents").select("doc_id", F.regexp_count(F.lower("text"), F.lit(pattern)).cast("long").alias("n"))
     return found.where("n > 0")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from palimpsest.functions import textual as T
 from palimpsest.operators import retrieval as R
 from palimpsest.plans.registry import query
 from palimpsest.sources.tables import AS_OF, FACTS_SQL, facts, table
@@ -139,7 +140,7 @@ def final_scoring(spark, d):
 )
 def classifier(spark, d):
     t = F.lower("text")
-    kind = F.when(t.rlike(r"\b(when|date|day)\b"), "temporal").when(t.rlike(r"\b(who|whom)\b"), "entity").when(t.rlike(r"\b(how many|count)\b"), "aggregation")
+    kind = F.when(t.rlike(T.bounded("when|date|day")), "temporal").when(t.rlike(T.bounded("who|whom")), "entity").when(t.rlike(T.bounded("how many|count")), "aggregation")
     return table(spark, d, "benchmark").select("item_id", kind.when(F.length("text") < 120, "factual").otherwise("open").alias("kind"))
 
 
