@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
@@ -26,20 +26,29 @@ def uniform(key: Column, seed: int, number: Column) -> Column:
     return (F.conv(F.substring(digits, 1, 13), 16, 10).cast("double") + 0.5) / 2.0**52
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then of a value that it uses several times, which is computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def gamma(shape: Column, key: Column, seed: int) -> Column:
     """A gamma draw (scale 1) of a shape of 1 or more, by Marsaglia and Tsang's rejection."""
-    d = shape - 1 / 3
-    cube = lambda x: F.pow(1 + x / F.sqrt(9 * d), F.lit(3.0))
-    found = F.transform(F.sequence(F.lit(0), F.lit(TRIES - 1)), lambda i: F.struct(normal(key, seed, i).alias("x"), uniform(key, seed, i).alias("u")))
-    found = F.transform(found, lambda t: F.struct(t["x"].alias("x"), t["u"].alias("u"), cube(t["x"]).alias("v")))
-    good = F.filter(found, lambda t: (t["v"] > 0) & (F.log(t["u"]) < 0.5 * t["x"] * t["x"] + d - d * t["v"] + d * F.log(F.greatest(t["v"], F.lit(1e-300)))))
-    return F.coalesce(d * F.get(good, F.lit(0))["v"], d)
+
+    def tried(d: Column, key: Column, i: int) -> Column:
+        """The draw of a try, null if it fails."""
+        cube = lambda x: F.struct(x.alias("x"), F.pow(1 + x / F.sqrt(9 * d), F.lit(3.0)).alias("v"))
+        below = lambda t: F.log(uniform(key, seed, F.lit(i))) < 0.5 * t["x"] * t["x"] + d - d * t["v"] + d * F.log(F.greatest(t["v"], F.lit(1e-300)))
+        return once(once(normal(key, seed, F.lit(i)), cube), lambda t: F.when((t["v"] > 0) & below(t), d * t["v"]))
+
+    # A later try is made only where the earlier ones fail.
+    own = F.struct((shape - 1 / 3).alias("d"), key.alias("key"))
+    return once(own, lambda s: F.coalesce(*(tried(s["d"], s["key"], i) for i in range(TRIES)), s["d"]))
 
 
 def beta(a: Column, b: Column, key: Column, seed: int = 42) -> Column:
     """A draw of Beta(a, b), each taken as 1 at least; the same for the same key (text) and seed."""
     x, y = (gamma(F.greatest(c.cast("double"), F.lit(1.0)), F.concat_ws("|", key, F.lit(side)), seed) for c, side in ((a, "a"), (b, "b")))
-    return x / (x + y)
+    return once(F.struct(x.alias("x"), y.alias("y")), lambda p: p["x"] / (p["x"] + p["y"]))
 
 
 def thompson(plays: DataFrame, posteriors: DataFrame, arms: Sequence, seed: int = 42) -> DataFrame:
@@ -54,7 +63,9 @@ def thompson(plays: DataFrame, posteriors: DataFrame, arms: Sequence, seed: int
     key = lambda n: F.concat_ws(":", F.col("play").cast("string"), n.cast("string"))
     draw = lambda n, i: F.struct(F.round(beta(of(n, "a"), of(n, "b"), key(n), seed), 9).alias("sample"), (-i).alias("place"), n.alias("arm"))
     best = F.array_max(F.transform(F.array(*map(F.lit, arms)), draw))
-    rows = plays.join(known, "stratum", "left").select("play", "stratum", best.alias("m"))
+    # Draws cost far more than reading, so the plays of a few files are dealt to all tasks.
+    spread = plays.repartition(int(plays.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = spread.join(known, "stratum", "left").select("play", "stratum", best.alias("m"))
     return rows.select("play", "stratum", "m.arm", "m.sample")
 
 
