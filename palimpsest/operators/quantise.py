@@ -11,7 +11,7 @@ a shuffle. Left out are vectors that are null, hold a null or non-finite compone
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.operators.neighbours import best_in_blocks, top_per_query
+from palimpsest.operators.neighbours import best_in_blocks, top_per_query, unit
 
 CODES = "fact_id {kind}, bits int, radius float, codes binary, signs binary, rest float"
 
@@ -143,11 +143,18 @@ class Quantiser:
 
     def products(self, queries: np.ndarray, codes: pd.DataFrame) -> np.ndarray:
         """Inner products of queries (rows) and coded vectors (columns), with the sketch's correction where there is one."""
-        out = queries @ self.decoded(codes).T
-        if self.sketch:
-            signs = np.unpackbits(np.array([np.frombuffer(c, np.uint8) for c in codes["signs"]]), axis=1)[:, : self.sketch] * 2.0 - 1
-            out += (queries @ self.projection.T) @ signs.T * (math.sqrt(math.pi / 2) / self.sketch) * codes["rest"].to_numpy(np.float64)
-        return out
+        return self.against(queries, *self.unpacked(codes))
+
+    def unpacked(self, codes: pd.DataFrame) -> tuple[np.ndarray, np.ndarray | None]:
+        """Vectors that codes stand for, and their sketches' signs times what these weigh."""
+        if not self.sketch:
+            return self.decoded(codes), None
+        signs = np.unpackbits(np.array([np.frombuffer(c, np.uint8) for c in codes["signs"]]), axis=1)[:, : self.sketch] * 2.0 - 1
+        return self.decoded(codes), signs * (math.sqrt(math.pi / 2) / self.sketch * codes["rest"].to_numpy(np.float64))[:, None]
+
+    def against(self, queries: np.ndarray, decoded: np.ndarray, signs: np.ndarray | None) -> np.ndarray:
+        out = queries @ decoded.T
+        return out if signs is None else out + (queries @ self.projection.T) @ signs.T
 
 
 def coded(vectors: DataFrame, quantiser: Quantiser) -> DataFrame:
@@ -184,9 +191,9 @@ def search(queries: DataFrame, codes: DataFrame, vectors: DataFrame, quantiser:
     stated width of the search: raise it for recall.
     """
 
-    def estimates(q: pd.DataFrame, own: pd.DataFrame) -> np.ndarray:
-        x = np.array([np.asarray(r, np.float64) for r in q["embedding"]])
-        return quantiser.products(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300), own) / np.maximum(own["radius"].to_numpy(np.float64), 1e-300)
+    def estimates(q: pd.DataFrame, own: pd.DataFrame) -> Callable[[slice], np.ndarray]:
+        x, (decoded, signs), radius = unit(q["embedding"]), quantiser.unpacked(own), np.maximum(own["radius"].to_numpy(np.float64), 1e-300)
+        return lambda rows: quantiser.against(x[rows], decoded, signs) / radius
 
     rough = best_in_blocks(queries.select("query_id", "embedding"), codes, candidates, estimates, digits=9).select("query_id", "fact_id")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
