@@ -9,6 +9,10 @@ from palimpsest.plans.registry import query
 from palimpsest.sources.tables import AS_OF, EDGES_SQL, EVENTS_SQL, FACTS_SQL, edges, facts, table, tool_events
 
 
+#: Users of a list, and lists that are broadcast at most (16 MB).
+PEERS, BROADCAST_LISTS = 4096, 512
+
+
 @query(
     "q042_events_entities_facts",
     f"with {FACTS_SQL}, {EVENTS_SQL} select event_id, n_name, fact_id from tool_events join nation on lower(n_name) = lower('NATION_' || (user_id % 25)) or n_nationkey = user_id % 25 join facts on fact_id = event_id",
@@ -192,8 +196,22 @@ def read_receipts(spark, d):
     reads = e.where("event_type = 'view'").select("user_id", (F.col("event_id") % 100).alias("msg"), F.lit(True).alias("seen")).distinct()
     inbox = table(spark, d, "customer").select(F.col("c_custkey").alias("msg"), (F.col("c_custkey") % 5).alias("b"))
     peers = e.select("user_id", (F.col("user_id") % 5).alias("b")).distinct()
-    found = inbox.join(peers, "b").join(reads, ["msg", "user_id"], "left")
-    return found.select("msg", "user_id", F.when(F.col("seen").isNotNull(), "read").otherwise("unread").alias("state"))
+    # Each message meets all its peers. They come in lists, so that no pair is shuffled; only messages that someone has read are joined.
+    lists = -(-peers.count() // PEERS)
+    peers = peers.groupBy("b", F.pmod(F.xxhash64("user_id"), F.lit(max(lists, 1))).alias("part")).agg(F.collect_list("user_id").alias("ids"))
+
+    def paired(rows):
+        rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+        if lists > BROADCAST_LISTS:
+            rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(lists - 1)).cast("array<long>"))).join(peers, ["b", "part"])
+        else:
+            rows = rows.join(F.broadcast(peers), "b")
+        return rows.select("msg", F.explode("ids").alias("user_id"))
+
+    hot = reads.select("msg").distinct()
+    opened = paired(inbox.join(hot, "msg", "left_semi")).join(reads, ["msg", "user_id"], "left")
+    opened = opened.select("msg", "user_id", F.when(F.col("seen").isNotNull(), "read").otherwise("unread").alias("state"))
+    return opened.unionByName(paired(inbox.join(hot, "msg", "left_anti")).withColumn("state", F.lit("unread")))
 
 
 @query(
