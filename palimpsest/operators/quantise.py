@@ -21,7 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.operators.neighbours import best_in_blocks, top_per_query, unit
+from palimpsest.session import written
 
+#: More than what rounding to six places and lengths in 32 bits can move a bound.
+SLACK = 2e-6
 CODES = "fact_id {kind}, bits int, radius float, codes binary, signs binary, rest float"
 
 
@@ -157,8 +160,8 @@ class Quantiser:
         return out if signs is None else out + (queries @ self.projection.T) @ signs.T
 
 
-def coded(vectors: DataFrame, quantiser: Quantiser) -> DataFrame:
-    """fact_id, bits, radius, codes, signs, rest of vectors (fact_id, embedding)."""
+def coded(vectors: DataFrame, quantiser: Quantiser, keep: bool = False) -> DataFrame:
+    """fact_id, bits, radius, codes, signs, rest of vectors (fact_id, embedding); with keep the vector itself as source."""
     v = F.col("embedding")
     whole = vectors.where((F.size(v) == quantiser.dim) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
 
@@ -168,37 +171,52 @@ def coded(vectors: DataFrame, quantiser: Quantiser) -> DataFrame:
                 out = quantiser.encoded(np.array([np.asarray(r, np.float64) for r in batch["embedding"]]))
                 out.insert(0, "fact_id", batch["fact_id"].to_numpy())
                 out.insert(1, "bits", np.int32(quantiser.bits))
-                yield out
+                yield out.assign(source=list(batch["embedding"])) if keep else out
 
-    return whole.select("fact_id", "embedding").mapInPandas(run, CODES.format(kind=vectors.schema["fact_id"].dataType.simpleString()))
+    source = f", source {vectors.schema['embedding'].dataType.simpleString()}" if keep else ""
+    return whole.select("fact_id", "embedding").mapInPandas(run, CODES.format(kind=vectors.schema["fact_id"].dataType.simpleString()) + source)
 
 
 def restored(codes: DataFrame, quantiser: Quantiser) -> DataFrame:
-    """fact_id and the embedding that its code stands for."""
+    """fact_id and the embedding that its code stands for, with the code itself, and the source if it was kept."""
+    other = [f for f in codes.schema.fields if f.name in ("codes", "source")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                yield pd.DataFrame({"fact_id": batch["fact_id"], "embedding": list(quantiser.decoded(batch))})
+                yield pd.DataFrame({"fact_id": batch["fact_id"], "embedding": list(quantiser.decoded(batch))} | {f.name: batch[f.name] for f in other})
 
-    return codes.mapInPandas(run, f"fact_id {codes.schema['fact_id'].dataType.simpleString()}, embedding array<double>")
+    kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in other)
+    return codes.mapInPandas(run, f"fact_id {codes.schema['fact_id'].dataType.simpleString()}, embedding array<double>{kinds}")
 
 
 def search(queries: DataFrame, codes: DataFrame, vectors: DataFrame, quantiser: Quantiser, k: int, candidates: int) -> DataFrame:
-    """query_id, fact_id, score and rank: the codes' best candidates by estimated cosine, rescored by the vectors' own cosine.
+    """query_id, fact_id, score and rank: the k nearest coded vectors by cosine, exactly.
 
-    Estimates need only the codes; the vectors are read for the candidates, by a join on the id. candidates is the
-    stated width of the search: raise it for recall.
+    A code with a sketch keeps the length of what it misses, so it bounds its vector's cosine from above. The candidates of
+    the highest bounds are rescored by the vectors' own cosine, by a join on the id. Where the next bound does not lie
+    below the k-th score, as with many copies of one vector, the query goes to the search over all coded vectors.
     """
+    if not quantiser.sketch:
+        raise ValueError("bounds need a quantiser with a sketch")
 
-    def estimates(q: pd.DataFrame, own: pd.DataFrame) -> Callable[[slice], np.ndarray]:
-        x, (decoded, signs), radius = unit(q["embedding"]), quantiser.unpacked(own), np.maximum(own["radius"].to_numpy(np.float64), 1e-300)
-        return lambda rows: quantiser.against(x[rows], decoded, signs) / radius
+    def bounds(q: pd.DataFrame, own: pd.DataFrame) -> Callable[[slice], np.ndarray]:
+        x, decoded, rest = unit(q["embedding"]), quantiser.decoded(own), own["rest"].to_numpy(np.float64)
+        radius = np.maximum(own["radius"].to_numpy(np.float64), 1e-300)
+        return lambda rows: (x[rows] @ decoded.T + rest) / radius
 
-    rough = best_in_blocks(queries.select("query_id", "embedding"), codes, candidates, estimates, digits=9).select("query_id", "fact_id")
+    asked = queries.select("query_id", "embedding")
+    rough = written(best_in_blocks(asked, codes, candidates + 1, bounds, digits=9), "bounds")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     own = vectors.select("fact_id", F.col("embedding").alias("own"))
-    both = rough.join(own, "fact_id").join(queries.select("query_id", "embedding"), "query_id")
+    both = rough.where(F.col("rank") <= candidates).select("query_id", "fact_id").join(own, "fact_id").join(asked, "query_id")
     length = F.sqrt(dot("own", "own")) * F.sqrt(dot("embedding", "embedding"))
     score = F.when(length > 0, dot("own", "embedding") / length).otherwise(0.0)
-    return top_per_query(both.select("query_id", "fact_id", F.round(score, 6).alias("score")), k)
+    found = written(top_per_query(both.select("query_id", "fact_id", F.round(score, 6).alias("score")), k), "found")
+    least = found.groupBy("query_id").agg(F.min("score").alias("least"))
+    more = rough.where(F.col("rank") > candidates).select("query_id", F.col("score").alias("next"))
+    unsure = written(least.join(more, "query_id").where(F.col("next") + SLACK >= F.col("least")).select("query_id"), "unsure")
+    if unsure.isEmpty():
+        return found
+    rest = best_in_blocks(asked.join(unsure, "query_id", "left_semi"), vectors.select("fact_id", "embedding").join(codes.select("fact_id"), "fact_id", "left_semi"), k)
+    return found.join(unsure, "query_id", "left_anti").unionByName(rest)
