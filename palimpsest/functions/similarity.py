@@ -45,18 +45,18 @@ def jaro(a: str, b: str) -> float:
     return (m / len(a) + m / len(b) + (m - moved) / m) / 3
 
 
+def winkler(x: str, y: str) -> float:
+    """Of two strings that are not null."""
+    s = jaro(x, y)
+    same = next((i for i in range(4) if x[i : i + 1] != y[i : i + 1] or not x[i : i + 1]), 4)
+    return s + 0.1 * same * (1 - s) if s > 0.7 else s
+
+
 @F.pandas_udf(DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     """Jaro similarity raised by a common start of up to four characters where it is over 0.7; nulls give null."""
 
-    def one(x, y):
-        if x is None or y is None:
-            return None
-        s = jaro(x, y)
-        same = next((i for i in range(4) if x[i : i + 1] != y[i : i + 1] or not x[i : i + 1]), 4)
-        return s + 0.1 * same * (1 - s) if s > 0.7 else s
-
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+    return pd.Series([None if x is None or y is None else winkler(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 def disagreement(a: Column, b: Column, stretched: Column) -> Column:

@@ -2,27 +2,32 @@
 
 A Jaro-Winkler similarity of at least t asks for a number of common letters. With a common start of p letters (4 count at
 most) Jaro itself must reach (t - p/10) / (1 - p/10), and as Jaro is at most (m/a + m/b + 1) / 3 for m common letters of
-names of a and b letters, m/a + m/b must reach some c, so m is at least (c - 1) a and (c - 1) b. Names that share so many
-of their letters (each numbered by how often it came before) share one among the rarest of each, so names meet in a
-shuffle by start and rare letter, for each p. Lengths and common letters are then tested, and the similarity itself
-is taken of what is left. No pair is lost, and there is no block of a fixed start for names that differ in it.
+names of a and b letters, m/a + m/b must reach some c. Letters (each numbered by how often it came before) are
+bits, so the common bits of two names, and the letters that share a bit with another, bound m from above. Blocks of
+names of bounded size meet in a shuffle, some names at a time are held against a whole block, and the similarity
+itself is taken of what is left. No pair is lost; the work is that of all pairs of different names, a few operations on bits each.
 """
 
 from __future__ import annotations
 
-from functools import partial
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.functions.similarity import jaro_winkler
 from palimpsest.operators.graphs import components
+from palimpsest.operators.neighbours import dealt
 from palimpsest.session import checkpointed
 
 # The similarity that merges names, names that stand for someone else, and lengths of names.
 MERGE = 0.85
 PRONOUNS = ("i", "you", "he", "she", "it", "we", "they", "me", "him", "her", "us", "them", "my", "your", "his", "its", "our", "their", "mine", "yours", "hers", "ours", "theirs", "myself", "yourself", "himself", "herself", "itself", "ourselves", "themselves")
 SHORTEST, LONGEST = 3, 100
+#: Names of a block, and pairs that are held against each other at once.
+BLOCK, CELLS = 4096, 1 << 18
+PAIRS = 4096
 
 
 def reach(threshold: float, start: int) -> float:
@@ -30,52 +35,102 @@ def reach(threshold: float, start: int) -> float:
     return 3 * (threshold - 0.1 * start) / (1 - 0.1 * start) - 1
 
 
-def letters(name: Column) -> Column:
-    """Each letter with the number of its like so far, so that names are sets."""
-    one = F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.substring(name, i, F.lit(1)))
-    whole = F.transform(one, lambda ch, i: F.concat(ch, F.size(F.filter(F.slice(one, 1, i + 1), lambda x: x == ch)).cast("string")))
-    return F.when(F.length(name) > 0, whole).otherwise(F.array().cast("array<string>"))
-
-
-def keyed(names: DataFrame, counts: DataFrame, threshold: float) -> DataFrame:
-    """name, ls (letters, the rarest first) and a key for each start and each letter of its rare part."""
-    own = names.select("name", F.explode(letters(F.col("name"))).alias("l")).join(counts, "l")
-    order = own.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("n", "l"))).alias("o")).select("name", F.col("o.l").alias("ls"))
-    keys = []
-    for start in range(5):
-        least = F.greatest(F.ceil(F.lit(reach(threshold, start) - 1 - 1e-9) * F.size("ls")), F.lit(1))
-        rare = F.slice("ls", F.lit(1), (F.size("ls") - least + 1).cast("int"))
-        key = F.transform(rare, partial(_key, start))
-        keys.append(F.when(F.length("name") >= start, key).otherwise(F.array().cast("array<struct<p:int,s:string,l:string>>")))
-    return order.select("name", "ls", F.explode(F.flatten(F.array(*keys))).alias("k")).select("name", "ls", "k.p", "k.s", "k.l")
-
-
-def _key(start: int, letter: Column) -> Column:
-    return F.struct(F.lit(start).alias("p"), F.substring("name", 1, start).alias("s"), letter.alias("l"))
-
-
-def common_start(a: Column, b: Column) -> Column:
-    return sum((F.when((F.length(a) >= i) & (F.length(b) >= i) & (F.substring(a, 1, i) == F.substring(b, 1, i)), 1).otherwise(0) for i in range(1, 5)), F.lit(0))
-
-
-def similar_names(left: DataFrame, right: DataFrame, threshold: float = MERGE) -> DataFrame:
+def masks(names: list[str]) -> np.ndarray:
+    """Two words of bits for each name: a bit for each letter, numbered by how often it came before; letters may share one."""
+    out = np.zeros((len(names), 2), np.uint64)
+    for row, name in enumerate(names):
+        seen: dict[str, int] = {}
+        bits = 0
+        for ch in name:
+            n = seen[ch] = seen.get(ch, -1) + 1
+            bits |= 1 << ((ord(ch) * 4 + n) % 128 if n < 4 else (ord(ch) * 7 + n) % 128)
+        out[row] = bits & 0xFFFFFFFFFFFFFFFF, bits >> 64
+    return out
+
+
+class Block:
+    """Names with what bounds their common letters."""
+
+    def __init__(self, names: list[str]) -> None:
+        self.names, self.bits = names, masks(names)
+        self.length = np.array([len(x) for x in names], np.int16)
+        # Letters that have no bit of their own may be common to any name.
+        self.loose = self.length - np.bitwise_count(self.bits).sum(1).astype(np.int16)
+        self.inverse = (1 / self.length).astype(np.float32)
+        self.start = np.array([([*map(ord, x[:4])] + [-1] * 4)[:4] for x in names], np.int64).reshape(-1, 4)
+        self.codes = np.full((len(names), int(self.length.max(initial=1))), -1, np.int32)
+        for row, x in enumerate(names):
+            self.codes[row, : len(x)] = [*map(ord, x)]
+        self.two = self.start[:, 0] << 32 | self.start[:, 1] & 0xFFFFFFFF
+
+
+def close(a: Block, b: Block, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of a and of b that may reach the threshold, some of a's names at a time."""
+    least = np.array([reach(threshold, p) - 1e-4 for p in range(5)], np.float32)
+    step = max(1, CELLS // max(1, len(b.names)))
+    for at in range(0, len(a.names), step):
+        own = slice(at, at + step)
+        shared = np.bitwise_count(a.bits[own, 0, None] & b.bits[:, 0])
+        shared += np.bitwise_count(a.bits[own, 1, None] & b.bits[:, 1])
+        most = shared + np.minimum(a.loose[own, None], b.loose)
+        sums = most * (a.inverse[own, None] + b.inverse)
+        row, col = np.nonzero((sums >= least[1]) | ((sums >= least[4]) & (a.two[own, None] == b.two)))
+        same = (a.start[at + row] == b.start[col]) & (a.start[at + row] >= 0)
+        good = sums[row, col] >= least[np.logical_and.accumulate(same, axis=1).sum(1)]
+        yield at + row[good], col[good]
+
+
+def similarities(a: Block, b: Block, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Jaro-Winkler similarities of pairs of different names, step by step over the letters of many pairs at once (see similarity.jaro)."""
+    x, y, n, m = a.codes[rows], b.codes[cols], a.length[rows].astype(np.int64), b.length[cols].astype(np.int64)
+    x, y = x[:, : n.max()], y[:, : m.max()]
+    window, at = np.maximum(np.maximum(n, m) // 2 - 1, 0)[:, None], np.arange(y.shape[1])
+    free, met = y >= 0, np.zeros(x.shape, bool)
+    for i in range(x.shape[1]):
+        fits = free & (y == x[:, i, None]) & (np.abs(at - i) <= window)
+        first = fits.argmax(1)
+        hit = np.nonzero(fits[np.arange(len(first)), first])[0]
+        free[hit, first[hit]] = False
+        met[hit, i] = True
+    count, width = met.sum(1), min(x.shape[1], y.shape[1])
+    ordered = lambda z, taken: np.take_along_axis(z, np.argsort(~taken, axis=1, kind="stable")[:, :width], 1)
+    moved = ((ordered(x, met) != ordered(y, (y >= 0) & ~free)) & (np.arange(width) < count[:, None])).sum(1) // 2
+    s = np.where(count > 0, (count / n + count / m + (count - moved) / np.maximum(count, 1)) / 3, 0.0)
+    same = (a.start[rows] == b.start[cols]) & (a.start[rows] >= 0)
+    return np.where(s > 0.7, s + 0.1 * np.logical_and.accumulate(same, axis=1).sum(1) * (1 - s), s)
+
+
+def similar_names(left: DataFrame, right: DataFrame, threshold: float = MERGE, ordered: bool = False) -> DataFrame:
     """name, other and score of all pairs of a name of left (name) and another of right (name) of at least threshold.
 
     Null and empty names match nothing; repeated names count once; equal names are no pair. threshold is at least 0.75.
+    With ordered only pairs whose name is the smaller one come back, at half the work.
     """
     if threshold < 0.75:
         raise ValueError("similar names need a threshold of 0.75 or more")
     a, b = (checkpointed(df.where("name <> ''").select("name").distinct()) for df in (left, right))
-    counts = checkpointed(a.union(b).select(F.explode(letters(F.col("name"))).alias("l")).groupBy("l").agg(F.count(F.lit(1)).alias("n")))
-    x, y = keyed(a, counts, threshold), keyed(b, counts, threshold).withColumnsRenamed({"name": "other", "ls": "os"})
-    c = F.array(*[F.lit(reach(threshold, p) - 1e-9) for p in range(5)])
-    pairs = x.join(y, ["p", "s", "l"]).where(F.col("name") != F.col("other"))
-    n, m = F.size("ls"), F.size("os")
-    near = F.least(n / m, m / n) + 1 >= F.get(c, F.col("p"))
-    shared = F.size(F.array_intersect("ls", "os"))
-    pairs = pairs.where(near & (common_start(F.col("name"), F.col("other")) == F.col("p")))
-    pairs = pairs.where(shared / n + shared / m >= F.get(c, F.col("p"))).select("name", "other").distinct()
-    return pairs.withColumn("score", jaro_winkler("name", "other")).where(F.col("score") >= threshold)
+    na, nb = (max(1, -(-df.count() // BLOCK)) for df in (a, b))
+
+    def scored(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        names, others = x["name"].to_numpy(object), y["other"].to_numpy(object)
+        found = [pd.DataFrame({"name": names[:0], "other": others[:0], "score": np.empty(0)})]
+        if len(names) and len(others):
+            p, q = Block(names.tolist()), Block(others.tolist())
+            for rows, cols in close(p, q, threshold):
+                wanted = (names[rows] < others[cols] if ordered else names[rows] != others[cols]).astype(bool)
+                rows, cols = rows[wanted], cols[wanted]
+                order = np.argsort(np.maximum(p.length[rows], q.length[cols]), kind="stable")
+                rows, cols = rows[order], cols[order]
+                for at in range(0, len(rows), PAIRS):
+                    i, j = rows[at : at + PAIRS], cols[at : at + PAIRS]
+                    s = similarities(p, q, i, j)
+                    good = s >= threshold
+                    found.append(pd.DataFrame({"name": names[i[good]], "other": others[j[good]], "score": s[good]}))
+        return pd.concat(found)
+
+    x = dealt(a, "ab", na, "bb", nb).groupBy("ab", "bb")
+    y = dealt(b.withColumnRenamed("name", "other"), "bb", nb, "ab", na).groupBy("ab", "bb")
+    return x.cogroup(y).applyInPandas(scored, "name string, other string, score double")
 
 
 def named(mention: Column) -> Column:
@@ -104,7 +159,7 @@ def resolve(mentions: DataFrame, entities: DataFrame, aliases: DataFrame, thresh
     fuzzy = rest.join(best, "low").select("mention", "low", "m.entity_id", F.lit("fuzzy").alias("how"), (-F.col("m.s")).alias("score"))
     left = checkpointed(rest.join(best, "low", "left_anti"))
     alone = left.select(F.col("low").alias("name"))
-    links = similar_names(alone, alone, threshold).where("name < other").select(F.col("name").alias("src"), F.col("other").alias("dst"), F.lit(1).alias("weight"))
+    links = similar_names(alone, alone, threshold, ordered=True).select(F.col("name").alias("src"), F.col("other").alias("dst"), F.lit(1).alias("weight"))
     groups = components(links).select(F.col("node").alias("low"), "component")
     made = left.join(groups, "low", "left").withColumn("head", F.coalesce("component", "low"))
     fresh = made.select("mention", "low", F.concat(F.lit("new-"), F.substring(F.md5("head"), 1, 16)).alias("entity_id"), F.lit("new").alias("how"), F.lit(1.0).alias("score"))

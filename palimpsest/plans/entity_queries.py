@@ -24,7 +24,7 @@ def mentions(spark, d):
 def similar_names(spark, d):
     """All pairs of names of at least 0.85, found by their starts and rare letters."""
     names = mentions(spark, d).select(F.lower("w").alias("name"))
-    found = E.similar_names(names, names).where("name < other")
+    found = E.similar_names(names, names, ordered=True)
     return found.select(F.col("name").alias("a"), F.col("other").alias("b"), F.round("score", 6).alias("similarity"))
 
 
