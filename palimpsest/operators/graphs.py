@@ -1,11 +1,28 @@
-"""Graph analytics as iterated joins; each round cuts its lineage by a checkpoint."""
+"""Graph analytics as iterated joins; each round cuts its lineage by a checkpoint.
+
+tasks is the number of tasks of a step over all links, for graphs that are too large for the session's own number.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.session import checkpointed
+from palimpsest.session import checkpointed, shuffle_tasks
+
+
+def dealt(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The operator, which runs its rounds before it returns, with shuffles of so many tasks."""
+
+    @wraps(operator)
+    def run(edges: DataFrame, *args, tasks: int | None = None, **options) -> DataFrame:
+        with shuffle_tasks(edges.sparkSession, tasks):
+            return operator(edges, *args, **options)
+
+    return run
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -15,6 +32,7 @@ def undirected(edges: DataFrame) -> DataFrame:
     return both.groupBy("src", "dst").agg(F.max("weight").alias("weight"))
 
 
+@dealt
 def pagerank(edges: DataFrame, alpha: float = 0.85, tolerance: float = 1e-10, max_rounds: int = 200) -> DataFrame:
     """node and rank: weighted power iteration from the uniform vector until the ranks change by at most tolerance in sum.
 
@@ -38,6 +56,7 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, tolerance: float = 1e-10, ma
     raise RuntimeError(f"ranks did not settle in {max_rounds} rounds")
 
 
+@dealt
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """node and component: the smallest node that a node reaches; labels spread and are followed to their own label."""
     links = checkpointed(undirected(edges).select("src", "dst"))
@@ -53,6 +72,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+@dealt
 def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
     """node and label: each round takes the label of most weight among the neighbours, the smallest of equals."""
     links = checkpointed(undirected(edges))
@@ -63,9 +83,10 @@ def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
     return labels
 
 
+@dealt
 def reached(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """node and hops: what is at most depth edges from seeds (node), with the fewest."""
-    links = undirected(edges).select("src", "dst")
+    links = checkpointed(undirected(edges).select("src", "dst"))
     found = checkpointed(seeds.select("node").distinct().withColumn("hops", F.lit(0)))
     frontier = found
     for hop in range(1, depth + 1):
@@ -75,6 +96,7 @@ def reached(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     return found
 
 
+@dealt
 def spread(edges: DataFrame, seeds: DataFrame, rounds: int = 3, keep: float = 0.5, flow: float = 0.8, top: int = 10) -> DataFrame:
     """node and activation: each round keeps a share, receives flow * weight / degree from neighbours, is cut to the top."""
     links = undirected(edges)

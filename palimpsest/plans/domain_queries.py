@@ -10,7 +10,7 @@ from palimpsest.functions import textual as T
 from palimpsest.operators import graphs as G
 from palimpsest.plans.more_queries import _V, vectors
 from palimpsest.plans.registry import query
-from palimpsest.sources.tables import EDGES_SQL, FACTS_SQL, edges, facts, table
+from palimpsest.sources.tables import EDGES_SQL, FACTS_SQL, edge_tasks, edges, facts, table
 
 
 def _bridge_sql(hops: int) -> str:
@@ -23,7 +23,7 @@ def _bridge_sql(hops: int) -> str:
 @query("q132_bridges", _bridge_sql(4))
 def bridges(spark, d):
     """What is new within four hops of the seeds; each hop costs a fifth. Hops are the budget, not the clock."""
-    found = G.reached(edges(spark, d), spark.createDataFrame([(1,), (2,)], "node long"), 4).where("hops > 0")
+    found = G.reached(edges(spark, d), spark.createDataFrame([(1,), (2,)], "node long"), 4, tasks=edge_tasks(spark, d)).where("hops > 0")
     return found.select("node", F.round(F.pow(F.lit(0.8), F.col("hops")), 6).alias("score"))
 
 

@@ -9,7 +9,7 @@ from palimpsest.operators import communities as C
 from palimpsest.operators import graphs as G
 from palimpsest.operators import pruning as P
 from palimpsest.plans.registry import query
-from palimpsest.sources.tables import EDGES_SQL, EVENTS_SQL, edges, table, tool_events
+from palimpsest.sources.tables import EDGES_SQL, EVENTS_SQL, edge_tasks, edges, table, tool_events
 
 _WHOLE = f"{EDGES_SQL}, e as (select src, dst, weight from edges)"
 _BOTH = "b as (select src, dst, max(weight) as weight from (select src, dst, weight from e union all select dst, src, weight from e) where src <> dst group by 1, 2)"
@@ -22,7 +22,9 @@ def whole(spark, d):
 @query("q150_graph_assembly", f"with {EDGES_SQL}, u as (select src, dst, weight from edges union all select src, dst, weight + 1 from edges where weight % 2 = 0) select src, dst, max(weight) as weight from u group by 1, 2 union all select s_suppkey, null, 0 from supplier where s_suppkey not in (select src from edges)")
 def assembly(spark, d):
     e = edges(spark, d).select("src", "dst", "weight")
-    merged = e.union(e.where("weight % 2 = 0").withColumn("weight", F.col("weight") + 1)).groupBy("src", "dst").agg(F.max("weight").alias("weight"))
+    # Both weights of a pair come from its one row, so they meet where the pair was counted.
+    weights = F.filter(F.array("weight", F.when(F.col("weight") % 2 == 0, F.col("weight") + 1)), lambda w: w.isNotNull())
+    merged = e.select("src", "dst", F.explode(weights).alias("weight")).groupBy("src", "dst").agg(F.max("weight").alias("weight"))
     lone = table(spark, d, "supplier").select(F.col("s_suppkey").alias("src")).join(e, "src", "left_anti")
     return merged.union(lone.select("src", F.lit(None).cast("long"), F.lit(0).cast("long")))
 
@@ -39,12 +41,12 @@ def _pagerank_sql(rounds: int) -> str:
 
 @query("q151_pagerank", _pagerank_sql(20))
 def pagerank(spark, d):
-    return G.pagerank(whole(spark, d)).select("node", F.round("rank", 8).alias("rank"))
+    return G.pagerank(whole(spark, d), tasks=edge_tasks(spark, d)).select("node", F.round("rank", 8).alias("rank"))
 
 
 @query("q109_top_by_pagerank", _pagerank_sql(20).replace("select node, round(rank, 8) as rank from r20", "select node, round(rank, 6) as rank from r20 order by round(rank, 6) desc, node limit 20"))
 def top_by_pagerank(spark, d):
-    return G.pagerank(whole(spark, d)).select("node", F.round("rank", 6).alias("rank")).orderBy(F.desc("rank"), "node").limit(20)
+    return G.pagerank(whole(spark, d), tasks=edge_tasks(spark, d)).select("node", F.round("rank", 6).alias("rank")).orderBy(F.desc("rank"), "node").limit(20)
 
 
 @query("q152_degree_centrality", f"with {EDGES_SQL}, n as (select src as node from edges union all select dst from edges) select node, count(*) as degree, round(count(*) / (select count(distinct node) - 1 from n), 6) as centrality from n group by 1")
@@ -65,7 +67,7 @@ def _lpa_sql(rounds: int) -> str:
 
 @query("q154_label_propagation", _lpa_sql(4))
 def label_propagation(spark, d):
-    return G.label_propagation(whole(spark, d), 4)
+    return G.label_propagation(whole(spark, d), 4, tasks=edge_tasks(spark, d))
 
 
 @query("q155_leiden")
@@ -79,7 +81,7 @@ def leiden(spark, d):
     f"""with recursive {_WHOLE}, {_BOTH}, w as (select 1::bigint as node, 0 as hops union select b.dst, hops + 1 from w join b on b.src = w.node where hops < 3) select node, min(hops) as hops from w group by 1""",
 )
 def breadth_first(spark, d):
-    return G.reached(whole(spark, d), spark.createDataFrame([(1,)], "node long"), 3)
+    return G.reached(whole(spark, d), spark.createDataFrame([(1,)], "node long"), 3, tasks=edge_tasks(spark, d))
 
 
 def _components_sql(rounds: int) -> str:
@@ -91,7 +93,7 @@ def _components_sql(rounds: int) -> str:
 
 @query("q159_components", _components_sql(12))
 def components(spark, d):
-    return G.components(whole(spark, d))
+    return G.components(whole(spark, d), tasks=edge_tasks(spark, d))
 
 
 _NATION = "e as (select n_nationkey as src, (n_nationkey * 2) % 25 as dst, 1 as weight from nation)"
@@ -127,7 +129,7 @@ def betweenness(spark, d):
     f"""with recursive {EDGES_SQL}, e as (select src, dst, weight from edges where weight >= 2), {_BOTH}, w as (select 3::bigint as node, 0 as hops union select b.dst, hops + 1 from w join b on b.src = w.node where hops < 2) select node, min(hops) as hops from w group by 1""",
 )
 def blast_radius(spark, d):
-    return G.reached(edges(spark, d).where("weight >= 2"), spark.createDataFrame([(3,)], "node long"), 2)
+    return G.reached(edges(spark, d).where("weight >= 2"), spark.createDataFrame([(3,)], "node long"), 2, tasks=edge_tasks(spark, d))
 
 
 def _spread_sql(rounds: int) -> str:
@@ -141,7 +143,7 @@ def _spread_sql(rounds: int) -> str:
 
 @query("q126_spreading_activation", _spread_sql(3))
 def spreading(spark, d):
-    return G.spread(whole(spark, d), spark.createDataFrame([(1, 1.0)], "node long, activation double"))
+    return G.spread(whole(spark, d), spark.createDataFrame([(1, 1.0)], "node long, activation double"), tasks=edge_tasks(spark, d))
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from palimpsest.plans.registry import query
-from palimpsest.sources.tables import AS_OF, EDGES_SQL, EVENTS_SQL, FACTS_SQL, edges, facts, table, tool_events
+from palimpsest.sources.tables import AS_OF, EDGES_SQL, EVENTS_SQL, FACTS_SQL, edge_tasks, edges, facts, table, tool_events
 
 
 #: Users of a list, and lists that are broadcast at most (16 MB).
@@ -157,7 +157,7 @@ def graph_expansion(spark, d):
     from palimpsest.operators.predicates import both_directions
 
     w = Window.partitionBy("node").orderBy(F.desc("weight"), "other")
-    e = both_directions(edges(spark, d)).select(F.col("src").alias("node"), F.col("dst").alias("other"), "weight")
+    e = both_directions(edges(spark, d)).select(F.col("src").alias("node"), F.col("dst").alias("other"), "weight").repartition(edge_tasks(spark, d), "node")
     return e.withColumn("rn", F.row_number().over(w)).where("rn <= 5").drop("rn")
 
 

@@ -10,7 +10,7 @@ from palimpsest.operators import graphs as G
 from palimpsest.operators import retrieval as R
 from palimpsest.plans.more_queries import _V
 from palimpsest.plans.registry import query
-from palimpsest.sources.tables import EDGES_SQL, FACTS_SQL, edges, facts, table
+from palimpsest.sources.tables import EDGES_SQL, FACTS_SQL, edge_tasks, edges, facts, table
 
 _KNN = f"with {_V}, q as (select * from e where vec_id % 20 = 0), s as (select q.vec_id as query_id, e.vec_id as fact_id, e.label, round(list_cosine_similarity(q.v, e.v), 6) as score from q, e {{}}), r as (select *, row_number() over (partition by query_id order by score desc, fact_id) as rank from s) select query_id, fact_id, score, rank from r where rank <= {{}}"
 
@@ -41,7 +41,7 @@ def _recall_sql(hops: int) -> str:
 
 @query("q010_graph_recall", _recall_sql(2))
 def graph_recall(spark, d):
-    found = G.reached(edges(spark, d).where("weight >= 2"), spark.createDataFrame([(5,)], "node long"), 2)
+    found = G.reached(edges(spark, d).where("weight >= 2"), spark.createDataFrame([(5,)], "node long"), 2, tasks=edge_tasks(spark, d))
     return found.select("node", F.round(F.pow(F.lit(0.6), F.col("hops")), 6).alias("score")).where("score >= 0.3")
 
 

@@ -84,6 +84,32 @@ def arrow_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
             spark.conf.set(k, v)
 
 
+#: Rows of a wide step that one task takes, about 100 MB in a hash table.
+ROWS_A_TASK = 1 << 19
+
+
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """Tasks of a shuffle of so many rows: the session's number, and more where a task would get over ROWS_A_TASK."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_A_TASK))
+
+
+@contextlib.contextmanager
+def shuffle_tasks(spark: SparkSession, tasks: int | None) -> Iterator[None]:
+    """Within, shuffles have so many tasks, if that is more than the session's number, and small ones are merged up to 8 MB only.
+
+    For actions that run inside; the settings come back after.
+    """
+    own = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    if tasks and tasks > int(own["spark.sql.shuffle.partitions"]):
+        for k, v in zip(own, (str(tasks), "8m"), strict=True):
+            spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+
+
 _shipped: set[str] = set()
 
 
