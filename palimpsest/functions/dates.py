@@ -94,9 +94,13 @@ def spoken_of(text: Column, reference: Column) -> Column:
     from_to = a.isNotNull() & b.isNotNull()
     lasting = rf"\bfor\s+(\d{{1,5}})\s+{UNIT}\b"
     length = F.when(t.rlike(lasting), moved(reference, _number(t, lasting), F.regexp_extract(t, lasting, 2)))
-    dates = all_dates(text, reference)
-    two = F.array_sort(F.slice(dates, 1, 2))
-    pair = F.size(two) == 2
-    starts = F.when(from_to, a).when(length.isNotNull(), reference).when(pair, F.get(two, F.lit(0)))
-    ends = F.when(from_to, b).when(length.isNotNull(), length).when(pair, F.get(two, F.lit(1)))
-    return F.when(text.isNotNull(), F.struct(F.get(dates, F.lit(0)).alias("referenced"), starts.alias("starts"), ends.alias("ends")))
+
+    def read(dates: Column) -> Column:
+        two = F.array_sort(F.slice(dates, 1, 2))
+        pair = F.size(two) == 2
+        starts = F.when(from_to, a).when(length.isNotNull(), reference).when(pair, F.get(two, F.lit(0)))
+        ends = F.when(from_to, b).when(length.isNotNull(), length).when(pair, F.get(two, F.lit(1)))
+        return F.struct(F.get(dates, F.lit(0)).alias("referenced"), starts.alias("starts"), ends.alias("ends"))
+
+    # As the one item of an array the dates are searched for once, not at each place where they are used.
+    return F.when(text.isNotNull(), F.get(F.transform(F.array(all_dates(text, reference)), read), F.lit(0)))

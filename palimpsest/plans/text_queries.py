@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import temporal as D
 from palimpsest.functions import textual as T
 from palimpsest.plans.registry import query
+from palimpsest.session import tasks_for
 from palimpsest.sources.tables import AS_OF, table
 
 _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
@@ -184,5 +185,8 @@ def text_dates(spark, d):
         F.lit("to be paid in 2 months"), F.lit("seen Yesterday"), F.concat(F.lit("open from "), at("d MMMM yyyy"), F.lit(" to "), at("yyyy-MM-dd", F.date_add(day, 40))), F.lit("kept for 2 weeks"),
     ]
     text = F.get(F.array(*notes), k.cast("int"))
-    found = table(spark, d, "orders").select("o_orderkey", spoken_of(text, day).alias("d"))
-    return found.select("o_orderkey", *[F.col(f"d.{c}").cast("string").alias(c) for c in ("referenced", "starts", "ends")])
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderdate")
+    orders = orders.repartition(tasks_for(spark, orders.count()), "o_orderkey")
+    # inline() takes the three dates from one reading of a text; as fields of a column each would be a reading of its own.
+    found = orders.select("o_orderkey", F.inline(F.array(spoken_of(text, day))))
+    return found.select("o_orderkey", *[F.col(c).cast("string").alias(c) for c in ("referenced", "starts", "ends")])
