@@ -4,7 +4,8 @@ A paragraph (a line, cut further at sentence ends) is hashed to a wide vector of
 document's fingerprint is the sum of its paragraphs' vectors, every lane modulo 2^19. The sum does not depend on the
 order, and a paragraph can be added or removed by adding or subtracting its vector (combine). Three lanes stand
 in one long, each under two guard bits, so one masked addition adds three lanes. Only DataFrame functions
-are used.
+are used. For whole tables paragraphs become rows and each lane is a sum of its own, in compiled code; the rows of a
+document are added where its text is, so that no paragraph is shuffled.
 
 The lanes are also a linear sketch: their cosine estimates how much of two documents' multisets is common. That holds
 while no lane has gone round, for texts of any length whose paragraphs differ and for up to 17,476 equal paragraphs in
@@ -99,10 +100,27 @@ def likeness(left: Column, right: Column) -> Column:
     return F.when(left == right, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine)))
 
 
+def summed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys (which tell the rows apart) and fps: the packed lanes of each of texts, an array of no nulls.
+
+    The paragraphs of a text are rows, an empty one if there is none; they add nothing to other rows. Rows that are dealt by
+    one of keys are added up without a shuffle.
+    """
+    texts = rows.select(*keys, F.posexplode("texts").alias("which", "t"))
+    each = texts.select(*keys, "which", F.explode(F.split("t", PARAGRAPH_END)).alias("p"))
+    hashed = each.select(*keys, "which", (F.col("p") != "").alias("some"), F.xxhash64("p").alias("a"), F.xxhash64("p", F.lit(1)).alias("b"))
+    hashed = hashed.select(*keys, "which", "some", *[F.xxhash64("a" if k % 2 else "b", F.lit(k)).alias(f"h{k}") for k in range(WORDS)])
+    value = lambda k, i: F.shiftrightunsigned(f"h{k}", FIELD * i).bitwiseAND(_long(30)) - _long(15)
+    sums = [F.sum(F.when(F.col("some"), value(k, i)).otherwise(_long(0))).alias(f"s{k}_{i}") for k in range(WORDS) for i in range(3)]
+    added = hashed.groupBy(*keys, "which").agg(*sums)
+    word = lambda k: sum((F.shiftleft(F.col(f"s{k}_{i}").bitwiseAND(_long(LANE_MASK)), FIELD * i) for i in range(1, 3)), F.col(f"s{k}_0").bitwiseAND(_long(LANE_MASK)))
+    return added.select(*keys, "which", F.array(*[word(k) for k in range(WORDS)]).alias("fp"))
+
+
 def with_next(docs: DataFrame, ranges: int) -> DataFrame:
-    """docs (id, text, fp) with next (text, fp): those of the row after it in descending (id), after the last the first.
+    """docs (id, text) with next, the text of the row after it in descending (id), after the last the first.
 
-    fp is the fingerprint of the text; it is sent along to the row before, so that it is computed once.
+    range and place (from 1) tell where a row stands; last_fp is the next one's fingerprint, for the last of a range only.
 
     Rows are dealt by ranges of the id, whose borders are quantiles of the id alone; the row after a range's last
     is the first of the next range, found by one small join of at most one row a range.
@@ -129,14 +147,14 @@ def with_next(docs: DataFrame, ranges: int) -> DataFrame:
     heads = checkpointed(heads).select("range", F.struct("text", fingerprint(F.col("text")).alias("fp")).alias("head"))
 
     order = Window.partitionBy("range").orderBy(F.col("id").desc(), F.col("text"))
-    led = dealt.withColumn("after", F.lead(F.struct("text", "fp")).over(order))
+    led = dealt.withColumns({"after": F.lead("text").over(order), "place": F.row_number().over(order)})
     # Rows that have their next one join nothing; their keys are spread, so that a shuffled join has no hot key.
     key = F.when(F.col("after").isNull(), F.col("range")).otherwise(-2 - F.pmod(F.xxhash64("id"), F.lit(10_000)).cast("int"))
     size = heads.agg(F.sum(F.length("head.text"))).first()[0] or 0
     heads = heads.withColumnRenamed("range", "last_range")
     heads = F.broadcast(heads) if size <= BROADCAST_CHARS else heads
     joined = led.withColumn("last_of", key).join(heads, F.col("last_of") == F.col("last_range"), "left")
-    return joined.withColumn("next", F.coalesce("after", "head")).drop("after", "head", "last_of", "last_range", "range")
+    return joined.select("id", "text", "range", "place", F.coalesce("after", "head.text").alias("next"), F.col("head.fp").alias("last_fp"))
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
@@ -146,19 +164,21 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     ranges = ranges or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    own = own.withColumn("fp", fingerprint(F.col("text")))
     led = with_next(own, ranges)
     n, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
-    kept = F.substring(F.col("text"), F.lit(1), n - half)
-    led = led.select(
-        "id", n.cast("long").alias("n_chars"), "fp", F.col("next.fp").alias("next_fp"),
-        F.concat(kept, F.substring(F.col("next.text"), F.lit(1), half)).alias("edited"),
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next"), F.lit(1), half))
+    led = led.withColumn("edited", edited).select(
+        "range", "place", "id", "last_fp", n.cast("long").alias("n_chars"),
+        F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), F.array("text", "edited").alias("texts"),
     )
-    led = led.withColumn("edited_fp", fingerprint(F.col("edited")))
-    return led.select(
+    both = summed(led, ["range", "place", "id", "last_fp", "n_chars", "edited_sha256"])
+    # In this order a text is followed by its edited one, and that by the next text.
+    order = Window.partitionBy("range").orderBy("place", "which")
+    found = both.withColumns({"edited_fp": F.lead("fp").over(order), "next_fp": F.coalesce(F.lead("fp", 2).over(order), "last_fp")}).where("which = 0")
+    return found.select(
         F.col("id").alias(id_col),
         "n_chars",
-        F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
+        "edited_sha256",
         text_form(F.col("fp")).alias("fingerprint"),
         text_form(F.col("edited_fp")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),

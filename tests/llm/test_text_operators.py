@@ -346,6 +346,22 @@ def test_fingerprints_combine(spark):
     assert found["sum"] and found["difference"]
 
 
+def test_paragraphs_are_added_as_rows(spark):
+    """Sums over rows are those of the expression, also with more paragraphs than a packed lane could hold; only texts are shuffled."""
+    from pyspark.sql import functions as F
+
+    texts = [*(t or "" for t in ODD), "", "\n\n", "one. two! three?\nfour", "the same line\n" * 80_000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = multiset.summed(rows.select("id", F.array("text", F.lit("a.\nb."), "text").alias("texts")), ["id"])
+    want = rows.select("id", multiset.fingerprint(F.col("text")).alias("fp"), multiset.fingerprint(F.lit("a.\nb.")).alias("other"))
+    found = {(r["id"], r["which"]): r["fp"] for r in got.collect()}
+    assert len(found) == 3 * len(texts)
+    for r in want.collect():
+        assert found[r["id"], 0] == found[r["id"], 2] == r["fp"] and found[r["id"], 1] == r["other"]
+    plan = multiset.edited_fingerprints(rows.withColumnRenamed("id", "doc_id"), ranges=3)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(place" not in plan and plan.count("Generate explode(split(") == 1
+
+
 def test_likeness_of_half_shared_texts(spark):
     """The error of the likeness of two texts of 40 paragraphs that share 20, against the exact 0.5."""
     from pyspark.sql import functions as F
