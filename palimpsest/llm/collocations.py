@@ -1,11 +1,14 @@
 """Phrase collocations: Apriori passes over the texts, level by level, then the weakest cut of every frequent phrase.
 
 A text is cut into pieces at punctuation and line ends, a piece into words at blanks and tabs; A to Z are lower-cased.
-Counts are kept for each language (a null one is `und`). Pass k counts phrases of k words: a task reads its texts as
-arrays of word numbers, and emits a phrase only if the two phrases of k - 1 words in it may be frequent. That is asked
-of a broadcast filter, a bitmap of at most 32 MB made by Spark's bitmap functions from the level below. What the passes
-count and shuffle is a 64-bit key of language and phrase, so that a row is two numbers, whatever the phrase. A last pass
-writes out the phrases whose keys are frequent, counts them by their words and makes the tables of all levels. Filters
+Counts are kept for each language (a null one is `und`). The first pass counts words; those that are frequent in a
+language are numbered and broadcast. Pass k counts phrases of k such words by their numbers, a few of them in a long, so
+that a row is two or three numbers and known exactly; words that are not numbered are in no frequent phrase. It counts a
+phrase only if the two phrases of k - 1 words in it may be frequent, which is asked of a broadcast filter, a bitmap of at
+most 32 MB made by Spark's bitmap functions from the level below. Only frequent phrases are written out as words.
+
+Where more than MAX_WORDS words (or MAX_BYTES of them) are frequent, none is broadcast: the passes count 64-bit keys of
+language and phrase, and a last pass writes out the phrases whose keys are frequent and counts them by their words. Filters
 and keys let all frequent phrases through at every size; what else they let through is counted and then left out, so
 counts are exact. Within a batch of texts equal phrases are told by their word numbers, not by a hash alone, and counted
 before they leave the task; Spark adds them up with partial sums, so a common phrase is one row a task.
@@ -39,6 +42,8 @@ TABLE = bytes(0x20 if b in (0x20, 0x09) else BREAK if b in b".,;:!?\x0a\x0b\x0c\
 #: Bits of the filter of a level: 16 a phrase, and at most 32 MB.
 MAX_BITS = 1 << 28
 SLICE = 4 << 20
+#: Frequent words that are numbered and broadcast, and their bytes.
+MAX_WORDS, MAX_BYTES = 1 << 20, 16 << 20
 #: Rows of named phrases that a task holds before it adds them up.
 HELD = 400_000
 
@@ -195,6 +200,149 @@ def names(docs: DataFrame, least: int, filters: list[Broadcast]) -> DataFrame:
         return written(summed.where((F.col("f") >= least) | (F.col("k") == 0)), "phrases")
 
 
+def word_slices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, pa.Array]]:
+    """Language and form (each different pair once), the pair of each word, its piece, the forms and the languages, of each slice of a batch (lang, text)."""
+    known = pc.fill_null(batch.column("lang"), "und").dictionary_encode()
+    texts = [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
+    for text, at, langs in slices(texts, known.indices.to_numpy()):
+        numbers, forms, starts, pieces = words(text)
+        if len(starts):
+            pairs, of = np.unique(langs[np.searchsorted(at, starts, "right") - 1].astype(np.int64) * len(forms) + numbers, return_inverse=True)
+            yield np.stack(np.divmod(pairs, len(forms))), of, pieces, forms.cast(pa.string()), known.dictionary
+
+
+def frequent_words(docs: DataFrame, least: int) -> DataFrame:
+    """lang, word and f of the words with f >= least; a null word has the count of all words of a language."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for (lang, form), of, _, forms, langs in word_slices(batch):
+                counts = np.bincount(of)
+                present = np.unique(lang)
+                totals = np.array([counts[lang == x].sum() for x in present])
+                word = pa.concat_arrays([forms.take(pa.array(form)), pa.nulls(len(present), pa.string())])
+                yield pa.RecordBatch.from_arrays([langs.take(pa.array(np.r_[lang, present])), word, pa.array(np.r_[counts, totals])], names=["lang", "word", "f"])
+
+    summed = docs.mapInArrow(run, "lang string, word string, f long").groupBy("lang", "word").agg(F.sum("f").alias("f"))
+    with arrow_batches(docs.sparkSession):
+        return written(summed.where((F.col("f") >= least) | F.col("word").isNull()), "frequent-words")
+
+
+class Numbers:
+    """Numbers of the frequent words of each language, and phrases as longs of some numbers each."""
+
+    def __init__(self, found: pa.Table) -> None:
+        found = found.sort_by([("lang", "ascending"), ("word", "ascending")]).combine_chunks()
+        self.langs, self.words = (found[c].combine_chunks() if found.num_rows else pa.array([], pa.string()) for c in ("lang", "word"))
+        self.bits = max(1, (found.num_rows - 1).bit_length())
+        self.each = 63 // self.bits
+        own, self.first = np.unique(self.langs.to_numpy(zero_copy_only=False), return_index=True) if found.num_rows else ([], [])
+        self.of = {str(lang): i for i, lang in enumerate(own)}
+
+    def own(self, lang: str) -> pa.Array:
+        i = self.of[lang]
+        return self.words[int(self.first[i]) : int(self.first[i + 1]) if i + 1 < len(self.first) else len(self.words)]
+
+    def read(self, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The number of each word, -1 if it has none, and its piece, of each slice of a batch."""
+        for (lang, form), of, pieces, forms, langs in word_slices(batch):
+            found = np.full(len(lang), -1, np.int64)
+            for x in np.unique(lang).tolist():
+                if (name := langs[x].as_py()) in self.of:
+                    at = np.flatnonzero(lang == x)
+                    place = pc.fill_null(pc.index_in(forms.take(pa.array(form[at])), value_set=self.own(name)), -1).to_numpy().astype(np.int64)
+                    found[at] = np.where(place < 0, -1, place + int(self.first[self.of[name]]))
+            yield found[of], pieces
+
+    def packed(self, numbers: np.ndarray, at: np.ndarray, k: int) -> list[np.ndarray]:
+        """The phrases of k words that begin at at."""
+        return [sum((numbers[at + i] << (self.bits * (i - a)) for i in range(a, min(k, a + self.each))), np.zeros(len(at), np.int64)) for a in range(0, k, self.each)]
+
+    def named(self, columns: list[np.ndarray], k: int) -> tuple[pa.Array, pa.Array]:
+        """Languages and phrases of packed phrases."""
+        ids = [columns[i // self.each] >> (self.bits * (i % self.each)) & ((1 << self.bits) - 1) for i in range(k)]
+        return self.langs.take(pa.array(ids[0])), pc.binary_join_element_wise(*[self.words.take(pa.array(i)) for i in ids], " ")
+
+
+def packed_hashes(columns: list[np.ndarray]) -> np.ndarray:
+    out = np.zeros(len(columns[0]), np.uint64)
+    with np.errstate(over="ignore"):
+        for c in columns:
+            out = mix64(out * np.uint64(0xD6E8FEB86659FD93) + c.view(np.uint64) + np.uint64(1))
+    return out
+
+
+def numbered_level(docs: DataFrame, k: int, least: int, numbers: Broadcast, shorter: Broadcast | None, columns: list[str]) -> DataFrame:
+    """columns (a packed phrase of k words) and f of the phrases with f >= least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = numbers.value
+        for batch in batches:
+            for ids, pieces in own.read(batch):
+                at = np.arange(max(0, len(ids) - k + 1))
+                good = pieces[: len(at)] == pieces[k - 1 :] if len(at) else at
+                for i in range(k):
+                    good = good & (ids[i : i + len(at)] >= 0)
+                at = at[good.astype(bool)]
+                if shorter is not None:
+                    for end in (0, 1):
+                        at = at[may_hold(shorter.value, packed_hashes(own.packed(ids, at + end, k - 1)))]
+                if len(at):
+                    parts = own.packed(ids, at, k)
+                    first, counts = np.unique(parts[0], return_index=True, return_counts=True)[1:] if len(parts) == 1 else distinct(packed_hashes(parts), parts)
+                    yield pa.RecordBatch.from_arrays([*(pa.array(p[first]) for p in parts), pa.array(counts)], names=[*columns, "f"])
+
+    summed = docs.mapInArrow(run, ", ".join(f"{c} long" for c in [*columns, "f"])).groupBy(*columns).agg(F.sum("f").alias("f"))
+    with arrow_batches(docs.sparkSession):
+        return written(summed.where(F.col("f") >= least), f"phrases-{k}")
+
+
+def numbered(docs: DataFrame, least: int, longest: int, found: DataFrame, max_bits: int) -> DataFrame:
+    """lang, k, phrase and f as names() gives them, from the frequent words."""
+    spark = docs.sparkSession
+    some = found.where("word is not null")
+    own = Numbers(some.select("lang", "word").toArrow())
+    numbers, shorter, tables = spark.sparkContext.broadcast(own), None, []
+    each = own.each
+    for k in range(2, longest + 1):
+        columns = [f"c{i}" for i in range(-(-k // each))]
+
+        def hashed(batches: Iterator[pa.RecordBatch], columns: list[str] = columns) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(packed_hashes([b.column(c).to_numpy() for c in columns]).view(np.int64))], names=["key"])
+
+        def worded(batches: Iterator[pa.RecordBatch], columns: list[str] = columns, k: int = k) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                lang, phrase = numbers.value.named([b.column(c).to_numpy() for c in columns], k)
+                yield pa.RecordBatch.from_arrays([lang, pa.array(np.full(b.num_rows, k, np.int32)), phrase, b.column("f")], names=["lang", "k", "phrase", "f"])
+
+        rows = numbered_level(docs, k, least, numbers, shorter, columns)
+        if rows.isEmpty():
+            break
+        tables.append(rows.mapInArrow(worded, "lang string, k int, phrase string, f long"))
+        if k < longest:
+            shorter = spark.sparkContext.broadcast(filter_of(rows.mapInArrow(hashed, "key long"), max_bits))
+    out = found.select("lang", F.when(F.col("word").isNull(), 0).otherwise(1).cast("int").alias("k"), F.coalesce("word", F.lit("")).alias("phrase"), "f")
+    for rows in tables:
+        out = out.union(rows)
+    return written(out, "phrases")
+
+
+def keyed(docs: DataFrame, least: int, longest: int, max_bits: int) -> DataFrame:
+    """The same by 64-bit keys, for any number of frequent words."""
+    filters: list[Broadcast] = []
+    for k in range(1, longest + 1):
+        keys = level(docs, k, least, filters)
+        filters.append(docs.sparkSession.sparkContext.broadcast(filter_of(keys, max_bits)))
+        if keys.isEmpty():
+            break
+    table = names(docs, least, filters)
+    for f in filters:
+        f.unpersist()
+    return table
+
+
 def filter_of(table: DataFrame, max_bits: int = MAX_BITS) -> np.ndarray:
     """A bitmap of two bits for each key of the table."""
     bits = min(max_bits, max(1 << 15, 1 << (16 * table.count()).bit_length()))
@@ -210,17 +358,11 @@ def filter_of(table: DataFrame, max_bits: int = MAX_BITS) -> np.ndarray:
 
 def collocations(docs: DataFrame, least: int = 100, longest: int = 5, percent: int = 100, top: int = 2000, max_bits: int = MAX_BITS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score of each language's top phrases of 2 to longest words."""
-    spark = docs.sparkSession
     own = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    filters: list[Broadcast] = []
-    for k in range(1, longest + 1):
-        keys = level(own, k, least, filters)
-        filters.append(spark.sparkContext.broadcast(filter_of(keys, max_bits)))
-        if keys.isEmpty():
-            break
-    table = names(own, least, filters)
-    for f in filters:
-        f.unpersist()
+    words_found = frequent_words(own, least)
+    count, size = words_found.agg(F.count("word"), F.coalesce(F.sum(F.octet_length("word")), F.lit(0))).first()
+    few = count <= MAX_WORDS and size <= MAX_BYTES
+    table = numbered(own, least, longest, words_found, max_bits) if few else keyed(own, least, longest, max_bits)
     n = table.where("k = 0").select("lang", F.col("f").alias("n"))
     frequent = table.where("k > 0")
     found = frequent.where("k > 1").select("lang", "phrase", F.col("f").alias("a"), "k")

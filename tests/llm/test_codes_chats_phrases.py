@@ -177,3 +177,24 @@ def test_phrases_of_long_texts_and_empty_tables(spark):
     assert not {"a b", "b c", "c a", "d e d"} & set(got)
     for rows in ([], [("one two three", "en")]):
         assert collocations.collocations(spark.createDataFrame(rows, "text string, lang string")).count() == 0
+
+
+@pytest.mark.parametrize("most, each", [(0, None), (1 << 20, None), (1 << 20, 1), (1 << 20, 2)], ids=["keys", "numbers", "a word a long", "two words a long"])
+def test_phrases_by_numbers_and_by_keys(spark, monkeypatch, most, each):
+    """Both forms against brute force; phrases of numbers in several longs too."""
+    rng = random.Random(5)
+    rows = [(" ".join(rng.choice("a b c d é 日 rare{}".format(rng.randrange(900)).split()) for _ in range(30)) + ". A b", rng.choice(["en", None, "fr"])) for _ in range(90)] + [(None, None), ("", "x")]
+    monkeypatch.setattr(collocations, "MAX_WORDS", most)
+    if each:
+        made = collocations.Numbers.__init__
+
+        def fewer(self, found):
+            made(self, found)
+            self.each = each
+
+        monkeypatch.setattr(collocations.Numbers, "__init__", fewer)
+    frame = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    if most:
+        monkeypatch.setattr(collocations, "names", None)  # no pass gives out the phrases of each task as words
+    got = [tuple(r) for r in collocations.collocations(frame, least=7).collect()]
+    assert got and sorted(got) == sorted(brute_phrases(rows, 7, 5, 100, 2000))
