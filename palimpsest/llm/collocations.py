@@ -10,8 +10,8 @@ most 32 MB made by Spark's bitmap functions from the level below. Only frequent
 Where more than MAX_WORDS words (or MAX_BYTES of them) are frequent, none is broadcast: the passes count 64-bit keys of
 language and phrase, and a last pass writes out the phrases whose keys are frequent and counts them by their words. Filters
 and keys let all frequent phrases through at every size; what else they let through is counted and then left out, so
-counts are exact. Within a batch of texts equal phrases are told by their word numbers, not by a hash alone, and counted
-before they leave the task; Spark adds them up with partial sums, so a common phrase is one row a task.
+counts are exact. Equal phrases are told by their word numbers, not by a hash alone, and added up over the slices of a task
+before they leave it, HELD rows at a time; Spark adds these sums up.
 
 Phrases are scored from the level tables: each cut of a phrase joins the counts of its two parts. A phrase lies inside a
 longer one of at least its percentage only if that holds for one that is one word longer, for counts do not grow with
@@ -44,7 +44,7 @@ MAX_BITS = 1 << 28
 SLICE = 4 << 20
 #: Frequent words that are numbered and broadcast, and their bytes.
 MAX_WORDS, MAX_BYTES = 1 << 20, 16 << 20
-#: Rows of named phrases that a task holds before it adds them up.
+#: Rows of phrases that a task holds before it adds them up.
 HELD = 400_000
 
 
@@ -159,15 +159,41 @@ def added_up(tables: list[pa.Table]) -> pa.Table:
     return found.select(["lang", "k", "phrase", "f_sum"]).rename_columns(["lang", "k", "phrase", "f"])
 
 
+def summed_up(slices: Iterator[tuple[list[np.ndarray], np.ndarray]]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Columns of keys and their counts, added up over the slices of a task; what has over HELD // 2 different keys is given out at once."""
+    held: list[tuple[list[np.ndarray], np.ndarray]] = []
+    rows = 0
+
+    def merged() -> tuple[list[np.ndarray], np.ndarray]:
+        parts = [np.concatenate(x) for x in zip(*(p for p, _ in held), strict=True)]
+        counts = np.concatenate([f for _, f in held])
+        order = np.lexsort(parts)
+        parts = [p[order] for p in parts]
+        first = np.flatnonzero(np.r_[True, np.any([p[1:] != p[:-1] for p in parts], axis=0)])
+        return [p[first] for p in parts], np.add.reduceat(counts[order], first)
+
+    for parts, counts in slices:
+        if not len(counts):
+            continue
+        held.append((parts, counts))
+        rows += len(counts)
+        if rows > HELD:
+            held = [merged()]
+            rows = len(held[0][1])
+            if rows > HELD // 2:
+                yield held[0]
+                held, rows = [], 0
+    if held:
+        yield merged()
+
+
 def level(docs: DataFrame, k: int, least: int, filters: list[Broadcast]) -> DataFrame:
     """key of the phrases of k words that occur least times or more (or share their key with others)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for phrases, _ in read(batch, [f.value for f in filters]):
-                keys, counts = phrases.counted(k)
-                if len(keys):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["key", "f"])
+        slices = (phrases.counted(k) for batch in batches for phrases, _ in read(batch, [f.value for f in filters]))
+        for (keys,), counts in summed_up(([keys], counts) for keys, counts in slices):
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["key", "f"])
 
     summed = docs.mapInArrow(run, "key long, f long").groupBy("key").agg(F.sum("f").alias("f"))
     with arrow_batches(docs.sparkSession):
@@ -272,10 +298,10 @@ def packed_hashes(columns: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def numbered_level(docs: DataFrame, k: int, least: int, numbers: Broadcast, shorter: Broadcast | None, columns: list[str]) -> DataFrame:
-    """columns (a packed phrase of k words) and f of the phrases with f >= least."""
+def numbered_counts(docs: DataFrame, k: int, numbers: Broadcast, shorter: Broadcast | None, columns: list[str]) -> DataFrame:
+    """columns (a packed phrase of k words whose ends may be frequent) and f, its count in a task, or in a part of one."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
         own = numbers.value
         for batch in batches:
             for ids, pieces in own.read(batch):
@@ -290,9 +316,18 @@ def numbered_level(docs: DataFrame, k: int, least: int, numbers: Broadcast, shor
                 if len(at):
                     parts = own.packed(ids, at, k)
                     first, counts = np.unique(parts[0], return_index=True, return_counts=True)[1:] if len(parts) == 1 else distinct(packed_hashes(parts), parts)
-                    yield pa.RecordBatch.from_arrays([*(pa.array(p[first]) for p in parts), pa.array(counts)], names=[*columns, "f"])
+                    yield [p[first] for p in parts], counts
 
-    summed = docs.mapInArrow(run, ", ".join(f"{c} long" for c in [*columns, "f"])).groupBy(*columns).agg(F.sum("f").alias("f"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for parts, counts in summed_up(counted(batches)):
+            yield pa.RecordBatch.from_arrays([*(pa.array(p) for p in parts), pa.array(counts)], names=[*columns, "f"])
+
+    return docs.mapInArrow(run, ", ".join(f"{c} long" for c in [*columns, "f"]))
+
+
+def numbered_level(docs: DataFrame, k: int, least: int, numbers: Broadcast, shorter: Broadcast | None, columns: list[str]) -> DataFrame:
+    """columns (a packed phrase of k words) and f of the phrases with f >= least."""
+    summed = numbered_counts(docs, k, numbers, shorter, columns).groupBy(*columns).agg(F.sum("f").alias("f"))
     with arrow_batches(docs.sparkSession):
         return written(summed.where(F.col("f") >= least), f"phrases-{k}")
 

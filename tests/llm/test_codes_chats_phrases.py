@@ -7,6 +7,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from palimpsest.llm import chat_format, collocations, vector_codes
@@ -198,3 +199,42 @@ def test_phrases_by_numbers_and_by_keys(spark, monkeypatch, most, each):
         monkeypatch.setattr(collocations, "names", None)  # no pass gives out the phrases of each task as words
     got = [tuple(r) for r in collocations.collocations(frame, least=7).collect()]
     assert got and sorted(got) == sorted(brute_phrases(rows, 7, 5, 100, 2000))
+
+
+@pytest.mark.parametrize("each", (63, 2), ids=["one long", "two longs"])
+def test_a_task_gives_out_each_phrase_once(spark, each):
+    """A task of many batches gives one row for each of its phrases."""
+    import pyarrow as pa
+
+    rows = [(["en", "fr"][i % 2], " ".join("a b c d e".split()[i % 5 :] + ["f"] * (i % 3)) + ". ") for i in range(400)]
+    own = collocations.Numbers(pa.table({"lang": [x for x in ("en", "fr") for _ in "abcdef"], "word": list("abcdef") * 2}))
+    own.each = min(own.each, each)
+    columns = [f"c{i}" for i in range(-(-3 // own.each))]
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "10")
+    try:
+        frame = spark.createDataFrame(rows, "lang string, text string").coalesce(1)
+        given = [tuple(r) for r in collocations.numbered_counts(frame, 3, spark.sparkContext.broadcast(own), None, columns).collect()]
+    finally:
+        spark.conf.set(size, before)
+    assert len({r[:-1] for r in given}) == len(given) == 10
+    assert sum(r[-1] for r in given) == sum(max(0, len(t[:-2].split()) - 2) for _, t in rows)
+
+
+def test_sums_of_slices_do_not_depend_on_what_is_held(monkeypatch):
+    rng = np.random.default_rng(4)
+    slices = [([rng.integers(0, 9, n), rng.integers(-3, 3, n)], rng.integers(1, 50, n)) for n in (0, 1, 40, 7, 0, 90, 3)]
+    want = Counter()
+    for parts, counts in slices:
+        for *key, f in zip(*parts, counts, strict=True):
+            want[tuple(key)] += f
+    for held in (400_000, 20, 1):
+        monkeypatch.setattr(collocations, "HELD", held)
+        got, rows = Counter(), 0
+        for parts, counts in collocations.summed_up(iter(slices)):
+            rows += len(counts)
+            for *key, f in zip(*parts, counts, strict=True):
+                got[tuple(key)] += f
+        assert got == want and (rows == len(want)) == (held == 400_000)
+    assert not list(collocations.summed_up(iter([])))
