@@ -8,11 +8,13 @@ the suffixes of states are states. Each state's distribution is smoothed towards
 of different symbols that followed, and a byte is scored by the longest state that its context ends with. A text's
 score is the sum over its bytes, from the tree alone.
 
-Counts, states and their tests are Spark tables over all runs and over all contexts seen at least twice, at every size.
-What is broadcast is a cache: contexts and runs of at least min_share of the training bytes, at most 1 / min_share runs a
-length. A byte that the cache cannot settle (its context or its run may be in the tables only) is looked up by a join of
-distinct runs with the tables, so the cache's size changes the speed, not the score. So are tokens under min_share of all
-tokens, which are known by 64-bit hashes.
+Runs are a Spark table. All contexts of PIVOT or more bytes that end alike (in the same PIVOT bytes) lie, with their runs and
+their suffixes of that length, in one task after one shuffle of the longest runs; it finds their counts and states
+from these alone. Shorter contexts are at most 256 ** PIVOT runs, whatever the input, and are broadcast. What else is broadcast
+is a cache: the tree's probabilities of the runs of at least min_share of the training bytes, and at most CACHED. The
+other bytes of texts meet the runs that end like their contexts in a second such shuffle, so the cache's size changes the speed,
+not the score. A tree of at most WHOLE runs is broadcast as it is. Tokens under min_share of all tokens are looked up by a
+join; they are known by 64-bit hashes.
 
 Null and empty texts are just the end. Very long texts are scored whole, some LIMIT bytes at a time. Repeated rows are
 scored alike and count as often as they occur in training; so do repeated ids. An empty training set gives a uniform
@@ -26,7 +28,8 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.textops import SPACED, span_hashes
@@ -36,6 +39,8 @@ DEPTH = 6
 SYMBOLS = 256
 #: Bytes of texts that are worked on at once; entries of counts that a task holds before it merges them, and before it sends them on.
 LIMIT, KEPT = 1 << 20, 2_000_000
+#: Last bytes of a context that deal it to its task; runs of a tree that is broadcast whole, runs that are cached, rows of whole groups worked on at once.
+PIVOT, WHOLE, CACHED, CHUNK = 3, 1 << 19, 1 << 22, 1 << 19
 #: Bytes that no token holds: what stands before a text, and its end.
 START, END = b"\t" * DEPTH, b"\n"
 COUNT_TYPE = "kind int, key long, n long"
@@ -43,7 +48,7 @@ GRAMS, WORDS, TEXTS = range(3)
 
 
 class Counts(NamedTuple):
-    """Runs (gram, n) and tokens by hash (word, n); numbers of texts, tokens with ends, distinct tokens with the end, bytes."""
+    """Runs (gram, n) and tokens by hash (word, n); numbers of texts, tokens with ends, distinct tokens with the end, bytes, distinct runs."""
 
     grams: DataFrame
     words: DataFrame
@@ -51,11 +56,12 @@ class Counts(NamedTuple):
     tokens: int
     types: int
     symbols: int
+    distinct: int
 
 
 class Level(NamedTuple):
-    """What is cached of a length of context: runs of states, sorted, with their counts; contexts, sorted, with the counts and
-    the number of different next bytes of all their runs, and whether they are states."""
+    """Contexts of one length: their runs, sorted, with their counts; contexts, sorted, with the counts and the number of
+    different next bytes of their runs, and whether they are states."""
 
     keys: np.ndarray
     counts: np.ndarray
@@ -65,15 +71,22 @@ class Level(NamedTuple):
     states: np.ndarray
 
 
+class Rule(NamedTuple):
+    """When a context is a state, and how its distribution is smoothed: it leaves novelty * types to its suffix."""
+
+    divergence: float
+    evidence: float
+    novelty: float
+
+
 class Tree(NamedTuple):
-    """Cached levels (whole: nothing is left out of them), and for each length the runs (gram, n, context, total, types) and
-    the states (context, total, types). A state leaves novelty * types to its suffix."""
+    """Levels of all lengths (whole), or of those under PIVOT and the log10 probabilities of the cached runs, sorted."""
 
     levels: list[Level]
     whole: bool
-    novelty: float
-    runs: list[DataFrame]
-    states: list[DataFrame]
+    rule: Rule
+    keys: np.ndarray
+    logs: np.ndarray
 
 
 def tokens(text) -> list[bytes]:
@@ -199,13 +212,7 @@ def count(train: DataFrame, text_col: str = "text") -> Counts:
     n, types = ({r["kind"]: r[c] for r in sums} for c in ("n", "types"))
     texts = n.get(TEXTS, 0)
     grams, words = (counts.where(F.col("kind") == kind).select(F.col("key").alias(name), "n") for kind, name in ((GRAMS, "gram"), (WORDS, "word")))
-    return Counts(grams, words, texts, n.get(WORDS, 0) + texts, types.get(WORDS, 0) + (texts > 0), n.get(GRAMS, 0))
-
-
-def level(grams: DataFrame, k: int) -> DataFrame:
-    """Runs of k context bytes and the next one, from longer runs."""
-    mask = F.lit((1 << (8 * (k + 1))) - 1).cast("long")
-    return grams.groupBy(F.col("gram").bitwiseAND(mask).alias("gram")).agg(F.sum("n").alias("n"))
+    return Counts(grams, words, texts, n.get(WORDS, 0) + texts, types.get(WORDS, 0) + (texts > 0), n.get(GRAMS, 0), types.get(GRAMS, 0))
 
 
 def arrays(rows: DataFrame, key: str, *values: str) -> list[np.ndarray]:
@@ -216,48 +223,8 @@ def arrays(rows: DataFrame, key: str, *values: str) -> list[np.ndarray]:
     return [keys[order], *(found[v].to_numpy()[order].astype(np.float64) for v in values)]
 
 
-def low_bytes(column: str | F.Column, k: int) -> F.Column:
-    return (F.col(column) if isinstance(column, str) else column).bitwiseAND(F.lit((1 << (8 * k)) - 1).cast("long"))
-
-
-def fit(counts: Counts, min_share: float = 2e-7, divergence: float = 0.001, evidence: float = 3.0, novelty: float = 4.0) -> Tree:
-    """The tree of counts: tests each context seen twice against its suffix, and keeps the suffixes of states.
-
-    Only contexts and runs of at least min_share come to the driver, for the cache.
-    """
-    own = Window.partitionBy("context")  # at most SYMBOLS rows of one context
-    runs: list[DataFrame] = []
-    now = counts.grams
-    for k in range(DEPTH, -1, -1):
-        now = (now if k == DEPTH else level(now, k)).withColumn("context", F.shiftright("gram", 8))
-        now = now.withColumns({"total": F.sum("n").over(own), "types": F.count(F.lit(1)).over(own)})
-        now = written(now.select("gram", "n", "context", "total", "types"), "level")
-        runs.insert(0, now)
-    states = [runs[0].select("context", "total", "types").distinct()]
-    above: list[DataFrame] = []
-    for k in range(DEPTH, 0, -1):
-        share = F.col("n") / F.col("total")
-        below = runs[k - 1].select(F.col("gram").alias("suffix"), share.alias("before"))
-        tested = runs[k].where("total >= 2").withColumn("suffix", low_bytes("gram", k)).join(below, "suffix")
-        gain = F.sum(share * F.log(share / F.col("before"))).alias("gain")
-        tested = tested.groupBy("context", "total", "types").agg(gain)
-        passed = (F.col("gain") >= divergence) & (F.col("gain") * F.col("total") >= evidence)
-        if above:
-            suffixes = above[0].select(low_bytes("context", k).alias("needed")).distinct()
-            tested = tested.join(suffixes, F.col("context") == F.col("needed"), "left")
-            passed = passed | F.col("needed").isNotNull()
-        above.insert(0, written(tested.where(passed).select("context", "total", "types"), "states"))
-    states += above
-    least = max(1.0, counts.symbols * min_share)
-    levels = []
-    for k in range(DEPTH + 1):
-        hot = runs[k].where(F.col("total") >= (2 * least if k else 0))
-        marks = states[k].select("context", F.lit(1).alias("state"))
-        contexts = hot.select("context", "total", "types").distinct().join(marks, "context", "left").fillna(0, ["state"])
-        kept = hot.where(F.col("n") >= (least if k else 0)).join(marks, "context", "left_semi")
-        of = arrays(contexts, "context", "total", "types", "state")
-        levels.append(Level(*arrays(kept, "gram", "n"), *of[:3], of[3].astype(bool)))
-    return Tree(levels, least <= 1, novelty, runs, states)
+def low_bytes(keys: np.ndarray, k: int) -> np.ndarray:
+    return keys & ((1 << (8 * k)) - 1)
 
 
 def _find(table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -267,46 +234,151 @@ def _find(table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, table[at] == values
 
 
+def grown(keys: np.ndarray, counts: np.ndarray, longest: int, lower: list[Level], rule: Rule, needed: np.ndarray) -> list[Level]:
+    """Levels of len(lower) to longest bytes, from all runs of longest bytes that end in the same len(lower) ones.
+
+    lower: the levels of fewer bytes. needed: contexts of longest bytes that are suffixes of states.
+    """
+    levels, own_shares = [], []
+    for k in range(longest, len(lower) - 1, -1):
+        keys, counts = runs(low_bytes(keys, k + 1), counts)
+        contexts = keys >> 8
+        first = np.flatnonzero(np.r_[True, contexts[1:] != contexts[:-1]][: len(keys)])
+        types = np.diff(np.r_[first, len(keys)])
+        totals = np.add.reduceat(counts, first) if len(first) else counts
+        levels.insert(0, Level(keys, counts, contexts[first], totals, types, np.full(len(first), k == 0)))
+        own_shares.insert(0, (first, counts / np.repeat(totals, types)))
+    for k in range(longest, max(len(lower), 1) - 1, -1):
+        own, (first, share) = levels[k - len(lower)], own_shares[k - len(lower)]
+        if not len(first):
+            continue
+        if k > len(lower):
+            below, before = levels[k - len(lower) - 1], own_shares[k - len(lower) - 1][1]
+            before = before[_find(below.keys, low_bytes(own.keys, k))[0]]
+        else:
+            below = lower[-1]
+            suffixes = low_bytes(own.keys, k)
+            before = below.counts[_find(below.keys, suffixes)[0]] / below.totals[_find(below.contexts, suffixes >> 8)[0]]
+        gain = np.add.reduceat(share * np.log(share / before), first)
+        passed = (own.totals >= 2) & (gain >= rule.divergence) & (gain * own.totals >= rule.evidence)
+        own.states[:] = passed | np.isin(own.contexts, needed)
+        needed = np.unique(low_bytes(own.contexts[own.states], k - 1))
+    return levels
+
+
+def smoothed(levels: list[Level], shortest: int, keys: np.ndarray, novelty: float) -> tuple[np.ndarray, np.ndarray]:
+    """a and b of each key: its probability is a + b * p, where p is that of its suffix with shortest - 1 context bytes.
+
+    levels: those of shortest bytes and more. A state's suffixes are states, so a key stops at its first context that is none.
+    """
+    a, b, live = np.zeros(len(keys)), np.ones(len(keys)), np.arange(len(keys))
+    for k, own in enumerate(levels, shortest):
+        grams = low_bytes(keys[live], k + 1)
+        at, there = _find(own.contexts, grams >> 8)
+        there &= own.states[at] if len(own.states) else there
+        at, live, grams = at[there], live[there], grams[there]
+        place, known = _find(own.keys, grams)
+        n = np.where(known, own.counts[place], 0) if len(own.counts) else np.zeros(len(grams))
+        mass = novelty * own.types[at]
+        a[live], b[live] = (n + mass * a[live]) / (own.totals[at] + mass), mass * b[live] / (own.totals[at] + mass)
+    return a, b
+
+
+def chances(levels: list[Level], keys: np.ndarray, novelty: float) -> np.ndarray:
+    """Probability of each key's symbol after its context, by levels of no bytes and more."""
+    a, b = smoothed(levels, 0, keys, novelty)
+    return a + b / SYMBOLS
+
+
+def together(grams: DataFrame) -> DataFrame:
+    """grams (the first column is gram) with all that end in the same PIVOT context bytes in one task, one after another."""
+    pivot = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << (8 * PIVOT)) - 1).cast("long"))
+    return grams.withColumn("pivot", pivot).repartition("pivot").sortWithinPartitions("pivot").drop("pivot")
+
+
+def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of the rows that together() gives a task, about CHUNK rows at a time; what belongs together stays together."""
+    held: list[list[np.ndarray]] = []
+    size, limit = 0, CHUNK
+    for batch in batches:
+        held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        size += batch.num_rows
+        if size >= limit:
+            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+            pivots = low_bytes(columns[0] >> 8, PIVOT)
+            cut = int(np.flatnonzero(np.r_[True, pivots[1:] != pivots[:-1]])[-1])
+            if cut:
+                yield [c[:cut] for c in columns]
+            held, size = [[c[cut:].copy() for c in columns]], size - cut
+            limit = max(CHUNK, 2 * size)
+    if size:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+NONE = np.empty(0, np.int64)
+
+
+def fit(counts: Counts, min_share: float = 3e-8, divergence: float = 0.001, evidence: float = 3.0, novelty: float = 4.0) -> Tree:
+    """The tree of counts: tests each context seen twice against its suffix, and keeps the suffixes of states.
+
+    What comes to the driver is bounded: a tree of at most WHOLE runs, or the levels under PIVOT and the cached probabilities.
+    """
+    rule = Rule(divergence, evidence, novelty)
+    least = max(1.0, counts.symbols * min_share)
+    if least <= 1 and counts.distinct <= WHOLE:
+        keys, n = arrays(counts.grams, "gram", "n")
+        return Tree(grown(keys, n, DEPTH, [], rule, NONE), True, rule, NONE, np.empty(0))
+    while counts.distinct > CACHED and counts.grams.where(F.col("n") >= least).count() > CACHED:
+        least *= 2
+    short = F.col("gram").bitwiseAND(F.lit((1 << (8 * PIVOT)) - 1).cast("long")).alias("gram")
+    short_keys, short_n = arrays(counts.grams.groupBy(short).agg(F.sum("n").alias("n")), "gram", "n")
+    shared = counts.grams.sparkSession.sparkContext.broadcast(grown(short_keys, short_n, PIVOT - 1, [], rule, NONE))
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, n in groups(batches):
+            levels = grown(keys, n.astype(np.float64), DEPTH, shared.value, rule, NONE)
+            needed = np.unique(low_bytes(levels[0].contexts[levels[0].states], PIVOT - 1))
+            hot = np.sort(keys[n >= least])
+            a, b = smoothed(levels, PIVOT, hot, novelty)
+            cached = np.r_[np.ones(len(hot), bool), np.zeros(len(needed), bool)]
+            none = np.zeros(len(needed))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cached, np.r_[hot, needed], np.r_[a, none], np.r_[b, none])], names=["cached", "key", "a", "b"])
+
+    rows = together(counts.grams.select("gram", "n")).mapInArrow(found, "cached boolean, key long, a double, b double").toArrow()
+    cached, keys, a, b = (rows[c].to_numpy() for c in ("cached", "key", "a", "b"))
+    levels = grown(short_keys, short_n, PIVOT - 1, [], rule, np.unique(keys[~cached]))
+    keys, a, b = keys[cached], a[cached], b[cached]
+    order = np.argsort(keys)
+    suffixes, back = np.unique(low_bytes(keys, PIVOT), return_inverse=True)
+    return Tree(levels, False, rule, keys[order], np.log10(a + b * chances(levels, suffixes, novelty)[back])[order])
+
+
 def log10_probabilities(tree: Tree, keys: np.ndarray) -> np.ndarray:
     """log10 of each key's symbol after its context, by the longest state that the context ends with; nan if the cache can't tell."""
     distinct, back = np.unique(keys, return_inverse=True)
-    p, sure, _ = _cached(tree, distinct, DEPTH)
-    return np.where(sure, np.log10(p), np.nan)[back]
-
-
-def _cached(tree: Tree, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of sorted distinct keys with k context bytes, from their distinct suffixes: probabilities, whether they are the
-    tree's, and whether a longer context can be a state (a state's suffixes are states)."""
-    if k < 0:
-        return np.full(len(keys), 1 / SYMBOLS), np.ones(len(keys), bool), np.ones(len(keys), bool)
-    own = tree.levels[k]
-    suffixes, back = np.unique(keys & ((1 << (8 * k)) - 1), return_inverse=True) if k else (keys, np.arange(len(keys)))
-    p, sure, longer = (x[back] for x in _cached(tree, suffixes, k - 1))
-    at, there = _find(own.contexts, keys >> 8)
-    state = there & own.states[at] if len(own.contexts) else there
-    if not tree.whole:
-        sure &= there | ~longer
-    at, some = at[state], keys[state]
-    place, known = _find(own.keys, some)
-    n = np.where(known, own.counts[place] if len(own.keys) else 0.0, 0.0)
-    mass = tree.novelty * own.types[at]
-    p[state] = (n + mass * p[state]) / (own.totals[at] + mass)
-    sure[state] &= known | tree.whole
-    return p, sure, state | (longer & ~there)
-
-
-def probabilities(grams: DataFrame, tree: Tree) -> DataFrame:
-    """gram, p: the tree's probability of the last byte of each gram, from its tables."""
-    out = grams.withColumn("p", F.lit(1 / SYMBOLS))
-    for k in range(DEPTH + 1):
-        states = tree.states[k].select(F.col("context").alias("state"), "total", "types")
-        runs = tree.runs[k].select(F.col("gram").alias("run"), "n")
-        out = out.join(states, low_bytes(F.shiftright("gram", 8), k) == F.col("state"), "left")
-        out = out.join(runs, low_bytes("gram", k + 1) == F.col("run"), "left")
-        mass = tree.novelty * F.col("types")
-        own = (F.coalesce("n", F.lit(0)) + mass * F.col("p")) / (F.col("total") + mass)
-        out = out.select("gram", F.when(F.col("state").isNull(), F.col("p")).otherwise(own).alias("p"))
-    return out
+    if tree.whole:
+        return np.log10(chances(tree.levels, distinct, tree.rule.novelty))[back]
+    at, there = _find(tree.keys, distinct)
+    return np.where(there, tree.logs[at] if len(tree.logs) else 0.0, np.nan)[back]
+
+
+def looked_up(asked: DataFrame, counts: Counts, tree: Tree) -> DataFrame:
+    """row, deeper: the sum of times * the tree's log10 probability over the grams of each row of asked (gram, times, row)."""
+    shared = counts.grams.sparkSession.sparkContext.broadcast((tree.levels, tree.rule))
+
+    def valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lower, rule = shared.value
+        for grams, n, row in groups(batches):
+            known = row < 0
+            distinct, back = np.unique(grams[~known], return_inverse=True)
+            if len(distinct):
+                levels = grown(grams[known], n[known].astype(np.float64), DEPTH, lower, rule, NONE)
+                a, b = smoothed(levels, PIVOT, distinct, rule.novelty)
+                logs = np.log10(a + b * chances(lower, low_bytes(distinct, PIVOT), rule.novelty))
+                yield pa.RecordBatch.from_arrays([pa.array(row[~known]), pa.array(n[~known] * logs[back])], names=["row", "deeper"])
+
+    both = counts.grams.select("gram", "n", F.lit(-1).cast("long").alias("row")).union(asked.select("gram", "times", "row"))
+    return together(both).mapInArrow(valued, "row long, deeper double").groupBy("row").agg(F.sum("deeper").alias("deeper"))
 
 
 def score(
@@ -315,7 +387,7 @@ def score(
     """id, n_tokens, n_known, base_score (smoothed unigram) and score (the tree's), both log10 probabilities."""
     spark = docs.sparkSession
     words, seen = arrays(counts.words.where(F.col("n") >= max(2.0, counts.tokens * min_share)), "word", "n")
-    shared = spark.sparkContext.broadcast((tree._replace(runs=[], states=[]), words, seen))
+    shared = spark.sparkContext.broadcast((tree, words, seen))
     below = float(counts.tokens + alpha * (counts.types + 1))
 
     @F.pandas_udf("n_tokens long, known long, base double, score double, rare array<long>, grams array<long>, times array<long>")
@@ -359,11 +431,14 @@ def score(
         part = written(own.select("id", "row", "s.*"), "scored")
     rare = part.select("row", F.explode("rare").alias("word")).join(counts.words, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     sums = rare.groupBy("row").agg(F.sum(F.log10((F.col("n") + alpha) / F.lit(below))).alias("more"), F.sum((F.col("n") > 0).cast("long")).alias("also"))
-    deep = part.select("row", F.explode(F.arrays_zip("grams", "times")).alias("g")).select("row", "g.grams", "g.times")
-    found = written(probabilities(deep.select(F.col("grams").alias("gram")).distinct(), tree), "probabilities")
-    deep = deep.join(found, F.col("grams") == F.col("gram")).groupBy("row").agg(F.sum(F.col("times") * F.log10("p")).alias("deeper"))
+    joined = part.join(sums, "row", "left")
+    if tree.whole:
+        joined = joined.withColumn("deeper", F.lit(0.0))
+    else:
+        deep = part.select("row", F.explode(F.arrays_zip("grams", "times")).alias("g")).select(F.col("g.grams").alias("gram"), "g.times", "row")
+        joined = joined.join(looked_up(deep, counts, tree), "row", "left")
     end = float(np.log10((counts.texts + alpha) / below))
-    return part.join(sums, "row", "left").join(deep, "row", "left").select(
+    return joined.select(
         F.col("id").alias(id_col),
         "n_tokens",
         (F.col("known") + F.coalesce("also", F.lit(0)) + F.lit(int(counts.texts > 0))).alias("n_known"),

@@ -196,6 +196,42 @@ def test_size_of_the_cached_tree_does_not_change_scores(spark, min_share, monkey
     assert [s for _, s in got] == pytest.approx([s for _, s in want], rel=1e-9)
 
 
+@pytest.mark.parametrize("cached", (0, 40), ids=["no cache", "small cache"])
+def test_tree_needs_no_tables_of_its_levels(spark, cached, monkeypatch):
+    """Counts are written once and texts once, whatever the depth; a cut cache leaves the scores."""
+    docs = spark.createDataFrame(lm_docs(), "doc_id long, text string")
+    names, written = [], suffix_tree.written
+    monkeypatch.setattr(suffix_tree, "written", lambda df, name: names.append(name) or written(df, name))
+    counts = suffix_tree.count(docs.where("doc_id % 3 <> 0"))
+    want = sorted((r["doc_id"], r["score"]) for r in suffix_tree.score(docs, counts, suffix_tree.fit(counts)).collect())
+    names.clear()
+    monkeypatch.setattr(suffix_tree, "WHOLE", 0)
+    monkeypatch.setattr(suffix_tree, "CACHED", cached)
+    tree = suffix_tree.fit(counts)
+    got = sorted((r["doc_id"], r["score"]) for r in suffix_tree.score(docs, counts, tree).collect())
+    assert names == ["scored"] and not tree.whole and len(tree.keys) <= cached
+    assert [i for i, _ in got] == [i for i, _ in want] and [s for _, s in got] == pytest.approx([s for _, s in want], rel=1e-9)
+
+
+def test_groups_are_never_parted(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    keys = rng.integers(0, 1 << 56, 3000)
+    keys[:1200] = (keys[:1200] & ~np.int64(0xFFFFFF00)) | 0x61626300  # one large group
+    keys[1200:] = (keys[1200:] & ~np.int64(0xFFFFFF00)) | (rng.integers(0, 40, 1800) << 8)
+    pivots = (keys >> 8) & 0xFFFFFF
+    keys = keys[np.argsort(pivots, kind="stable")]
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + 70]), pa.array(np.arange(len(keys))[i : i + 70])], names=["gram", "n"]) for i in range(0, len(keys), 70)]
+    for chunk in (10, 100, 1000, 1 << 19):
+        monkeypatch.setattr(suffix_tree, "CHUNK", chunk)
+        parts = list(suffix_tree.groups(iter(batches)))
+        assert (np.concatenate([k for k, _ in parts]) == keys).all() and (np.concatenate([n for _, n in parts]) == np.arange(len(keys))).all()
+        own = [set(((k >> 8) & 0xFFFFFF).tolist()) for k, _ in parts]
+        assert sum(map(len, own)) == len(set(pivots.tolist())) and (len(parts) > 1) == (chunk < 3000)
+    assert not list(suffix_tree.groups(iter([])))
+
+
 def test_streams_of_long_texts_are_whole(monkeypatch):
     texts = ["ab cde " * n for n in (1, 0, 40, 3, 90)] + ["x" * 300, "yy zz", None]
     whole, = suffix_tree.streams_of(texts)
