@@ -11,6 +11,8 @@ from palimpsest.sources.tables import AS_OF, EDGES_SQL, EVENTS_SQL, FACTS_SQL, e
 
 #: Users of a list, and lists that are broadcast at most (16 MB).
 PEERS, BROADCAST_LISTS = 4096, 512
+#: Messages of a list, and users of a list that come in turn for each of them.
+MESSAGES, REPEATED = 1024, 256
 
 
 @query(
@@ -196,16 +198,22 @@ def read_receipts(spark, d):
     reads = e.where("event_type = 'view'").select("user_id", (F.col("event_id") % 100).alias("msg"), F.lit(True).alias("seen")).distinct()
     inbox = table(spark, d, "customer").select(F.col("c_custkey").alias("msg"), (F.col("c_custkey") % 5).alias("b"))
     peers = e.select("user_id", (F.col("user_id") % 5).alias("b")).distinct()
-    # Each message meets all its peers. They come in lists, so that no pair is shuffled; only messages that someone has read are joined.
+    # Each message meets all its peers. Both come in lists, so that no pair is shuffled; only messages that someone has read are joined.
     lists = -(-peers.count() // PEERS)
-    peers = peers.groupBy("b", F.pmod(F.xxhash64("user_id"), F.lit(max(lists, 1))).alias("part")).agg(F.collect_list("user_id").alias("ids"))
+    part = lambda key, parts: F.pmod(F.xxhash64(key), F.lit(max(parts, 1)))
+    peers = peers.groupBy("b", part("user_id", lists).alias("part")).agg(F.collect_list("user_id").alias("ids"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    packs = max(-(-inbox.count() // MESSAGES), tasks)
 
     def paired(rows):
-        rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+        rows = rows.groupBy("b", part("msg", packs).alias("pack")).agg(F.collect_list("msg").alias("msgs")).repartition(tasks)
         if lists > BROADCAST_LISTS:
             rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(lists - 1)).cast("array<long>"))).join(peers, ["b", "part"])
         else:
             rows = rows.join(F.broadcast(peers), "b")
+        # A few users at a time for all messages of a list: what repeats within some hundred rows takes little disk when the result is written.
+        few = F.transform(F.sequence(F.lit(1), F.size("ids"), F.lit(REPEATED)), lambda i: F.slice("ids", i, F.lit(REPEATED)))
+        rows = rows.select("msgs", F.explode(few).alias("ids")).select(F.explode("msgs").alias("msg"), "ids")
         return rows.select("msg", F.explode("ids").alias("user_id"))
 
     hot = reads.select("msg").distinct()
