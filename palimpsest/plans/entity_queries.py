@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.operators import entities as E
 from palimpsest.plans.registry import query
+from palimpsest.session import checkpointed
 from palimpsest.sources.tables import table
 
 #: Capitalised words of nine letters or more are mentions; those in two documents or more are known entities, with their plural as an alias.
@@ -43,7 +44,7 @@ def similar_names(spark, d):
         union all select w, 'new-' || substr(md5(head), 1, 16), 'new', 1.0 from o join h on node = low""",
 )
 def entity_links(spark, d):
-    m = mentions(spark, d)
+    m = checkpointed(mentions(spark, d))
     known = m.where("n >= 2").select(F.concat(F.lit("e-"), "w").alias("entity_id"), F.col("w").alias("name"))
     aliases = known.select("entity_id", F.concat("name", F.lit("s")).alias("alias"))
     return E.resolve(m.select(F.col("w").alias("mention")), known, aliases).withColumn("score", F.round("score", 6))
